@@ -14,14 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from that copy.
-
-    The folder is ``spark.checkpoint.dir``; only a session without one (a test) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a session without one (a test) gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from that copy."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
