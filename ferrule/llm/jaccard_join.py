@@ -208,10 +208,13 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns; of rows that share a doc_id, each stays.
+    """The documents that are the smallest doc_id of their component, with all their columns.
 
-    Documents with a null doc_id stay.
+    Rows that share a doc_id stay or go together; documents with a null doc_id stay. Only documents that a Bloom filter of the
+    ids to drop may hold are shuffled.
     """
     found = join(docs, num, den)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = materialize(found.where("component_id <> doc_id").select("doc_id").distinct())
+    probed = may_hold(docs, "doc_id", drop, "_may")
+    rest = probed.where("_may").join(drop, "doc_id", "left_anti")
+    return probed.where("not _may").unionByName(rest).drop("_may")

@@ -145,6 +145,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, of which ``model`` knows the language: not ``und``, and a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Batches) -> Batches:
+        score = shared.value.scorer()
+        for batch in batches:
+            found = [score(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds``; null for null."""
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % folds

@@ -102,3 +102,19 @@ def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     mixed = taken.unionByName(idle).groupBy("doc_id", "source", "size", "source_size", "target", "sid", "start").agg(F.sum("words").alias("taken"))
     empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")).unionByName(empty)
+
+
+def mixed(docs: DataFrame, seed: int = 29) -> DataFrame:
+    """The documents as the mix takes them, with all their columns: each as often as the words taken hold it, rounded.
+
+    Rows that share doc_id, source and size are told apart by a number within them, so that repeated rows are not multiplied.
+    """
+    keys = ["doc_id", "source", "_size"]
+    numbered = docs.withColumn("_size", word_count(F.col("text")))
+    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    plan = mix(docs, seed).where("size > 0").withColumn("_size", F.col("size"))
+    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"))))
+    plan = plan.select(*[F.col(c).alias(f"_m{c}") for c in [*keys, "_n"]], F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
+    same = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in [*keys, "_n"]]
+    joined = numbered.join(plan.where("_copies > 0"), same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
