@@ -1,10 +1,8 @@
-"""The queries of the library over the driver's tables, each beside the SQL that must give the same rows."""
+"""All queries of the library over the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ferrule.jobs import interval_jobs, metric_jobs, relational_jobs, search_jobs, text_jobs, traversal_jobs
+from ferrule.jobs.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "interval_jobs", "metric_jobs", "relational_jobs", "search_jobs", "text_jobs", "traversal_jobs"]
