@@ -175,13 +175,16 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found:
         a = max(start - int(begins[d]), 0)
         if best.get((number, i), (1,))[0] == 0:
             continue  # nothing beats no edits, and bands come in order
-        region = own[a : a + 2 * step + len(pattern)]
+        # Diagonals before the text's first are there, too, with nothing on them: edits may lead back to them.
+        blank = max(int(begins[d]) - start, 0)
+        region = np.concatenate([np.full(blank, _GAP, np.uint32), own[a : a + 2 * step + len(pattern) - blank]])
         whole = region.tobytes().find(pattern.tobytes())
         if whole >= 0 and whole % 4 == 0:
             edits, s, e = 0, whole // 4, whole // 4 + len(pattern)
         else:
             edits, s, e = _align(pattern, region, 2 * step)
-        if edits < step and a + s < len(own):
+        s, e = max(s - blank, 0), e - blank
+        if edits < step and e > 0 and a + s < len(own):
             last = min(a + e, len(own)) - 1
             hit = (edits, int(origin[a + s]), int(origin[last]) + 1, index.ids[i])
             best[number, i] = min(best.get((number, i), hit), hit)
