@@ -70,7 +70,7 @@ def _located(df: DataFrame, name: str, pattern: str, useful: Column, extra: str)
 def _held(k: int, kind: str) -> Column:
     """The spans of the matches in column ``_kind`` that are what they look like."""
     held = F.filter(f"_{kind}", lambda s: _holds(kind, s["value"]))
-    return F.transform(held, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(held, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h")))
 
 
 def _text(spans: Column) -> Column:
@@ -83,7 +83,7 @@ def _count(k: int) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Add ``base``: array of (kind, start, end), kind counted from 0 in the order of ``KINDS``, ordered by kind and start."""
+    """Add ``base``: array of (kind, start, end, h), h a hash of what is there, kind counted from 0 in the order of ``KINDS``, ordered by kind and start."""
     text = F.col("text")
     digits = text.rlike("[0-9]")
     spans = []
@@ -135,14 +135,16 @@ def find(docs: DataFrame) -> DataFrame:
 
     tokens = found.where("size(tokens) > 0").select("doc_id", "uid", "base", F.explode("tokens").alias("t"))
     overlap = F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
+    tokens = tokens.withColumn("seed", F.try_element_at(overlap, F.lit(1)))
+    tokens = tokens.where("seed is null or seed.start >= t.start")  # the later words of a seed are no tokens of their own
     tokens = tokens.select(
         "doc_id",
         "uid",
         F.regexp_replace(F.lower(F.regexp_extract(F.col("t.before"), _BEFORE, 1)), r"\s+", " ").alias("before"),
-        F.lower(core).alias("token"),
+        F.coalesce(F.col("seed.h").cast("string"), F.lower(core)).alias("token"),
         (F.col("t.start") + F.length(F.regexp_extract(F.col("t.value"), r"^[^\p{L}\p{N}]*", 0))).alias("start"),
         F.length(core).alias("length"),
-        F.try_element_at(F.transform(overlap, lambda s: s["kind"]), F.lit(1)).alias("kind"),
+        F.col("seed.kind").alias("kind"),
     ).where("before <> '' and length > 0")
     contexts = _patterns(tokens.select("before", "token", "kind"))
     shaped = (F.length(F.regexp_replace("token", "[^0-9]", "")) >= 4) | F.col("token").contains("@")
@@ -151,7 +153,8 @@ def find(docs: DataFrame) -> DataFrame:
     added = new.groupBy(F.col("doc_id").alias("_doc_id"), F.col("uid").alias("_uid")).agg(F.collect_set(span).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("uid") == F.col("_uid"))
     whole = found.drop("tokens").join(added, same, "left")
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
+    placed = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    every = F.array_sort(F.concat(placed, F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     return whole.select(
         "doc_id",
         *[_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
