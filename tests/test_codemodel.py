@@ -87,12 +87,12 @@ def test_risks(spark):
 
 
 def test_scan(spark, tmp_path):
-    files = {"b/B.java": b"/* package no; */ package a.b;\nclass B {}", "A.java": "é".encode("latin-1"), "build/C.java": b"x", "big.java": b"x" * 50, "z/Z.java": b"class Z", "note.md": b"# x"}
+    files = {"b/B.java": b"/* package no; */ package a.b;\nclass B {}", "A.java": "é".encode("latin-1"), "build/C.java": b"x", "Aa.java": b"x" * 50, "z/Z.java": b"class Z", "note.md": b"# x"}
     for name, content in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     rows = {r.relative_path: r for r in R.scan(spark, str(tmp_path), "repo", most_files=2, most_bytes=45).collect()}
-    assert {k: r.reason for k, r in rows.items()} == {"A.java": None, "b/B.java": None, "big.java": "too_large", "z/Z.java": "max_source_files"}
+    assert {k: r.reason for k, r in rows.items()} == {"A.java": None, "b/B.java": None, "Aa.java": "too_large", "z/Z.java": "max_source_files"}
     assert rows["A.java"].text == "é" and rows["A.java"].encoding_issue
     assert rows["b/B.java"].package == "a.b" and not rows["b/B.java"].encoding_issue and len(rows["b/B.java"].id) == 16
     assert rows["z/Z.java"].text is None
