@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Length of the q-grams, and edits allowed per character of an item.
-Q, RATE = 10, 0.08
+#: Length of the q-grams, edits allowed per character of an item, characters that an item has at least to be looked for, and
+#: q-grams that its edits leave whole at least: short items get a smaller budget, or any shared q-gram would be aligned.
+Q, RATE, SHORTEST, WHOLE = 10, 0.08, 40, 8
 #: Characters of benchmark text that one pass over the documents is held against, and of documents looked at together.
 BLOCK_CHARS, CHUNK = 4_000_000, 1 << 19
 #: A code that no character has: it stands between texts.
@@ -86,11 +87,11 @@ def build(rows: list[tuple[int, str]]) -> Index:
     ids, items = [], []
     for item_id, text in rows:
         codes, _ = normalize(text)
-        if len(codes) - Q + 1 - Q * int(RATE * len(codes)) >= 1:
+        if len(codes) >= SHORTEST:
             ids.append(item_id)
             items.append(codes)
     length = np.array([len(x) for x in items], np.int64)
-    budget = (RATE * length).astype(np.int64)
+    budget = np.minimum(RATE * length, (length - Q + 1 - WHOLE) // Q).astype(np.int64)
     hashes = [_gram_hashes(x) for x in items]
     h = np.concatenate([np.empty(0, np.uint64), *hashes])
     item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
@@ -213,8 +214,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents and items are compared as lower-case letters and digits with single spaces between. One row for each document
     and item, the region of fewest edits and then first; positions are code points of the whole text, end exclusive.
     Documents are not shuffled: q-grams that a document shares with an item are counted in overlapping bands of diagonals;
-    a band that reaches the number which the edit budget leaves untouched is aligned. Where RATE would leave no q-gram (items
-    under about 50 characters) an item is not looked for. Null texts match nothing; repeated rows match alike; rows of a null
+    a band that reaches the number which the edit budget leaves untouched is aligned. Items of fewer than SHORTEST letters and
+    digits are not looked for. Null texts match nothing; repeated rows match alike; rows of a null
     item_id are left out; an empty benchmark matches nothing; other columns are ignored.
     """
 
