@@ -169,7 +169,8 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         sketch[row.block] = np.frombuffer(row.counts, "<i8")
 
     rows = profile.where("block is null").select("doc_id", "n", "fp_a", "fp_b", "bins")
-    classes = rows.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
+    # A copy of the classes is dealt anew for the join, so that Spark can split a class of very many documents.
+    classes = materialize(rows.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep")))
     members = materialize(rows.join(classes, ["n", "fp_a", "fp_b"], "left"))
     profiles = members.where("doc_id = rep").select("rep", "bins")
     same = members.where("rep is not null").select(F.col("doc_id").alias("doc"), "rep").distinct()
