@@ -35,12 +35,6 @@ def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
-def _dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < _EXACT:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return x @ q
-
-
 class Lists:
     """A block of vectors with, for each dimension, its rows from largest to smallest value."""
 
@@ -48,6 +42,19 @@ class Lists:
         order = np.argsort(ids, kind="stable")  # so that of equal scores the first row has the smallest id
         self.ids, self.vectors = ids[order], vectors[order]
         self.order = np.argsort(-self.vectors, axis=0, kind="stable").astype(np.int32)
+        self.doubles = self.vectors.astype(np.float64)
+        self.largest = np.abs(self.doubles).max(initial=0)
+
+    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.largest * float(np.abs(q).max(initial=0)) * max(len(q), 1) < _EXACT:
+            return (self.doubles[rows] @ q.astype(np.float64)).astype(np.int64)
+        return self.vectors[rows] @ q
+
+    def _best(self, scores: np.ndarray, seen: np.ndarray, query_id: int, k: int) -> np.ndarray:
+        rows = np.flatnonzero(seen & (self.ids != query_id))
+        if len(rows) > k:
+            rows = rows[scores[rows] >= np.partition(scores[rows], len(rows) - k)[len(rows) - k]]
+        return rows[np.lexsort((rows, -scores[rows]))[:k]]
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the ``k`` highest scores with their scores, the query's own row left out.
@@ -57,24 +64,21 @@ class Lists:
         is below the kth score, no such row can count, nor tie.
         """
         n, dims = len(self.ids), np.flatnonzero(q)
-        weights = q[dims]
+        up, down = dims[q[dims] > 0], dims[q[dims] < 0]
         scores = np.zeros(n, np.int64)
-        seen = np.zeros(n, bool)
+        seen = np.full(n, not len(dims))
+        rows = self._best(scores, seen, query_id, k)
         depth, read = min(DEPTH, n), 0
-        up = weights > 0
-        lists = np.where(up, self.order[:, dims], self.order[::-1, dims]) if len(dims) else np.arange(n, dtype=np.int32)[:, None]
-        while True:
-            new = np.unique(lists[read:depth])
-            new = new[~seen[new]]
+        while not seen.all():
+            met = np.zeros(n, bool)
+            met[self.order[read:depth, up]] = True
+            met[self.order[n - depth : n - read, down]] = True
+            new = np.flatnonzero(met & ~seen)
             seen[new] = True
-            scores[new] = _dot(self.vectors[new], q)
-            rows = np.flatnonzero(seen & (self.ids != query_id))
-            if len(rows) > k:
-                rows = rows[np.lexsort((rows, -scores[rows]))[:k]]
-            if depth >= n:
-                break
-            if len(rows) == k and len(dims):
-                bound = int((self.vectors[lists[depth - 1], dims] * weights).sum())
+            scores[new] = self._scores(new, q)
+            rows = self._best(scores, seen, query_id, k)
+            if len(rows) == k:
+                bound = int(self.vectors[self.order[depth - 1, up], up] @ q[up] + self.vectors[self.order[n - depth, down], down] @ q[down])
                 if bound < scores[rows].min():
                     break
             read, depth = depth, min(2 * depth, n)
