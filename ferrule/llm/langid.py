@@ -51,7 +51,7 @@ def _count(batches: Batches) -> Batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for word, c in Counter(_TOKEN.findall((text or "").lower())).items():
                 counts[lang, 0, word] += c
-        if len(counts) > 100_000:
+        if len(counts) > 50_000:
             yield flush()
     yield flush()
 
@@ -67,27 +67,33 @@ class Model:
     def scorer(self) -> Callable[[str | None], tuple[str, float]]:
         flat = np.zeros(len(self.languages))
 
-        @lru_cache(1 << 16)
-        def unseen(word: str) -> np.ndarray:
+        @lru_cache(1 << 15)
+        def unseen(word: str) -> tuple[int, list[int]]:
+            """The longest n of which the model knows n-grams of the word, and their rows."""
             for n in range(LONGEST, 0, -1):
-                if rows := [i for g in _grams(word, n) if (i := self.index[n].get(g)) is not None]:
-                    return self.logs[n][rows].mean(0)
-            return flat
+                known = self.index[n]
+                if rows := [known[g] for g in _grams(word, n) if g in known]:
+                    return n, rows
+            return 0, []
 
         def score(text: str | None) -> tuple[str, float]:
             tokens = _TOKEN.findall((text or "").lower())
             if not self.languages or not any(c.isalpha() for w in tokens for c in w):
                 return UNDETERMINED, 0.0
-            rows, times, total, known = [], [], flat.copy(), self.index[0]
+            rows: list[list[int]] = [[] for _ in self.index]
+            weights: list[list[float]] = [[] for _ in self.index]
+            known = self.index[0]
             for word, c in Counter(tokens).items():
                 i = known.get(word)
-                if i is None:
-                    total += c * unseen(word)
+                if i is not None:
+                    rows[0].append(i)
+                    weights[0].append(c)
                 else:
-                    rows.append(i)
-                    times.append(c)
-            if rows:
-                total += np.array(times) @ self.logs[0][rows]
+                    n, found = unseen(word)
+                    if found:
+                        rows[n] += found
+                        weights[n] += [c / len(found)] * len(found)
+            total = sum((np.array(w) @ self.logs[n][r] for n, (r, w) in enumerate(zip(rows, weights, strict=True)) if r), flat)
             mean = total / len(tokens) * min(len(tokens), SURE)
             odds = np.exp(mean - mean.max())
             best = int(odds.argmax())
