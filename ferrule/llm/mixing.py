@@ -36,11 +36,13 @@ def _targets(rows: DataFrame) -> DataFrame:
 
 
 def _schedule(sources: DataFrame) -> DataFrame:
-    """The slots: sid and rank, the rank of the slot among those of its source.
+    """The slots: sid, rank, the rank of the block among those of its source, and slot, its place in the mix, counted from 0 without gaps.
 
     Slot i draws the golden-ratio point i, which the cumulative targets map to a source. The map is an equi-join on the
     cell of the unit interval; a source lists the cells it touches. Ranks come from ``running_sum`` over stretches of
-    the schedule. A source stops at its quota; the few slots that discrepancy leaves short are added at the end.
+    the schedule. A source stops at its quota, which leaves slots vacant; the blocks that discrepancy leaves short, as
+    many, fill those in the order of their share of their source. A source has only a few of either, so a window over
+    all of them is like one over the sources.
     """
     spark = sources.sparkSession
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,18 +55,66 @@ def _schedule(sources: DataFrame) -> DataFrame:
         F.sum("quota").over(whole).alias("all"),
     ).where("quota > 0")
     spans = spans.withColumns({"lo": F.col("lo") / F.col("all"), "hi": (F.col("lo") + F.col("quota")) / F.col("all")})
-    cells = spans.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BUCKETS), F.floor(F.col("hi") * BUCKETS))).alias("cell"))
+    cells = spans.select("sid", "need", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BUCKETS), F.floor(F.col("hi") * BUCKETS))).alias("cell"))
     n = spans.agg(F.sum("need")).first()[0] or 0
     point = (F.col("slot") % PERIOD * STEP % PERIOD) / F.lit(float(PERIOD))
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point)
     slots = slots.withColumn("cell", F.floor(F.col("point") * BUCKETS))
     drawn = slots.join(cells, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    drawn = materialize(drawn.select("sid", "slot", F.expr(f"(slot * {BUCKETS}) div {max(n, 1)}").alias("bucket"), F.lit(1).alias("one")))
-    ranked = running_sum(drawn, ["sid"], "bucket", ["slot"], "one", "rank", "drawn")
+    drawn = materialize(drawn.select("sid", "need", "slot", F.expr(f"(slot * {BUCKETS}) div {max(n, 1)}").alias("bucket"), F.lit(1).alias("one")))
+    ranked = materialize(running_sum(drawn, ["sid"], "bucket", ["slot"], "one", "rank", "drawn").select("sid", "need", "rank", "slot"))
     have = drawn.groupBy("sid").agg(F.count("*").alias("have"))
     short = spans.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    late = short.select("sid", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
-    return ranked.select("sid", "rank").unionByName(late)
+    late = short.select("sid", "need", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+    late = late.select("sid", "rank", F.row_number().over(Window.orderBy((F.col("rank") + 0.5) / F.col("need"), "sid")).alias("turn"))
+    vacant = ranked.where("rank >= need").select("slot", F.row_number().over(Window.orderBy("slot")).alias("turn"))
+    return ranked.where("rank < need").select("sid", "rank", "slot").unionByName(late.join(vacant, "turn").select("sid", "rank", "slot"))
+
+
+def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with size and outcome of their source, ``start`` null without words; and the pieces of them that the slots take.
+
+    (sid, start) tells the rows with words apart.
+    """
+    rows = materialize(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("key"))
+    )
+    sources = materialize(_targets(rows))
+    sized = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sized = materialize(sized.withColumn("bucket", F.substring("key", 1, 3)))
+    placed = running_sum(sized.where("size > 0"), ["sid"], "bucket", ["key", "doc_id", "size"], "size", "start", "stream")
+    placed = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "quota", "start"))
+    passes = F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")
+    spread = placed.select("doc_id", "source", "size", "source_size", "sid", "start", "quota", passes)
+    spread = spread.withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size"))
+    spread = spread.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
+    pieces = spread.withColumn("rank", F.explode(F.sequence(F.expr(f"lo div {BLOCK_WORDS}"), F.expr(f"(hi - 1) div {BLOCK_WORDS}"))))
+    head, tail = F.greatest("lo", F.col("rank") * BLOCK_WORDS), F.least("hi", (F.col("rank") + 1) * BLOCK_WORDS)
+    pieces = pieces.select(
+        "sid",
+        "rank",
+        "start",
+        "source",
+        "doc_id",
+        "pass",
+        (head - F.col("rank") * BLOCK_WORDS).alias("at"),
+        (head - F.col("lo")).alias("first"),
+        (tail - F.col("lo")).alias("last"),
+    )
+    empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", "sid", "quota", F.lit(None).cast("long").alias("start"))
+    return placed.unionByName(empty), pieces.join(_schedule(sources), ["sid", "rank"]).drop("rank")
+
+
+def blocks(docs: DataFrame, seed: int = 29) -> DataFrame:
+    """The mix itself, what each slot takes: slot, at, source, doc_id, pass, first, last.
+
+    Slots are counted from 0 without gaps; their order is the interleaving of the sources. A slot takes one block of one
+    source, which is a run of pieces of documents: ``at`` words of the block come before the piece, the words ``first``
+    to ``last`` of the document, counted from 0, end exclusive, in its ``pass``, from 0. Ordered by slot and ``at``, the
+    pieces are the mixed text. See ``mix`` for the sources' shares and streams.
+    """
+    _, pieces = _plan(docs, seed)
+    return pieces.select("slot", "at", "source", "doc_id", "pass", "first", "last")
 
 
 def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
@@ -74,47 +124,39 @@ def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     three times its source, the excess reshared by weight. Each source is a stream: its documents in seeded-shuffled
     order, repeated, cut into blocks of ``BLOCK_WORDS`` words. Slot number r that the schedule gives a source takes the
     stream's block r, the last one cut at the target. So a source gives its target in whole words, and a document is
-    taken at most once in each of three passes. All orders come from seeded hashes: reruns agree.
+    taken at most once in each of three passes. All orders come from seeded hashes: reruns agree. ``blocks`` has the
+    slots in their order; here they are summed by document.
 
     Returns the columns of ``docs`` it needs and the outcome: doc_id, source, size, source_size, target, taken. Documents
     without words (or text) have size 0 and are taken 0 times; null ids and sources are values like others; rows that
     repeat are mixed one by one; an empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("key"))
-    )
-    sources = materialize(_targets(rows))
-    sized = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    sized = materialize(sized.withColumn("bucket", F.substring("key", 1, 3)))
-    placed = running_sum(sized.where("size > 0"), ["sid"], "bucket", ["key", "doc_id", "size"], "size", "start", "stream")
-    passes = F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")
-    spread = placed.select("doc_id", "source", "size", "source_size", "target", "sid", "start", "quota", passes)
-    spread = spread.withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size"))
-    spread = spread.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota")))
-    # Also a document that is not taken keeps one row, without a block.
-    spread = spread.where("lo < hi or pass = 0")
-    blocks = F.when(F.col("lo") < F.col("hi"), F.sequence(F.expr(f"lo div {BLOCK_WORDS}"), F.expr(f"(hi - 1) div {BLOCK_WORDS}")))
-    pieces = spread.withColumn("rank", F.explode_outer(blocks))
-    words = F.least("hi", (F.col("rank") + 1) * BLOCK_WORDS) - F.greatest("lo", F.col("rank") * BLOCK_WORDS)
-    pieces = pieces.select("doc_id", "source", "size", "source_size", "target", "sid", "start", "rank", words.alias("words"))
-    idle = pieces.where("rank is null").drop("rank").withColumn("words", F.lit(0))
-    taken = pieces.where("rank is not null").join(_schedule(sources), ["sid", "rank"]).drop("rank")
-    mixed = taken.unionByName(idle).groupBy("doc_id", "source", "size", "source_size", "target", "sid", "start").agg(F.sum("words").alias("taken"))
-    empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")).unionByName(empty)
-
-
-def mixed(docs: DataFrame, seed: int = 29) -> DataFrame:
+    rows, pieces = _plan(docs, seed)
+    sums = pieces.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    mixed = rows.join(sums, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")), "left")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 29, slot: str | None = None) -> DataFrame:
     """The documents as the mix takes them, with all their columns: each as often as the words taken hold it, rounded.
 
-    Rows that share doc_id, source and size are told apart by a number within them, so that repeated rows are not multiplied.
+    Rows come in the order of the mix: each copy stands at the first slot that takes a word of it, copies of one slot in
+    the order of its block. ``slot`` names a column to keep that slot in. Rows that share doc_id, source and size are told
+    apart by a number within them, so that repeated rows are not multiplied.
     """
     keys = ["doc_id", "source", "_size"]
     numbered = docs.withColumn("_size", word_count(F.col("text")))
     numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
-    plan = mix(docs, seed).where("size > 0").withColumn("_size", F.col("size"))
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"))))
-    plan = plan.select(*[F.col(c).alias(f"_m{c}") for c in [*keys, "_n"]], F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
+    rows, pieces = _plan(docs, seed)
+    turns = pieces.groupBy("sid", "start", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("words"), F.min(F.struct("slot", "at")).alias("turn"))
+    turn = F.struct("pass", "turn")
+    plan = turns.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    plan = rows.where("size > 0").join(plan, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")))
+    plan = plan.withColumn("_size", F.col("size"))
+    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"), "start")))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    plan = plan.select(*[F.col(c).alias(f"_m{c}") for c in [*keys, "_n"]], F.slice("turns", F.lit(1), copies).alias("_turns"))
     same = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in [*keys, "_n"]]
-    joined = numbered.join(plan.where("_copies > 0"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    joined = numbered.join(plan.where("size(_turns) > 0"), same).withColumn("_turn", F.explode("_turns"))
+    kept = [F.col("_turn.turn.slot").alias(slot)] if slot else []
+    return joined.orderBy("_turn.turn.slot", "_turn.turn.at").select(*[c for c in docs.columns if c != slot], *kept)

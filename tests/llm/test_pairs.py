@@ -196,6 +196,43 @@ def test_mixed_documents_come_as_often_as_they_are_taken(spark):
     assert mixing.mixed(docs_of(spark, [])).count() == 0
 
 
+def test_blocks_hold_the_interleaved_order(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 7, 100, 400])), rng.choice(["hot"] * 6 + ["a", "b", "tiny", None])) for k in range(400)]
+    docs = docs_of(spark, [*rows, (5000, "one two", "t1"), (5001, "one", "t2")])
+    found = sorted(mixing.blocks(docs).collect(), key=lambda r: (r.slot, r.at))
+    by = defaultdict(list)
+    for r in found:
+        by[r.slot].append(r)
+    assert sorted(by) == list(range(len(by)))  # late blocks have slots, too
+    taken: dict = defaultdict(int)
+    for pieces in by.values():
+        assert len({r.source for r in pieces}) == 1
+        at = 0
+        for r in pieces:
+            assert r.at == at and r.first < r.last
+            at += r.last - r.first
+            taken[r.doc_id] += r.last - r.first
+        assert at <= mixing.BLOCK_WORDS
+    assert taken == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    # A stretch of the mix holds the sources by their shares, up to a few blocks.
+    order = [by[k][0].source for k in range(len(by))]
+    for end in range(20, len(order), 20):
+        for source, c in Counter(order).items():
+            assert abs(order[:end].count(source) - c * end / len(order)) <= 4
+    kept = mixing.mixed(docs, slot="slot").collect()
+    slots = [r.slot for r in kept]
+    first: dict = {}
+    for r in found:
+        first.setdefault((r.doc_id, r["pass"]), r.slot)
+    seen: dict = defaultdict(list)
+    for r in kept:
+        seen[r.doc_id].append(r.slot)
+    assert slots == sorted(slots)
+    assert all(sorted(v) == sorted(first[d, k] for k in range(len(v))) for d, v in seen.items())
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == [r.doc_id for r in kept]
+
+
 def test_threshold_search_is_exact_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(6)
     vectors = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(300)]
