@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Length of the q-grams, edits allowed per character of an item, characters that an item has at least to be looked for, and
-#: q-grams that its edits leave whole at least: short items get a smaller budget, or any shared q-gram would be aligned.
-Q, RATE, SHORTEST, WHOLE = 10, 0.08, 40, 8
+#: Length of the q-grams, edits allowed per character of an item, and q-grams that its edits leave whole at least: short
+#: items get a smaller budget, or any shared q-gram would be aligned, and no edits where none fits.
+Q, RATE, WHOLE = 10, 0.08, 8
 #: Characters of benchmark text that one pass over the documents is held against, and of documents looked at together.
 BLOCK_CHARS, CHUNK = 4_000_000, 1 << 19
 #: A code that no character has: it stands between texts.
@@ -56,13 +56,13 @@ def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, at
 
 
-def _gram_hashes(codes: np.ndarray) -> np.ndarray:
+def _gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(codes)
-    if n < Q:
+    if n < q:
         return np.empty(0, np.uint64)
     size = 1 << max(20, int(n).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[:n])])
-    h = (sums[Q:] - sums[:-Q]) * _powers(_INVERSE, size)[: n - Q + 1]
+    h = (sums[q:] - sums[:-q]) * _powers(_INVERSE, size)[: n - q + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -70,7 +70,10 @@ def _gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of benchmark items. ``need``: q-grams that a region within the edit budget shares at least."""
+    """The q-grams of a block of benchmark items. ``need``: q-grams that a region within the edit budget shares at least.
+
+    ``short`` has the items shorter than a q-gram: for each length the sorted hashes, and the items and ids in their order.
+    """
 
     ids: list[int]
     items: list[np.ndarray]
@@ -81,17 +84,25 @@ class Index:
     item: np.ndarray
     offset: np.ndarray
     bitmap: np.ndarray
+    short: list[tuple[np.ndarray, np.ndarray, list[int]]]
 
 
 def build(rows: list[tuple[int, str]]) -> Index:
     ids, items = [], []
+    brief: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for item_id, text in rows:
         codes, _ = normalize(text)
-        if len(codes) >= SHORTEST:
+        if len(codes) >= Q:
             ids.append(item_id)
             items.append(codes)
+        elif len(codes):
+            brief.setdefault(len(codes), []).append((int(_gram_hashes(codes, len(codes))[0]), item_id, codes))
+    short = []
+    for _, some in sorted(brief.items()):
+        some = sorted(some, key=lambda x: x[:2])
+        short.append((np.array([x[0] for x in some], np.uint64), np.array([x[2] for x in some]), [x[1] for x in some]))
     length = np.array([len(x) for x in items], np.int64)
-    budget = np.minimum(RATE * length, (length - Q + 1 - WHOLE) // Q).astype(np.int64)
+    budget = np.maximum(np.minimum(RATE * length, (length - Q + 1 - WHOLE) // Q), 0).astype(np.int64)
     hashes = [_gram_hashes(x) for x in items]
     h = np.concatenate([np.empty(0, np.uint64), *hashes])
     item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
@@ -100,7 +111,7 @@ def build(rows: list[tuple[int, str]]) -> Index:
     grams, first = np.unique(h[order], return_index=True)
     bitmap = np.zeros(1 << _BITMAP_BITS, bool)
     bitmap[grams >> np.uint64(64 - _BITMAP_BITS)] = True
-    return Index(ids, items, budget, length - Q + 1 - Q * budget, grams, np.append(first, len(h)), item[order], offset[order], bitmap)
+    return Index(ids, items, budget, length - Q + 1 - Q * budget, grams, np.append(first, len(h)), item[order], offset[order], bitmap, short)
 
 
 def _align(item: np.ndarray, region: np.ndarray, spread: int) -> tuple[int, int, int]:
@@ -130,7 +141,7 @@ def find(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int
     size = 0
     for k, text in enumerate(texts):
         codes, at = normalize(text or "")
-        if len(codes) >= Q:
+        if len(codes):
             group.append((k, codes, at))
             size += len(codes)
         if size >= CHUNK:
@@ -140,12 +151,33 @@ def find(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int
     return found
 
 
+def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found: list[list[tuple[int, int, int, int]]]) -> None:
+    """The first place in each text of each item shorter than a q-gram, as it stands."""
+    for hashes, items, ids in index.short:
+        n = items.shape[1]
+        h = _gram_hashes(codes, n)
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        at = np.flatnonzero(high > low)
+        times = (high - low)[at]
+        item = np.repeat(low[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(at) else at
+        at = np.repeat(at, times)
+        real = (codes[at[:, None] + np.arange(n)] == items[item]).all(1)
+        at, item = at[real], item[real]
+        d = np.searchsorted(begins, at, "right") - 1
+        _, first = np.unique(d * len(ids) + item, return_index=True)
+        for k in first.tolist():
+            number, _, origin = group[d[k]]
+            a = int(at[k] - begins[d[k]])
+            found[number].append((ids[item[k]], int(origin[a]), int(origin[a + n - 1]) + 1, 0))
+
+
 def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found: list[list[tuple[int, int, int, int]]]) -> None:
-    if not group or not index.items:
+    if not group:
         return
     gap = np.array([_GAP], np.uint32)
     codes = np.concatenate([x for _, c, _ in group for x in (c, gap)])
     begins = np.cumsum([0, *[len(c) + 1 for _, c, _ in group]])
+    _scan_short(codes, begins, group, index, found)
     h = _gram_hashes(codes)
     at = np.flatnonzero(index.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
     slot = np.searchsorted(index.grams, h[at])
@@ -193,14 +225,20 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found:
         found[number].append((item_id, s, e, edits))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark in blocks of about ``BLOCK_CHARS`` characters, so that what is broadcast stays bounded."""
+def _blocks(benchmark: DataFrame, nameless: bool = False) -> Iterator[Index]:
+    """The benchmark in blocks of about ``BLOCK_CHARS`` characters, so that what is broadcast stays bounded.
+
+    Rows of a null item_id are left out, or if ``nameless``, all rows are in, under their number in the block.
+    """
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield build(sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
+        if nameless:
+            yield build(list(enumerate(sorted(r.text for r in rows))))
+        else:
+            yield build(sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
 
 
 def _map(docs: DataFrame, index: Index, run: Callable[[pa.RecordBatch, Index], pa.RecordBatch], schema: str | StructType) -> DataFrame:
@@ -214,9 +252,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents and items are compared as lower-case letters and digits with single spaces between. One row for each document
     and item, the region of fewest edits and then first; positions are code points of the whole text, end exclusive.
     Documents are not shuffled: q-grams that a document shares with an item are counted in overlapping bands of diagonals;
-    a band that reaches the number which the edit budget leaves untouched is aligned. Items of fewer than SHORTEST letters and
-    digits are not looked for. Null texts match nothing; repeated rows match alike; rows of a null
-    item_id are left out; an empty benchmark matches nothing; other columns are ignored.
+    a band that reaches the number which the edit budget leaves untouched is aligned. Items of under about 85 characters get
+    fewer edits, those of under 27 none; those shorter than a q-gram are looked for as they stand, anywhere in the text, also
+    within words. An item counts as a whole: what a document leaves out of it are edits, so of a long item it must hold
+    ``1 - RATE`` of the characters, in one region, and a longer part cut off hides it. Items without letters and digits, and
+    null texts, match nothing; repeated rows match alike; rows of a null item_id are left out, since they have no name to
+    give (``clean`` looks for them, too); an empty benchmark matches nothing; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
@@ -233,11 +274,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, as ``matches`` finds them, with all their columns; items of a null item_id count, too."""
 
     def run(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         return batch.filter(pa.array([not x for x in find(batch.column("text").to_pylist(), index)], pa.bool_()))
 
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, nameless=True):
         docs = _map(docs, index, run, docs.schema)
     return docs

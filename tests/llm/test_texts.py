@@ -81,6 +81,20 @@ def test_clean_leaves_the_rest_alone(spark, monkeypatch):
     assert decontaminate.matches(docs_of(spark, rows).where("false"), bench).count() == 0
 
 
+def test_short_items_and_those_without_an_id_are_found(spark):
+    items = [(1, "Who wrote Emma, and when?"), (2, "水的化学式是什么，它由哪些元素组成，在标准气压下多少度沸腾"), (3, "7 x 8?"), (4, "short"), (4, "Short!"), (5, "--"), (6, "Name the largest moon of Jupiter."), (None, "What is the capital of France?")]
+    bench = spark.createDataFrame(items, BENCH)
+    rows = [(k, f"before. {t}. after") for k, (_, t) in enumerate(items)]
+    rows += [(20, "7 x 8"), (21, "7x8"), (22, "who wrote Emma and whem"), (23, "name the largest mon of jupiter"), (24, "7 x"), (25, None), (26, "..."), (27, "rt 7 x"), (28, "x 8 sho")]
+    found = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs_of(spark, rows), bench).collect()}
+    expected = {(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (4, 4, 0), (6, 6, 0), (20, 3, 0), (23, 6, 1)}
+    assert found == expected
+    kept = {r.doc_id for r in decontaminate.clean(docs_of(spark, rows), bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, *_ in expected} - {7}
+    place = {(r.doc_id, r.item_id): (r.start, r.end) for r in decontaminate.matches(docs_of(spark, rows), bench).collect()}
+    assert place[2, 3] == (8, 13) and place[20, 3] == (0, 5)
+
+
 def test_all_benchmark_passages_of_the_table_are_found(spark, data):
     found = {(r.doc_id, r.item_id) for r in QUERIES["op5_benchmark_decontamination"](spark, data).collect()}
     docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
