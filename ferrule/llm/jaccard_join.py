@@ -20,6 +20,8 @@ CELL_BITS, BLOCK_BITS = 20, 10
 BINS = 64
 #: A list of postings is dealt over SALTS tasks if its cell counts more than HOT shingles and HOT_TIMES the mean cell.
 HOT, HOT_TIMES, SALTS = 1 << 20, 64, 64
+#: Documents of a list that one part of it pairs with the whole list, where all links are asked for.
+PAIRED = 256
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -138,27 +140,8 @@ def _links(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, num: int, den
     return materialize(held.distinct())
 
 
-def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """Link documents whose sets of 5-word shingles have a Jaccard similarity of ``num / den`` or more; one row per document.
-
-    Returns doc_id, n_shingles and component_id, the smallest doc_id that links reach, itself included.
-
-    1. One pass hashes every whole text: set size, fingerprint of the set, histogram, and a count sketch of all shingles
-       in a fixed number of cells. Documents of one set are a class, which its smallest doc_id stands for.
-    2. A second pass orders each set rare-first, by cell count and then hash, and emits its prefix: two sets that link
-       share a shingle in their prefixes. A task emits a set once. Shingles in one prefix only drop out.
-    3. Star round: in each list of postings, every document is paired with the list's first. Pairs pass the length,
-       positional and suffix filters, and the texts of the rest are compared, once per pair.
-    4. Full round: where a list still holds more than one component, each document outside the list's largest component
-       is paired with all those of other components, and compared likewise. No link between different components is
-       missed, and a large group of copies, being one component by now, makes no pairs.
-
-    No list is gathered: lists of very frequent shingles are dealt over ``SALTS`` tasks in the star round, and the joins of
-    the full round split. Only the sketch goes through the driver; its size is fixed.
-
-    Documents without words, or with null text, have an empty set and are linked with nothing. A null doc_id is linked
-    with nothing and has a null component. Rows that share a doc_id are one node. Other columns are ignored.
-    """
+def _index(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 and 2 of ``join``: the documents, their rows with class, the histogram of each class, (doc, rep), and the lists of postings."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n long, fp_a long, fp_b long, bins binary, block long, counts binary"
@@ -179,8 +162,31 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0))
     shared = postings.withColumn("salt", salt).withColumn("of", F.count("*").over(Window.partitionBy("h", "salt"))).where("of > 1 or hot")
     lists = shared.drop("of", "salt").join(same, "doc").select("h", F.col("rep").alias("doc"), "n", "pos", "hot").distinct()
-    lists = materialize(lists.withColumn("salt", salt))
+    return docs, members, profiles, same, materialize(lists.withColumn("salt", salt))
+
+
+def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """Link documents whose sets of 5-word shingles have a Jaccard similarity of ``num / den`` or more; one row per document.
+
+    Returns doc_id, n_shingles and component_id, the smallest doc_id that links reach, itself included.
 
+    1. One pass hashes every whole text: set size, fingerprint of the set, histogram, and a count sketch of all shingles
+       in a fixed number of cells. Documents of one set are a class, which its smallest doc_id stands for.
+    2. A second pass orders each set rare-first, by cell count and then hash, and emits its prefix: two sets that link
+       share a shingle in their prefixes. A task emits a set once. Shingles in one prefix only drop out.
+    3. Star round: in each list of postings, every document is paired with the list's first. Pairs pass the length,
+       positional and suffix filters, and the texts of the rest are compared, once per pair.
+    4. Full round: where a list still holds more than one component, each document outside the list's largest component
+       is paired with all those of other components, and compared likewise. No link between different components is
+       missed, and a large group of copies, being one component by now, makes no pairs.
+
+    No list is gathered: lists of very frequent shingles are dealt over ``SALTS`` tasks in the star round, and the joins of
+    the full round split. Only the sketch goes through the driver; its size is fixed.
+
+    Documents without words, or with null text, have an empty set and are linked with nothing. A null doc_id is linked
+    with nothing and has a null component. Rows that share a doc_id are one node. Other columns are ignored.
+    """
+    docs, members, profiles, same, lists = _index(docs, num, den)
     order = Window.partitionBy("h", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stars = lists.select(F.struct("doc", "n", "pos").alias("x"), F.first(F.struct("doc", "n", "pos")).over(order).alias("y"))
     links = _links(_pairs(stars.where(_room(num, den))), profiles, docs, num, den)
@@ -208,6 +214,46 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _all_links(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, members, profiles, same, lists = _index(docs, num, den)
+    lengths = lists.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
+    dealt = lists.join(lengths, "h").select("h", "doc", "n", "pos", F.ceil(F.col("of") / PAIRED).alias("parts"))
+    one = dealt.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc") < F.col("y.doc"))
+    held = _links(_pairs(one.alias("x").join(every.alias("y"), meets & _room(num, den))), profiles, docs, num, den)
+    sizes = materialize(same.where("doc is not null").groupBy("rep").agg(F.count("*").alias("size")))
+    for side in ("a", "b"):
+        held = held.join(sizes.select(F.col("rep").alias(side), F.col("size").alias(f"size_{side}")), side)
+    return members, sizes, materialize(held.select("a", "b", "size_a", "size_b"))
+
+
+def links(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """Every link between classes: a, b, size_a, size_b, with a < b.
+
+    A class is the documents of one set of shingles, ``size`` distinct doc_ids, which its smallest doc_id stands for. Such
+    a row is size_a * size_b links of documents; the documents of a class are linked with each other besides. Unlike
+    ``join``, all pairs of a list of postings that pass the length, positional and suffix filters are compared, once per
+    pair: their number grows with the square of a group of near copies, as that of the links does. Long lists are dealt
+    in parts of about ``PAIRED`` documents, each of which meets the whole list.
+    """
+    return _all_links(docs, num, den)[2]
+
+
+def count_links(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """The number of other documents that each is linked with: doc_id, n_shingles, n_links; one row per document.
+
+    Documents without words and those of a null doc_id have none. Rows that share a doc_id are counted as one document;
+    if their texts differ, that document counts once for each class it is in.
+    """
+    members, sizes, held = _all_links(docs, num, den)
+    ways = [held.select(F.col(x).alias("rep"), F.col(f"size_{y}").alias("c")) for x, y in ("ab", "ba")]
+    others = ways[0].unionByName(ways[1]).groupBy("rep").agg(F.sum("c").alias("others"))
+    counts = sizes.join(others, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.col("count"))
+    return members.join(counts, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(linked, F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_first(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """The documents that are the smallest doc_id of their component, with all their columns.
 

@@ -84,6 +84,29 @@ def test_join_finds_the_components_of_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("paired", [256, 3])
+def test_links_are_those_of_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    words = [f"v{k}" for k in range(60)]
+    near = [(2000 + k, " ".join([*words, f"end{k}"])) for k in range(12)]  # all linked with one another, all different
+    rows = [*corpus(4), *near, (1000, None), (1001, ""), (1003, "one two")]
+    sets = {d: shingles(t) for d, t in rows}
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    expected = {d: (len(s), sum(linked(s, t) for e, t in sets.items() if e != d)) for d, s in sets.items()}
+    assert all(expected[d][1] == 11 for d, _ in near)
+    docs = docs_of(spark, rows).repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.n_links) for r in jaccard_join.count_links(docs).collect()]
+    assert len(got) == len(rows) and {d: (n, c) for d, n, c in got} == expected
+    found = jaccard_join.links(docs).collect()
+    classes = defaultdict(list)
+    for d, s in sets.items():
+        classes[frozenset(s)].append(d)
+    reps = {min(v): (s, len(v)) for s, v in classes.items() if s}
+    pairs = {(a, b, reps[a][1], reps[b][1]) for a in reps for b in reps if a < b and linked(reps[a][0], reps[b][0])}
+    assert {tuple(r) for r in found} == pairs and len(found) == len(pairs)
+    assert jaccard_join.count_links(docs.where("false")).count() == 0
+
+
 def test_join_with_every_list_dealt_over_salts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", 0)
     monkeypatch.setattr(jaccard_join, "HOT_TIMES", 0)
