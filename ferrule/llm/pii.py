@@ -20,8 +20,10 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Words with a digit or an at sign, and the two words before one.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _BEFORE = r"(\S+\s+\S+)\s+$"
-#: Seeds that a context must precede, share of its tokens that must be alike, and rounds of scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: What stands for the words before the first; and characters before a token that are looked at.
+_START, _NEAR = "^ ^ ", 120
+#: Seeds that a context must precede, and share of its tokens that must be alike.
+SUPPORT, CONFIDENCE = 3, 0.8
 
 
 def _luhn(value: Column) -> Column:
@@ -45,23 +47,37 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _shape(value: Column) -> Column:
+    """Runs of letters as one a, runs of digits as one 0."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "0")
+
+
+def _shaped() -> Column:
+    """May the token be personal data: four digits or more, or an at sign?"""
+    return (F.length(F.regexp_replace("token", "[^0-9]", "")) >= 4) | F.col("token").contains("@")
+
+
 def _located(df: DataFrame, name: str, pattern: str, useful: Column, extra: str) -> DataFrame:
-    """Add ``name``: the matches of ``pattern`` in ``text``, each with start, end, value and the text before it since the last match, if ``extra``.
+    """Add ``name``: the matches of ``pattern`` in ``text``, each with start, end, value and, if ``extra``, the end of the text before it, earlier matches in it masked by their shape.
 
     Splitting by a pattern finds the same matches as extracting them; the lengths of both, in code points, give the places.
     """
+    near = F.lit(_NEAR)
     df = df.withColumn("_m", F.when(useful, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("text", pattern, -1)))
     kind = f"array<struct<start:int,end:int,value:string{extra and ',before:string'}>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    tail = [F.lit(_START).alias("tail")] if extra else []
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"), *tail)
 
     def step(acc: Column, i: Column) -> Column:
         piece, value = F.element_at("_p", i), F.element_at("_m", i)
         start = acc["at"] + F.length(piece)
         end = start + F.length(value)
-        more = [F.right(piece, F.lit(120)).alias("before")] if extra else []
+        before = F.right(F.concat(acc["tail"], F.right(piece, near)), near) if extra else None
+        more = [before.alias("before")] if extra else []
+        tail = [F.right(F.concat(before, _shape(F.right(value, near))), near).alias("tail")] if extra else []
         one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), *more)
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"), *tail)
 
     found = F.aggregate(F.sequence(F.lit(1), F.size("_m")), empty, step, lambda acc: acc["found"])
     return df.withColumn(name, F.when(F.size("_m") > 0, found).otherwise(F.array().cast(kind))).drop("_m", "_p")
@@ -97,23 +113,37 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def _patterns(edges: DataFrame) -> DataFrame:
     """Contexts worth trusting, with the kind they lead to, from the graph of contexts and the tokens that follow them.
 
-    Tokens that hold a base span score 1. In each round a context scores the mean of its tokens, if enough of them are
-    seeds, and any other token the best of its contexts. All groups are partial aggregates.
+    Tokens that hold a base span are seeds. In each round every context with enough seeds scores the mean of its tokens: 1
+    for a seed, and for any other the largest share of seeds among its other contexts that have enough, so that no context
+    raises itself. Those that score enough are trusted from then on, and the tokens they mark are seeds of the next round.
+    Rounds end when no context is added. All groups are partial aggregates.
     """
     nodes = materialize(edges.groupBy("before", "token").agg(F.max("kind").alias("kind")))
-    seeds = F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("token")))
-    enough = nodes.groupBy("before").agg(seeds.alias("support")).where(F.col("support") >= SUPPORT)
-    nodes = materialize(nodes.join(enough, "before"))
-    scored = nodes.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-    for _ in range(ROUNDS):
-        contexts = scored.groupBy("before").agg(F.avg("score").alias("confidence"))
-        best = nodes.where("kind is null").join(contexts, "before").groupBy("token").agg(F.max("confidence").alias("best"))
-        scored = nodes.join(best, "token", "left").withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
-        scored = materialize(scored)
-    seeded = scored.where("kind is not null").groupBy("before", "kind").agg(F.count("*").alias("n"))
-    major = seeded.groupBy("before").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
-    trusted = scored.groupBy("before").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
-    return materialize(trusted.join(major, "before").select("before", "kind"))
+    trusted = edges.sparkSession.createDataFrame([], "before string, kind int, confidence double")
+    while True:
+        marked = nodes.where("kind is null").where(_shaped()).drop("kind").join(trusted, "before")
+        marked = marked.groupBy("token").agg(F.min("kind").alias("found"))
+        known = nodes.join(marked, "token", "left").select("before", "token", F.coalesce("kind", "found").alias("kind"))
+        known = materialize(known)
+        seeds = F.count("kind")
+        shares = known.groupBy("before").agg(seeds.alias("seeds"), F.count("*").alias("n")).where(F.col("seeds") >= SUPPORT)
+        shares = shares.join(trusted.select("before", "confidence"), "before", "left")
+        shares = materialize(shares.withColumn("share", F.coalesce("confidence", F.col("seeds") / F.col("n"))))
+        unknown = materialize(known.where("kind is null").select("before", "token").join(shares.select("before", "share"), "before"))
+        top = unknown.groupBy("token").agg(F.max(F.struct("share", "before")).alias("top"))
+        rest = unknown.join(top, "token")
+        second = rest.where("before <> top.before").groupBy("token").agg(F.max("share").alias("second"))
+        other = F.when(F.col("before") == F.col("top.before"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("top.share"))
+        lent = rest.join(second, "token", "left").groupBy("before").agg(F.sum(other).alias("lent"))
+        scored = shares.where("confidence is null").join(lent, "before", "left")
+        scored = scored.withColumn("confidence", (F.col("seeds") + F.coalesce("lent", F.lit(0.0))) / F.col("n"))
+        scored = scored.where(F.col("confidence") >= CONFIDENCE).select("before", "confidence")
+        kinds = known.where("kind is not null").groupBy("before", "kind").agg(F.count("*").alias("n"))
+        major = kinds.groupBy("before").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
+        added = materialize(scored.join(major, "before").select("before", "kind", "confidence"))
+        if added.isEmpty():
+            return trusted.select("before", "kind")
+        trusted = materialize(trusted.unionByName(added))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -121,8 +151,9 @@ def find(docs: DataFrame) -> DataFrame:
 
     The base patterns give the counts and base_sha256; ``spans`` also has what bootstrapping adds. Base matches are seeds:
     the two words before them become contexts, and the graph of contexts and the tokens with digits or at signs that follow
-    them is scored in rounds. Contexts that precede enough seeds and hardly anything else then mark tokens of four digits or
-    more, or with an at sign, that no pattern knew; such a span gets the kind that its context leads to.
+    them is scored in rounds. Words before the text's first count as ``^``, and those that are tokens themselves as their
+    shape. Contexts that precede enough seeds and hardly anything else mark tokens of four digits or more, or with an at
+    sign, that no pattern knew; such a span gets the kind that its context leads to, and its token is a seed of the next round.
 
     Texts are read once and not shuffled; only spans and tokens are. Null and empty texts have no spans; rows that repeat are
     found alike; an empty table gives no rows; other columns are ignored.
@@ -140,15 +171,14 @@ def find(docs: DataFrame) -> DataFrame:
     tokens = tokens.select(
         "doc_id",
         "uid",
-        F.regexp_replace(F.lower(F.regexp_extract(F.col("t.before"), _BEFORE, 1)), r"\s+", " ").alias("before"),
+        F.regexp_replace(F.lower(F.coalesce(F.nullif(F.regexp_extract(F.col("t.before"), _BEFORE, 1), F.lit("")), F.trim("t.before"))), r"\s+", " ").alias("before"),
         F.coalesce(F.col("seed.h").cast("string"), F.lower(core)).alias("token"),
         (F.col("t.start") + F.length(F.regexp_extract(F.col("t.value"), r"^[^\p{L}\p{N}]*", 0))).alias("start"),
         F.length(core).alias("length"),
         F.col("seed.kind").alias("kind"),
-    ).where("before <> '' and length > 0")
+    ).where("length > 0")
     contexts = _patterns(tokens.select("before", "token", "kind"))
-    shaped = (F.length(F.regexp_replace("token", "[^0-9]", "")) >= 4) | F.col("token").contains("@")
-    new = tokens.where("kind is null").where(shaped).drop("kind").join(contexts, "before")
+    new = tokens.where("kind is null").where(_shaped()).drop("kind").join(contexts, "before")
     span = F.struct("kind", "start", (F.col("start") + F.col("length")).alias("end"))
     added = new.groupBy(F.col("doc_id").alias("_doc_id"), F.col("uid").alias("_uid")).agg(F.collect_set(span).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("uid") == F.col("_uid"))

@@ -214,6 +214,22 @@ def test_contexts_of_seeds_find_what_no_pattern_knows(spark):
     assert all(found[k].count(",") == 0 for k in range(12))
 
 
+def test_contexts_reach_over_tokens_and_to_the_start(spark):
+    seeds = [(k, f"ID: 10{k} SSN: +49 30 12345{k:02d}") for k in range(12)] + [(20 + k, f"+49 30 22345{k:02d} home") for k in range(12)]
+    unseen = [(50, "ID: 123456 SSN: 123-45-6789"), (51, "0049.30.998877 home"), (52, "Page: 123456 of: 123-45-6789")]
+    found = {r.doc_id: r.spans for r in pii.find(docs_of(spark, seeds + unseen)).collect()}
+    assert found[50] == "phone:16:27" and found[51] == "phone:0:14" and found[52] == ""
+
+
+def test_what_a_context_found_leads_to_further_contexts(spark):
+    seeds = [(k, f"Reach me by private line: +49 30 12345{k:02d} today") for k in range(40)]
+    first = [(100 + k, f"So my private line: 0049.30.99887{k} is new") for k in range(6)]
+    second = [(200 + k, f"See the fax desk: 0049.30.99887{k} again") for k in range(6)] + [(300, "See the fax desk: 0049.30.111222 again")]
+    found = {r.doc_id: r.spans for r in pii.find(docs_of(spark, seeds + first + second)).collect()}
+    assert all(found[100 + k] == "phone:20:34" and found[200 + k] == "phone:18:32" for k in range(6))
+    assert found[300] == "phone:18:32"
+
+
 # --- URLs ----------------------------------------------------------------------
 
 
