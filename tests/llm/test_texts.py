@@ -230,6 +230,12 @@ def test_what_a_context_found_leads_to_further_contexts(spark):
     assert found[300] == "phone:18:32"
 
 
+def test_a_context_of_one_third_seeds_marks_nothing(spark):
+    rows = [(k, f"on the order number: +49 30 12345{k:02d} today") for k in range(3)] + [(10 + k, f"on the order number: 77100{k} today") for k in range(6)]
+    found = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
+    assert all(found[10 + k] == "" for k in range(6))
+
+
 # --- URLs ----------------------------------------------------------------------
 
 
