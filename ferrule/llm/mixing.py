@@ -9,14 +9,15 @@ from ferrule.llm.common import BUCKETS, materialize, running_sum, shuffle_key, w
 
 #: Times that the mix may take one source, and so one document.
 MOST_PASSES = 3
-#: Words of a block, which one slot of the schedule takes.
-BLOCK_WORDS = 128
+#: Words of a block, which one slot of the schedule takes: at most, and fewer where that would make less than LEAST_SLOTS slots,
+#: so that the few slots by which a low-discrepancy sequence may miss a share are a small share of any corpus.
+BLOCK_WORDS, LEAST_SLOTS = 128, 1 << 18
 #: The golden-ratio sequence in whole numbers: point i is (i * STEP mod PERIOD) / PERIOD. STEP is the odd number nearest PERIOD / 1.618.
 PERIOD, STEP = 1 << 31, 1327217885
 
 
 def _targets(rows: DataFrame) -> DataFrame:
-    """One row per source: sid, source, source_size, target and quota, the target in whole words.
+    """One row per source: sid, source, source_size and target.
 
     Water filling: sources in the order of most words per weight; a source is full if its level, what is left over the
     weights that are left, reaches that. A window over all sources, of which there is one row each.
@@ -32,43 +33,33 @@ def _targets(rows: DataFrame) -> DataFrame:
     leveled = ranked.withColumn("level", left / weights).withColumn("full", full)
     level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
     target = F.when(F.col("full"), (MOST_PASSES * F.col("source_size")).cast("double")).otherwise(level * F.col("weight"))
-    return leveled.withColumn("target", target).select("sid", "source", "source_size", "target", F.floor(F.col("target") + 0.5).alias("quota"))
+    return leveled.withColumn("target", target).select("sid", "source", "source_size", "target")
 
 
-def _schedule(sources: DataFrame) -> DataFrame:
-    """The slots: sid, rank, the rank of the block among those of its source, and slot, its place in the mix, counted from 0 without gaps.
+def block_words(total: int) -> int:
+    """Words of a block of a mix of ``total`` words."""
+    return max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
 
-    Slot i draws the golden-ratio point i, which the cumulative targets map to a source. The map is an equi-join on the
-    cell of the unit interval; a source lists the cells it touches. Ranks come from ``running_sum`` over stretches of
-    the schedule. A source stops at its quota, which leaves slots vacant; the blocks that discrepancy leaves short, as
-    many, fill those in the order of their share of their source. A source has only a few of either, so a window over
-    all of them is like one over the sources.
+
+def _schedule(sources: DataFrame, total: int) -> DataFrame:
+    """The slots: sid, slot, and rank, the slot's number among those of its source.
+
+    Slot i draws the golden-ratio point i, which the cumulative targets map to a source: how often and where a source is
+    drawn is what the sequence says, within a few slots of its share at any place of the mix. The map is an equi-join on the
+    cell of the unit interval; a source lists the cells it touches. Ranks come from ``running_sum`` over stretches of the
+    schedule.
     """
-    spark = sources.sparkSession
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    spans = sources.select(
-        "sid",
-        F.ceil(F.col("quota") / BLOCK_WORDS).alias("need"),
-        F.coalesce(F.sum("quota").over(before), F.lit(0)).alias("lo"),
-        F.col("quota"),
-        F.sum("quota").over(whole).alias("all"),
-    ).where("quota > 0")
-    spans = spans.withColumns({"lo": F.col("lo") / F.col("all"), "hi": (F.col("lo") + F.col("quota")) / F.col("all")})
-    cells = spans.select("sid", "need", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BUCKETS), F.floor(F.col("hi") * BUCKETS))).alias("cell"))
-    n = spans.agg(F.sum("need")).first()[0] or 0
-    point = (F.col("slot") % PERIOD * STEP % PERIOD) / F.lit(float(PERIOD))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point)
-    slots = slots.withColumn("cell", F.floor(F.col("point") * BUCKETS))
-    drawn = slots.join(cells, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    drawn = materialize(drawn.select("sid", "need", "slot", F.expr(f"(slot * {BUCKETS}) div {max(n, 1)}").alias("bucket"), F.lit(1).alias("one")))
-    ranked = materialize(running_sum(drawn, ["sid"], "bucket", ["slot"], "one", "rank", "drawn").select("sid", "need", "rank", "slot"))
-    have = drawn.groupBy("sid").agg(F.count("*").alias("have"))
-    short = spans.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    late = short.select("sid", "need", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
-    late = late.select("sid", "rank", F.row_number().over(Window.orderBy((F.col("rank") + 0.5) / F.col("need"), "sid")).alias("turn"))
-    vacant = ranked.where("rank >= need").select("slot", F.row_number().over(Window.orderBy("slot")).alias("turn"))
-    return ranked.where("rank < need").select("sid", "rank", "slot").unionByName(late.join(vacant, "turn").select("sid", "rank", "slot"))
+    ends = sources.select("sid", F.coalesce(F.sum("target").over(before), F.lit(0.0)).alias("lo"), F.sum("target").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"))
+    all_ = F.max("hi").over(Window.partitionBy())
+    spans = ends.select("sid", *[F.floor(F.col(c) / all_ * PERIOD).alias(c) for c in ("lo", "hi")]).where("lo < hi")
+    size = PERIOD // BUCKETS
+    cells = spans.select("sid", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {size}"), F.expr(f"(hi - 1) div {size}"))).alias("cell"))
+    n = -(-total // block_words(total))
+    slots = sources.sparkSession.range(n).withColumnRenamed("id", "slot").withColumn("point", F.col("slot") % PERIOD * STEP % PERIOD)
+    drawn = slots.withColumn("cell", F.expr(f"point div {size}")).join(cells, "cell").where("point >= lo and point < hi")
+    drawn = materialize(drawn.select("sid", "slot", F.expr(f"(slot * {BUCKETS}) div {max(n, 1)}").alias("bucket"), F.lit(1).alias("one")))
+    return running_sum(drawn, ["sid"], "bucket", ["slot"], "one", "rank", "drawn").select("sid", "slot", "rank", "drawn")
 
 
 def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -80,16 +71,22 @@ def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("key"))
     )
     sources = materialize(_targets(rows))
-    sized = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    words = block_words(total)
+    schedule = materialize(_schedule(sources, total))
+    drawn = schedule.groupBy("sid").agg(F.max("drawn").alias("drawn"))
+    most = F.least(F.coalesce("drawn", F.lit(0)) * words, MOST_PASSES * F.col("source_size"))
+    sources = sources.join(drawn, "sid", "left").select(F.col("source").alias("_source"), "sid", "source_size", "target", most.alias("most"))
+    sized = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     sized = materialize(sized.withColumn("bucket", F.substring("key", 1, 3)))
     placed = running_sum(sized.where("size > 0"), ["sid"], "bucket", ["key", "doc_id", "size"], "size", "start", "stream")
-    placed = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "quota", "start"))
+    placed = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "most", "start"))
     passes = F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")
-    spread = placed.select("doc_id", "source", "size", "source_size", "sid", "start", "quota", passes)
+    spread = placed.select("doc_id", "source", "size", "source_size", "sid", "start", "most", passes)
     spread = spread.withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size"))
-    spread = spread.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
-    pieces = spread.withColumn("rank", F.explode(F.sequence(F.expr(f"lo div {BLOCK_WORDS}"), F.expr(f"(hi - 1) div {BLOCK_WORDS}"))))
-    head, tail = F.greatest("lo", F.col("rank") * BLOCK_WORDS), F.least("hi", (F.col("rank") + 1) * BLOCK_WORDS)
+    spread = spread.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("most"))).where("lo < hi")
+    pieces = spread.withColumn("rank", F.explode(F.sequence(F.expr(f"lo div {words}"), F.expr(f"(hi - 1) div {words}"))))
+    head, tail = F.greatest("lo", F.col("rank") * words), F.least("hi", (F.col("rank") + 1) * words)
     pieces = pieces.select(
         "sid",
         "rank",
@@ -97,44 +94,45 @@ def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         "source",
         "doc_id",
         "pass",
-        (head - F.col("rank") * BLOCK_WORDS).alias("at"),
+        (head - F.col("rank") * words).alias("at"),
         (head - F.col("lo")).alias("first"),
         (tail - F.col("lo")).alias("last"),
     )
-    empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", "sid", "quota", F.lit(None).cast("long").alias("start"))
-    return placed.unionByName(empty), pieces.join(_schedule(sources), ["sid", "rank"]).drop("rank")
+    empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", "sid", "most", F.lit(None).cast("long").alias("start"))
+    return placed.unionByName(empty), pieces.join(schedule.drop("drawn"), ["sid", "rank"]).drop("rank")
 
 
 def blocks(docs: DataFrame, seed: int = 29) -> DataFrame:
     """The mix itself, what each slot takes: slot, at, source, doc_id, pass, first, last.
 
-    Slots are counted from 0 without gaps; their order is the interleaving of the sources. A slot takes one block of one
-    source, which is a run of pieces of documents: ``at`` words of the block come before the piece, the words ``first``
-    to ``last`` of the document, counted from 0, end exclusive, in its ``pass``, from 0. Ordered by slot and ``at``, the
-    pieces are the mixed text. See ``mix`` for the sources' shares and streams.
+    The order of the slots, counted from 0, is the interleaving of the sources; a slot that is drawn for a source which has
+    been taken ``MOST_PASSES`` times by then stays empty. A slot takes one block of one source, which is a run of pieces of
+    documents: ``at`` words of the block come before the piece, the words ``first`` to ``last`` of the document, counted
+    from 0, end exclusive, in its ``pass``, from 0. Ordered by slot and ``at``, the pieces are the mixed text. See ``mix``
+    for the sources' shares and streams.
     """
     _, pieces = _plan(docs, seed)
     return pieces.select("slot", "at", "source", "doc_id", "pass", "first", "last")
 
 
 def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
-    """How many words of each document the mix takes.
+    """How many words of each document the mix takes, and from which slot on.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating, and share as many words as there are; a target stops at
     three times its source, the excess reshared by weight. Each source is a stream: its documents in seeded-shuffled
-    order, repeated, cut into blocks of ``BLOCK_WORDS`` words. Slot number r that the schedule gives a source takes the
-    stream's block r, the last one cut at the target. So a source gives its target in whole words, and a document is
-    taken at most once in each of three passes. All orders come from seeded hashes: reruns agree. ``blocks`` has the
-    slots in their order; here they are summed by document.
-
-    Returns the columns of ``docs`` it needs and the outcome: doc_id, source, size, source_size, target, taken. Documents
-    without words (or text) have size 0 and are taken 0 times; null ids and sources are values like others; rows that
-    repeat are mixed one by one; an empty table gives no rows; other columns are ignored.
+    order, repeated, cut into blocks of ``block_words`` words. Slot number r that the schedule draws for a source takes the
+    stream's block r; the stream ends after three passes. So what a source gives is what its slots take: its target but
+    for the few slots of the sequence's discrepancy. A document is taken at most once in each pass. All orders come from
+    seeded hashes: reruns agree. ``blocks`` has the slots in their order; here they are summed by document.
+
+    Returns the columns of ``docs`` it needs and the outcome: doc_id, source, size, source_size, target, taken, first_slot
+    (null if nothing is taken). Documents without words (or text) have size 0 and are taken 0 times; null ids and sources
+    are values like others; rows that repeat are mixed one by one; an empty table gives no rows; other columns are ignored.
     """
     rows, pieces = _plan(docs, seed)
-    sums = pieces.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    sums = pieces.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
     mixed = rows.join(sums, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")), "left")
-    return mixed.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed(docs: DataFrame, seed: int = 29, slot: str | None = None) -> DataFrame:

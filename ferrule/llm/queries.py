@@ -135,21 +135,28 @@ f AS (SELECT page_id, host, path, canon, canon IN (SELECT canon FROM l) AS liste
 SELECT page_id, host, path, canon, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR coalesce(listed, false) THEN 'block' ELSE 'allow' END AS verdict
 FROM f""",
-    "op10_mixing": r"""
+    "op10_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     substr(md5('29:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+b AS (SELECT greatest(1, least({mixing.BLOCK_WORDS}, CAST(sum(source_size) AS BIGINT) // {mixing.LEAST_SLOTS})) AS words, CAST(sum(source_size) AS BIGINT) AS total FROM s),
 w AS (SELECT *, (sid - 1) % 3 + 1 AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER f, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::DOUBLE AS level
   FROM w WINDOW f AS (ORDER BY source_size::DOUBLE / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, 3 * source_size <= level * weight AS full_ FROM l),
-t AS (SELECT source, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE max(CASE WHEN NOT full_ THEN level END) OVER () * weight END AS target FROM g),
-o AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+t AS (SELECT sid, source, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE max(CASE WHEN NOT full_ THEN level END) OVER () * weight END AS target FROM g),
+c AS (SELECT *, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+  sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM t),
+spans AS (SELECT sid, floor(lo / max(hi) OVER () * {mixing.PERIOD}) AS lo, floor(hi / max(hi) OVER () * {mixing.PERIOD}) AS hi FROM c),
+slots AS (SELECT slot, slot % {mixing.PERIOD} * {mixing.STEP} % {mixing.PERIOD} AS point FROM (SELECT unnest(range((total + words - 1) // words)) AS slot FROM b)),
+sched AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON point >= lo AND point < hi),
+h AS (SELECT sid, count(*) AS drawn FROM sched GROUP BY sid),
+o AS (SELECT d.*, t.sid, t.source_size, t.target, b.words, least(coalesce(h.drawn, 0) * b.words, 3 * t.source_size) AS most,
     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start)
-    + greatest(0, least(2 * source_size + start + size, quota) - 2 * source_size - start) AS BIGINT) AS taken
-FROM o""",
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON h.sid = t.sid, b),
+r AS (SELECT *, greatest(0, least(start + size, most) - start) + greatest(0, least(source_size + start + size, most) - source_size - start)
+    + greatest(0, least(2 * source_size + start + size, most) - 2 * source_size - start) AS taken FROM o)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM r LEFT JOIN sched ON sched.sid = r.sid AND rank = start // words""",
 }

@@ -203,7 +203,9 @@ def test_mix_meets_its_targets(spark):
         assert 0 <= r.taken <= 3 * r.size and r.source_size == sizes[r.source]
         assert r.target == pytest.approx(targets[r.source])
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - targets[s]) <= 1 for s in targets)
+    # What the slots of the sequence take: the target but for a few slots, here of one word.
+    assert mixing.block_words(sum(sizes.values())) == 1
+    assert all(abs(taken[s] - targets[s]) <= 6 for s in targets)
     again = mixing.mix(docs_of(spark, rows[::-1]).repartition(5)).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in found)
 
@@ -227,7 +229,17 @@ def test_blocks_hold_the_interleaved_order(spark):
     by = defaultdict(list)
     for r in found:
         by[r.slot].append(r)
-    assert sorted(by) == list(range(len(by)))  # late blocks have slots, too
+    # Each slot's source is that of its golden-ratio point; slots of a source that was taken three times stay empty.
+    sizes: dict = defaultdict(int)
+    for _, t, s in [*rows, (0, "w w", "t1"), (0, "w", "t2")]:
+        sizes[s] += len(WORD.findall(t or ""))
+    targets = brute_targets(sizes)
+    total, sources = sum(sizes.values()), sorted(targets, key=lambda s: (s is None, s or ""))
+    ends = np.floor(np.cumsum([targets[s] for s in sources]) / sum(targets.values()) * mixing.PERIOD)
+    drawn = [sources[int(np.searchsorted(ends, i * mixing.STEP % mixing.PERIOD, "right"))] for i in range(total)]
+    assert all(by[i][0].source == drawn[i] for i in by)
+    left = [drawn[i] for i in set(range(total)) - set(by)]
+    assert len(left) <= 12 and all(targets[s] == 3 * sizes[s] for s in left)
     taken: dict = defaultdict(int)
     for pieces in by.values():
         assert len({r.source for r in pieces}) == 1
@@ -236,10 +248,10 @@ def test_blocks_hold_the_interleaved_order(spark):
             assert r.at == at and r.first < r.last
             at += r.last - r.first
             taken[r.doc_id] += r.last - r.first
-        assert at <= mixing.BLOCK_WORDS
+        assert at == 1
     assert taken == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
     # A stretch of the mix holds the sources by their shares, up to a few blocks.
-    order = [by[k][0].source for k in range(len(by))]
+    order = [by[k][0].source for k in sorted(by)]
     for end in range(20, len(order), 20):
         for source, c in Counter(order).items():
             assert abs(order[:end].count(source) - c * end / len(order)) <= 4
