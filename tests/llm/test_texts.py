@@ -236,6 +236,98 @@ def test_a_context_of_one_third_seeds_marks_nothing(spark):
     assert all(found[10 + k] == "" for k in range(6))
 
 
+def brute_patterns(edges):
+    """Contexts and scores by the rounds that ``pii._patterns`` describes, with dictionaries."""
+    nodes: dict = {}
+    for form, words, token, kind in edges:
+        known = nodes.setdefault((form, words), {})
+        kinds = [k for k in (kind, known.get(token)) if k is not None]
+        known[token] = max(kinds) if kinds else None
+    trusted: dict = {}
+    shaped = lambda t: sum(c.isdigit() for c in t) >= 4 or "@" in t
+    while True:
+        found: dict = {}
+        for c, tokens in nodes.items():
+            for t, k in tokens.items():
+                if k is None and shaped(t) and c in trusted:
+                    found[t] = min(found.get(t, 9), trusted[c][0])
+        known = {c: {t: found.get(t) if k is None else k for t, k in tokens.items()} for c, tokens in nodes.items()}
+        shares = {}
+        for c, tokens in known.items():
+            counts = Counter(k for k in tokens.values() if k is not None and k >= 0)
+            if counts and max(counts.values()) >= pii.SUPPORT:
+                n, kind = max((n, -k) for k, n in counts.items())
+                shares[c] = (-kind, n, trusted[c][1] if c in trusted else n / len(tokens))
+        added = {}
+        for c, (kind, seeds, _) in shares.items():
+            if c in trusted:
+                continue
+            others = lambda t, c=c, kind=kind: [s[2] for d, s in shares.items() if d != c and d[0] == c[0] and s[0] == kind and known[d].get(t, 0) is None]
+            lent = sum(max(others(t), default=0) for t, k in known[c].items() if k is None)
+            if (score := (seeds + lent) / len(known[c])) >= pii.CONFIDENCE:
+                added[c] = (kind, score)
+        if not added:
+            return trusted
+        trusted |= added
+
+
+def test_scores_of_contexts_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    edges = []
+    for _ in range(1500):
+        form, words = rng.choice(["L1", "L2"]), f"c{int(rng.paretovariate(0.8)) % 25}"
+        token = rng.choice([f"{rng.randrange(1000, 1080)}", f"x{rng.randrange(9)}"])
+        # A token has one kind, or none; contexts of the lower numbers hold seeds mostly.
+        edges.append((form, words, token, {0: 1, 1: 1, 2: 1, 3: 0, 4: -1}.get(int(token[-1])) if len(token) == 4 else None))
+    edges += [("L1", f"good{k}", str(2000 + t), 1 if t % 10 else None) for k in range(3) for t in range(k, 40)] + [("L1", "next", str(2000 + t), None) for t in (0, 10, 20, 30)]
+    df = spark.createDataFrame(edges, "form string, words string, token string, kind int").repartition(3)
+    got = {(r.form, r.words): (r.kind, pytest.approx(r.confidence)) for r in pii._patterns(df).collect()}
+    expected = brute_patterns(edges)
+    assert got == expected and ("L1", "next") in expected
+
+
+def test_unseen_identifiers_in_known_contexts_are_found(spark):
+    """Recall over identifiers that no base pattern knows, among text of other numbers."""
+    rng = random.Random(10)
+    words = [f"wort{k}" for k in range(400)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(3, 25)))
+    leads = [("phone", "call me on"), ("phone", "Tel. privat:"), ("email", "mail address is"), ("card", "card ending, number")]
+    seeds = {"phone": lambda: f"+49 30 {rng.randrange(10**6, 10**7)}", "email": lambda: f"u{rng.randrange(10**6)}@mail.org", "card": lambda: next(c for c in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if luhn(c))}
+    unseen = {"phone": lambda: f"0{rng.randrange(100, 999)}/{rng.randrange(10**5, 10**6)}", "email": lambda: f"user{rng.randrange(10**4)}@localhost", "card": lambda: f"x{rng.randrange(1000, 9999)}-{rng.randrange(1000, 9999)}"}
+    rows, planted = [], {}
+    for doc in range(600):
+        kind, lead = rng.choice(leads)
+        new = doc % 12 == 0
+        value = (unseen if new else seeds)[kind]()
+        rows.append((doc, f"{prose()} in {rng.randrange(1000, 3000)} {prose()} {lead} {value} {prose()}"))
+        if new:
+            start = rows[-1][1].index(f"{lead} {value}") + len(lead) + 1
+            planted[doc] = f"{kind}:{start}:{start + len(value)}"
+    found = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
+    caught = sum(planted[d] in found[d].spans.split(",") for d in planted)
+    assert caught >= 0.9 * len(planted)
+    extra = [d for d, r in found.items() if r.n_found > 1]
+    assert len(extra) <= 0.01 * len(rows)  # the other numbers are left alone
+    assert all(r.n_found == len([s for s in r.spans.split(",") if s]) for r in found.values())
+
+
+def test_keys_are_secrets_where_a_context_says_so(spark):
+    key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'nothing token = "{key(k)}" here{k}') for k in range(6)] + [(50, f"the file's hash {key(99)} is fine"), (51, 'my token = "abcd-1234-5678" too'), (52, "a card 4111 1111 1111 1112 refused")]
+    rows += [(60 + k, f"pay by 411111111111111{k} now") for k in range(10)]
+    found = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
+    assert all(found[k] == "secret:17:57" for k in range(6))
+    assert found[50] == "" and found[51] == "secret:12:26" and found[52] == ""
+    assert [bool(found[60 + k]) for k in range(10)] == [luhn(f"411111111111111{k}") for k in range(10)]
+
+
+def test_very_many_numbers_in_one_text(spark):
+    numbers = [str(10_000 + k) for k in range(20_000)]
+    text = " ".join(["a@b.co", *numbers, "1.2.3.4"])
+    row = pii.find(docs_of(spark, [(1, text)])).first()
+    assert row.n_email == 1 and row.n_ip == 1 and row.base_sha256 == row_of(text)[-1]
+
+
 # --- URLs ----------------------------------------------------------------------
 
 
