@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,8 +16,8 @@ from pyspark.sql import types as T
 
 from ferrule.llm.common import materialize
 
-#: Bounds of the model: labelled documents it is fitted on, words and n-grams of each length kept per language, and languages.
-SAMPLE, WORDS, GRAMS, LANGUAGES = 20_000, 20_000, 5_000, 250
+#: Bounds of the model, each for one language: labelled documents it is fitted on, and words and n-grams of each length that are kept.
+SAMPLE, WORDS, GRAMS = 5_000, 20_000, 5_000
 #: Longest n-gram; what is added to every count; and words beyond which more text makes a score no surer.
 LONGEST, SMOOTH, SURE = 4, 0.5, 20
 UNDETERMINED = "und"
@@ -58,14 +57,22 @@ def _count(batches: Batches) -> Batches:
 
 @dataclass
 class Model:
-    """Languages in order, and for each n (0: whole words) the index of the kept grams and their log frequencies by language."""
+    """Languages in order, and the kept grams with their log frequencies, as far as they exceed those of a gram that a language never had.
+
+    ``index`` has, for each n (0: whole words), the row of every gram; row r has the entries ``first[r]`` to ``first[r + 1]`` of
+    ``column``, languages, and ``excess``. ``base`` has for each n the log frequencies of an unseen gram. So the size of the
+    model is that of what is kept, whatever the number of languages.
+    """
 
     languages: list[str]
     index: list[dict[str, int]]
-    logs: list[np.ndarray]
+    first: np.ndarray
+    column: np.ndarray
+    excess: np.ndarray
+    base: np.ndarray
 
     def scorer(self) -> Callable[[str | None], tuple[str, float]]:
-        flat = np.zeros(len(self.languages))
+        first, column, excess, base, n_languages = self.first, self.column, self.excess, self.base, len(self.languages)
 
         @lru_cache(1 << 15)
         def unseen(word: str) -> tuple[int, list[int]]:
@@ -80,20 +87,26 @@ class Model:
             tokens = _TOKEN.findall((text or "").lower())
             if not self.languages or not any(c.isalpha() for w in tokens for c in w):
                 return UNDETERMINED, 0.0
-            rows: list[list[int]] = [[] for _ in self.index]
-            weights: list[list[float]] = [[] for _ in self.index]
+            rows: list[int] = []
+            weights: list[float] = []
+            by_n = [0.0] * (LONGEST + 1)
             known = self.index[0]
             for word, c in Counter(tokens).items():
                 i = known.get(word)
                 if i is not None:
-                    rows[0].append(i)
-                    weights[0].append(c)
+                    rows.append(i)
+                    weights.append(c)
+                    by_n[0] += c
                 else:
                     n, found = unseen(word)
                     if found:
-                        rows[n] += found
-                        weights[n] += [c / len(found)] * len(found)
-            total = sum((np.array(w) @ self.logs[n][r] for n, (r, w) in enumerate(zip(rows, weights, strict=True)) if r), flat)
+                        rows += found
+                        weights += [c / len(found)] * len(found)
+                        by_n[n] += c
+            at = np.array(rows, np.int64)
+            sizes = first[at + 1] - first[at]
+            entries = np.arange(sizes.sum()) + np.repeat(first[at] - np.cumsum(sizes) + sizes, sizes)
+            total = np.array(by_n) @ base + np.bincount(column[entries], np.repeat(np.array(weights), sizes) * excess[entries], n_languages)
             mean = total / len(tokens) * min(len(tokens), SURE)
             odds = np.exp(mean - mean.max())
             best = int(odds.argmax())
@@ -102,34 +115,53 @@ class Model:
         return score
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """Of each language the most frequent words, ``WORDS`` of them, and n-grams of each length, ``GRAMS``; about as many where the last ones tie.
+
+    What ranks is the histogram of the counts, which has few rows: it gives the count from which on grams are kept, and of
+    those with just that count the share, which a hash picks. So no task ever sorts a language.
+    """
+    key = ["lang", "n"]
+    levels = counts.groupBy(*key, "c").agg(F.count("*").alias("size"))
+    order = Window.partitionBy(*key).orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    most = F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)
+    share = F.when(F.col("before") < most, F.least(F.lit(1.0), (most - F.col("before")) / F.col("size")))
+    cuts = levels.withColumn("share", share).where("share is not null").groupBy(*key).agg(F.min_by("share", "c").alias("share"), F.min("c").alias("least"))
+    picked = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    joined = counts.join(F.broadcast(cuts), key)  # a row for each language and n
+    return joined.where((F.col("c") > F.col("least")) | ((F.col("c") == F.col("least")) & picked)).select(*key, "gram", "c")
+
+
 def fit(labelled: DataFrame) -> Model:
-    """Fit on documents (doc_id, text, lang), at most about ``SAMPLE`` of them, picked by a hash of the doc_id.
+    """Fit on documents (doc_id, text, lang), about ``SAMPLE`` of every language at most, picked by a hash of the doc_id.
 
     Counts are summed by Spark; only the most frequent words and n-grams of each language, bounded numbers of them, come
-    to the driver. Rows with null text or lang are not learned from.
+    to the driver. Every language that a document is labelled with is learned, however rare. Rows with null text or lang are
+    not learned from; rows that repeat count as often; without rows the model knows no language.
     """
-    labelled = labelled.where("lang is not null and text is not null")
-    n = labelled.select("lang").count()
-    if n > SAMPLE:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < math.ceil(SAMPLE * 1e6 / n))
-    counts = labelled.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
+    labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.ceil(SAMPLE * 1e6 / F.col("size"))
+    sample = labelled.join(F.broadcast(sizes), "lang").where(drawn)  # a row for each language
+    counts = sample.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
     counts = materialize(counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    totals = counts.where("n = 0").groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in totals)
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    kept = counts.where(F.col("lang").isin(languages)).withColumn("rank", rank).where((F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)))
-    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    rows = kept.select("lang", "n", "gram", "c").collect()
-    for r in sorted(rows, key=lambda r: (r.n, r.gram)):
-        index[r.n].setdefault(r.gram, len(index[r.n]))
+    rows = _frequent(counts).collect()
+    languages = sorted({r.lang for r in rows})
     column = {lang: k for k, lang in enumerate(languages)}
-    logs = [np.zeros((len(x), len(languages))) for x in index]
-    for r in rows:
-        logs[r.n][index[r.n][r.gram], column[r.lang]] = r.c
-    for n, x in enumerate(logs):
-        sums = x.sum(0)
-        logs[n] = np.log((x + SMOOTH) / (sums + SMOOTH * max(len(x), 1)))
-    return Model(languages, index, logs)
+    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    rows.sort(key=lambda r: (r.n, r.gram, r.lang))
+    first: list[int] = []
+    sums = np.zeros((LONGEST + 1, len(languages)))
+    for k, r in enumerate(rows):
+        if r.gram not in index[r.n]:
+            index[r.n][r.gram] = len(first)
+            first.append(k)
+        sums[r.n, column[r.lang]] += r.c
+    grams = np.array([[max(len(x), 1)] for x in index])
+    base = np.log(SMOOTH) - np.log(sums + SMOOTH * grams)
+    excess = np.log(np.array([r.c for r in rows], np.float64) + SMOOTH) - np.log(SMOOTH)
+    return Model(languages, index, np.array([*first, len(rows)], np.int64), np.array([column[r.lang] for r in rows], np.int64), excess, base)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -152,7 +184,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, of which ``model`` knows the language: not ``und``, and a score of ``least`` or more."""
+    """The documents, with all their columns, of which ``model`` knows the language: not ``und``, and a score of ``least`` or more.
+
+    Null and empty texts go, as do texts without a letter; a null doc_id is kept like any other; rows that repeat stay or go
+    together; an empty table stays empty; columns of any name are kept, for none is added.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:

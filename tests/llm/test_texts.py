@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -129,6 +130,60 @@ def test_language_backs_off_and_knows_its_limits(spark):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def brute_language(rows, text):
+    """Language and posterior by the definition, over all counts."""
+    token = re.compile(r"[^\W\d_]+")
+    grams = lambda w, n: [w] if n == 0 else (lambda m: [m[k : k + n] for k in range(len(m) - n + 1)])(f"<{w}>" if n > 1 else w)
+    counts = [defaultdict(Counter) for _ in range(langid.LONGEST + 1)]
+    for lang, t in rows:
+        for w in token.findall((t or "").lower()):
+            for n in range(langid.LONGEST + 1):
+                for g in grams(w, n):
+                    counts[n][g][lang] += 1
+    languages = sorted({lang for lang, _ in rows})
+    total = lambda n, lang: sum(c[lang] for c in counts[n].values()) + langid.SMOOTH * max(len(counts[n]), 1)
+    log = lambda n, g, lang: math.log((counts[n][g][lang] + langid.SMOOTH) / total(n, lang))
+    words = token.findall(text.lower())
+    score = dict.fromkeys(languages, 0.0)
+    for w in words:
+        for n in range(langid.LONGEST + 1):
+            order = n and langid.LONGEST + 1 - n  # the word, then n-grams from the longest
+            if known := [g for g in grams(w, order) if g in counts[order]]:
+                for lang in languages:
+                    score[lang] += sum(log(order, g, lang) for g in known) / len(known)
+                break
+    mean = {k: v / len(words) * min(len(words), langid.SURE) for k, v in score.items()}
+    best = max(languages, key=lambda k: (mean[k], -languages.index(k)))
+    return best, 1 / sum(math.exp(v - mean[best]) for v in mean.values())
+
+
+def test_language_scores_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    alphabets = {"aa": "abcde", "bb": "bcdef", "cc": "xyzab"}
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    rows = [(lang, text(letters, 30)) for lang, letters in alphabets.items() for _ in range(6)] + [("rare", "qqq qqr")]
+    train = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    tests = [text(rng.choice(list(alphabets.values())) + "qk", rng.randrange(1, 40)) for _ in range(60)]
+    got = langid.predict(docs_of(spark, list(enumerate(tests))), langid.fit(train)).collect()
+    for r in got:
+        lang, score = brute_language(rows, tests[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score))
+
+
+def test_every_language_is_learned_and_frequent_words_stay(spark, monkeypatch):
+    rows = [(k, f"w{chr(97 + k % 20)}{chr(97 + k // 20)}x common", f"l{k:03d}") for k in range(300)] + [(1000 + k, "hot words here", "l000") for k in range(500)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r.lang_pred for r in langid.predict(train, model).collect()}
+    assert all(got[k] == f"l{k:03d}" for k in range(1, 300))
+    monkeypatch.setattr(langid, "WORDS", 2)
+    monkeypatch.setattr(langid, "GRAMS", 3)
+    texts = [(k, "the the the and and of", "en") for k in range(3)] + [(9, "der die das", "de")]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert {"the", "and"} <= set(model.index[0]) and "of" not in model.index[0]
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
