@@ -177,8 +177,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The toxicity of every document of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic): doc_id, score.
 
-    About ``SAMPLE`` labelled documents, picked by a hash of the doc_id, give the lexicon and the trees; a quarter of them,
-    picked by another, the calibration. That sample, being bounded, is broadcast to the documents: no text is shuffled.
+    About ``SAMPLE`` labelled documents, picked by a hash of the doc_id, give the lexicon and the trees, but for a quarter of
+    them, picked by another, which gives the calibration. That sample, being bounded, is broadcast to the documents: no text is shuffled.
     A doc_id labelled both ways counts as toxic. Null and empty texts have features of 0 and are scored like others; rows
     that repeat are scored alike; without labels the score is 0; other columns are ignored.
     """
@@ -188,6 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share)
     sample = materialize(sample.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    terms = lexicon(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
+    # Rows that set the curve stay out of the lexicon, too, or their features would say more than those of other documents do.
+    terms = lexicon(docs.join(F.broadcast(sample.where("not calibrates")), "doc_id").select("text", "toxic"))
     rows = materialize(featurize(docs, terms))
     return score(rows, fit(rows.join(F.broadcast(sample), "doc_id"))).select("doc_id", "score")
