@@ -15,10 +15,13 @@ BUCKETS = 4096
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a session without one (a test) gets a temporary folder."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a local session without one, as in a test, gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrule-"))
     return context.getCheckpointDir()
 
 
@@ -42,8 +45,8 @@ def shuffle_key(seed: int, doc_id: Column) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 16)
 
 
-#: Most blocks of a Bloom filter, of 64 bits each: a filter is broadcast, so its size is bounded. More keys let more other rows pass.
-MOST_BLOCKS = 1 << 18
+#: Blocks of a Bloom filter, of 64 bits each, up to which it is broadcast.
+MOST_BLOCKS = 1 << 20
 #: Bits that each key sets in its block, and bits of the filter for each key.
 PROBES, BITS_PER_KEY = 4, 16
 
@@ -51,10 +54,11 @@ PROBES, BITS_PER_KEY = 4, 16
 def may_hold(rows: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame:
     """Add ``out`` to ``rows``: may the value of ``key`` be one of ``keys``? A blocked Bloom filter: true for every key, and for few others.
 
-    The hashes of ``keys``, a materialized table of one column, are OR-ed into one word per block; only that filter, of
-    at most ``MOST_BLOCKS`` words, is broadcast. ``rows`` are not shuffled. Null is never held.
+    The hashes of ``keys``, a materialized table of one column, are OR-ed into one word per block; the number of blocks goes
+    with that of the keys. A filter of up to ``MOST_BLOCKS`` blocks, some 4 million keys, is broadcast, and ``rows`` are not
+    shuffled; a larger one is joined by block. Null is never held.
     """
-    blocks = min(MOST_BLOCKS, 1 << max(8, (keys.count() * BITS_PER_KEY // 64).bit_length()))
+    blocks = 1 << max(8, (keys.count() * BITS_PER_KEY // 64).bit_length())
     h, mask = F.xxhash64(key), F.lit(0).cast("long")
     for k in range(PROBES):
         bit = F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int")
@@ -62,7 +66,8 @@ def may_hold(rows: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame:
     block = F.shiftrightunsigned(h, 6 * PROBES).bitwiseAND(blocks - 1)
     filled = keys.where(F.col(key).isNotNull()).select(block.alias("_block"), mask.alias("_mask"))
     bloom = filled.groupBy("_block").agg(F.bit_or("_mask").alias("_bits"))
-    probed = rows.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(bloom), "_block", "left")
+    probed = rows.withColumns({"_block": block, "_mask": mask})
+    probed = probed.join(F.broadcast(bloom) if blocks <= MOST_BLOCKS else bloom, "_block", "left")
     may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & F.col(key).isNotNull()
     return probed.withColumn(out, may).drop("_block", "_mask", "_bits")
 
