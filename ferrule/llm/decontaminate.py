@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 Q, RATE, WHOLE = 10, 0.08, 8
 #: Characters of benchmark text that one pass over the documents is held against, and of documents looked at together.
 BLOCK_CHARS, CHUNK = 4_000_000, 1 << 19
+#: Shared q-grams that are counted at a time.
+HITS = 1 << 21
 #: A code that no character has: it stands between texts.
 _GAP = np.uint32(0x110001)
 _SPACE = np.uint32(32)
@@ -44,16 +46,42 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
-def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
+def _folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Letters and digits in lower case, with one space for anything between, as codes; and the position of each in the text."""
     codes = _folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
     space = codes == _SPACE
-    keep = ~(space & np.concatenate([[True], space[:-1]]))
-    at = np.flatnonzero(keep)
-    codes = codes[at]
-    if len(codes) and codes[-1] == _SPACE:
-        codes, at = codes[:-1], at[:-1]
-    return codes, at
+    at = np.flatnonzero(~(space & np.concatenate([[False], space[:-1]])))
+    return codes[at], at
+
+
+def normalize(text: str) -> np.ndarray:
+    """The codes of a text, without spaces at its ends."""
+    codes, _ = _folded(text)
+    a, b = (len(codes) > 0 and codes[k] == _SPACE for k in (0, -1))
+    return codes[int(a) : len(codes) - int(b)]
+
+
+def _windows(text: str, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of a text and their positions, in windows of about ``CHUNK`` codes; each starts with the last ``overlap`` of the one before."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, last = 0, _SPACE
+    for k in range(0, len(text), CHUNK):
+        codes, at = _folded(text[k : k + CHUNK])
+        skip = int(len(codes) > 0 and codes[0] == _SPACE and last == _SPACE)
+        codes, at = codes[skip:], at[skip:] + k
+        if len(codes):
+            last = codes[-1]
+            held.append((codes, at))
+            size += len(codes)
+        if size >= CHUNK + overlap:
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            yield whole
+            held = [tuple(x[len(x) - overlap :] for x in whole)]
+            size = overlap
+    if held:
+        codes, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = len(codes) - int(len(codes) > 0 and codes[-1] == _SPACE)
+        yield codes[:end], at[:end]
 
 
 def _gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -87,11 +115,11 @@ class Index:
     short: list[tuple[np.ndarray, np.ndarray, list[int]]]
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
+def build(rows: list[tuple[int, str]], rate: float = RATE, whole: int = WHOLE) -> Index:
     ids, items = [], []
     brief: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for item_id, text in rows:
-        codes, _ = normalize(text)
+        codes = normalize(text)
         if len(codes) >= Q:
             ids.append(item_id)
             items.append(codes)
@@ -102,7 +130,7 @@ def build(rows: list[tuple[int, str]]) -> Index:
         some = sorted(some, key=lambda x: x[:2])
         short.append((np.array([x[0] for x in some], np.uint64), np.array([x[2] for x in some]), [x[1] for x in some]))
     length = np.array([len(x) for x in items], np.int64)
-    budget = np.maximum(np.minimum(RATE * length, (length - Q + 1 - WHOLE) // Q), 0).astype(np.int64)
+    budget = np.maximum(np.minimum(rate * length, (length - Q + 1 - whole) // Q), 0).astype(np.int64)
     hashes = [_gram_hashes(x) for x in items]
     h = np.concatenate([np.empty(0, np.uint64), *hashes])
     item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
@@ -135,24 +163,35 @@ def _align(item: np.ndarray, region: np.ndarray, spread: int) -> tuple[int, int,
 
 
 def find(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int, int]]]:
-    """For each text the items in it: (item_id, start, end, edits), the best region of each item, in code points of the text."""
-    found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    """For each text the items in it: (item_id, start, end, edits), the best region of each item, in code points of the text.
+
+    Short texts are looked at together, long ones in windows that overlap by more than any item's region; so memory goes with
+    ``CHUNK`` and the longest item, not with a text.
+    """
+    best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+    reach = [len(x) + 4 * (int(b) + 1) for x, b in zip(index.items, index.budget, strict=True)]
+    overlap = max([Q, *reach, *(items.shape[1] for _, items, _ in index.short)])
     group: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
     for k, text in enumerate(texts):
-        codes, at = normalize(text or "")
-        if len(codes):
-            group.append((k, codes, at))
-            size += len(codes)
-        if size >= CHUNK:
-            _scan(group, index, found)
-            group, size = [], 0
-    _scan(group, index, found)
+        for codes, at in _windows(text or "", overlap):
+            if len(codes):
+                group.append((k, codes, at))
+                size += len(codes)
+            if size >= CHUNK:
+                _scan(group, index, best)
+                group, size = [], 0
+    _scan(group, index, best)
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    short = [i for _, _, ids in index.short for i in ids]
+    for (number, kind, i), (edits, s, e) in sorted(best.items()):
+        found[number].append(((index.ids, short)[kind][i], s, e, edits))
     return found
 
 
-def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found: list[list[tuple[int, int, int, int]]]) -> None:
+def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
     """The first place in each text of each item shorter than a q-gram, as it stands."""
+    before = 0
     for hashes, items, ids in index.short:
         n = items.shape[1]
         h = _gram_hashes(codes, n)
@@ -168,16 +207,17 @@ def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np
         for k in first.tolist():
             number, _, origin = group[d[k]]
             a = int(at[k] - begins[d[k]])
-            found[number].append((ids[item[k]], int(origin[a]), int(origin[a + n - 1]) + 1, 0))
+            key, hit = (number, 1, before + int(item[k])), (0, int(origin[a]), int(origin[a + n - 1]) + 1)
+            best[key] = min(best.get(key, hit), hit)
+        before += len(ids)
 
 
-def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found: list[list[tuple[int, int, int, int]]]) -> None:
-    if not group:
-        return
-    gap = np.array([_GAP], np.uint32)
-    codes = np.concatenate([x for _, c, _ in group for x in (c, gap)])
-    begins = np.cumsum([0, *[len(c) + 1 for _, c, _ in group]])
-    _scan_short(codes, begins, group, index, found)
+def _bands(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of diagonals that share enough q-grams with an item: item, and number of the band, in the order of both.
+
+    Shared q-grams are counted ``HITS`` at a time, so that memory goes with the bands and not with how often a text that
+    repeats itself meets an item that does.
+    """
     h = _gram_hashes(codes)
     at = np.flatnonzero(index.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
     slot = np.searchsorted(index.grams, h[at])
@@ -185,28 +225,44 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found:
     real = index.grams[slot] == h[at]
     at, slot = at[real], slot[real]
     times = index.first[slot + 1] - index.first[slot]
-    total = int(times.sum())
-    if not total:
-        return
-    entry = np.repeat(index.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
-    item, diagonal = index.item[entry], np.repeat(at, times) - index.offset[entry]
-    # Matches within the budget keep to budget + 1 diagonals, so a band of twice that, from every multiple, holds them all.
-    step = index.budget[item] + 1
-    low = diagonal // step
-    keys = np.concatenate([item, item]) * (1 << 32) + np.concatenate([low, low - 1]) + (1 << 31)
-    keys, counts = np.unique(keys, return_counts=True)
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    done = np.concatenate([[0], np.cumsum(times)])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + HITS, "right")) - 1)
+        some = times[a:b]
+        entry = np.repeat(index.first[slot[a:b]] - (done[a:b] - done[a]), some) + np.arange(done[b] - done[a])
+        item, diagonal = index.item[entry], np.repeat(at[a:b], some) - index.offset[entry]
+        # Matches within the budget keep to budget + 1 diagonals, so a band of twice that, from every multiple, holds them all.
+        low = diagonal // (index.budget[item] + 1)
+        new, n = np.unique(np.concatenate([item, item]) * (1 << 32) + np.concatenate([low, low - 1]) + (1 << 31), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        a = b
     which = keys >> 32
     keep = counts >= index.need[which]
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for k, i in zip((keys[keep] & ((1 << 32) - 1)).tolist(), which[keep].tolist(), strict=True):
+    return which[keep], (keys[keep] & ((1 << 32) - 1)) - (1 << 31)
+
+
+def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
+    if not group:
+        return
+    gap = np.array([_GAP], np.uint32)
+    codes = np.concatenate([x for _, c, _ in group for x in (c, gap)])
+    begins = np.cumsum([0, *[len(c) + 1 for _, c, _ in group]])
+    _scan_short(codes, begins, group, index, best)
+    if not index.items:
+        return
+    which, bands = _bands(codes, index)
+    for k, i in zip(bands.tolist(), which.tolist(), strict=True):
         step, pattern = int(index.budget[i]) + 1, index.items[i]
-        start = (k - (1 << 31)) * step
+        start = k * step
         d = int(np.searchsorted(begins, max(start, 0) + len(pattern) // 2, "right")) - 1
         if d >= len(group):
             continue
         number, own, origin = group[d]
         a = max(start - int(begins[d]), 0)
-        if best.get((number, i), (1,))[0] == 0:
+        if best.get((number, 0, i), (1,))[0] == 0:
             continue  # nothing beats no edits, and bands come in order
         # Diagonals before the text's first are there, too, with nothing on them: edits may lead back to them.
         blank = max(int(begins[d]) - start, 0)
@@ -219,13 +275,11 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, found:
         s, e = max(s - blank, 0), e - blank
         if edits < step and e > 0 and a + s < len(own):
             last = min(a + e, len(own)) - 1
-            hit = (edits, int(origin[a + s]), int(origin[last]) + 1, index.ids[i])
-            best[number, i] = min(best.get((number, i), hit), hit)
-    for (number, _), (edits, s, e, item_id) in sorted(best.items()):
-        found[number].append((item_id, s, e, edits))
+            hit = (edits, int(origin[a + s]), int(origin[last]) + 1)
+            best[number, 0, i] = min(best.get((number, 0, i), hit), hit)
 
 
-def _blocks(benchmark: DataFrame, nameless: bool = False) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, rate: float, whole: int, nameless: bool = False) -> Iterator[Index]:
     """The benchmark in blocks of about ``BLOCK_CHARS`` characters, so that what is broadcast stays bounded.
 
     Rows of a null item_id are left out, or if ``nameless``, all rows are in, under their number in the block.
@@ -236,9 +290,9 @@ def _blocks(benchmark: DataFrame, nameless: bool = False) -> Iterator[Index]:
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         if nameless:
-            yield build(list(enumerate(sorted(r.text for r in rows))))
+            yield build(list(enumerate(sorted(r.text for r in rows))), rate, whole)
         else:
-            yield build(sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
+            yield build(sorted((r.item_id, r.text) for r in rows if r.item_id is not None), rate, whole)
 
 
 def _map(docs: DataFrame, index: Index, run: Callable[[pa.RecordBatch, Index], pa.RecordBatch], schema: str | StructType) -> DataFrame:
@@ -246,16 +300,17 @@ def _map(docs: DataFrame, index: Index, run: Callable[[pa.RecordBatch, Index], p
     return docs.mapInArrow(lambda batches: (run(batch, shared.value) for batch in batches), schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The benchmark items that documents hold, with at most ``RATE`` edits a character: doc_id, item_id, start, end, edits.
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, whole: int = WHOLE) -> DataFrame:
+    """The benchmark items that documents hold, with at most ``rate`` edits a character: doc_id, item_id, start, end, edits.
 
     Documents and items are compared as lower-case letters and digits with single spaces between. One row for each document
     and item, the region of fewest edits and then first; positions are code points of the whole text, end exclusive.
     Documents are not shuffled: q-grams that a document shares with an item are counted in overlapping bands of diagonals;
-    a band that reaches the number which the edit budget leaves untouched is aligned. Items of under about 85 characters get
-    fewer edits, those of under 27 none; those shorter than a q-gram are looked for as they stand, anywhere in the text, also
+    a band that reaches the number which the edit budget leaves untouched is aligned. The budget of an item of n characters is
+    the lesser of ``rate`` * n and (n - Q + 1 - ``whole``) / Q, so that ``whole`` q-grams stay: 8 % from about 85 characters on,
+    4 edits at 57, 1 at 27, none below; items shorter than a q-gram are looked for as they stand, anywhere in the text, also
     within words. An item counts as a whole: what a document leaves out of it are edits, so of a long item it must hold
-    ``1 - RATE`` of the characters, in one region, and a longer part cut off hides it. Items without letters and digits, and
+    ``1 - rate`` of the characters, in one region, and a longer part cut off hides it. Items without letters and digits, and
     null texts, match nothing; repeated rows match alike; rows of a null item_id are left out, since they have no name to
     give (``clean`` looks for them, too); an empty benchmark matches nothing; other columns are ignored.
     """
@@ -268,17 +323,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, start long, end long, edits long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, rate, whole):
         found = found.unionByName(_map(docs, index, run, schema))
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, as ``matches`` finds them, with all their columns; items of a null item_id count, too."""
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, whole: int = WHOLE) -> DataFrame:
+    """The documents that hold no benchmark item, as ``matches`` finds them, with all their columns; items of a null item_id count, too.
+
+    Documents of a null doc_id are judged like others, those of null or empty text stay, and repeated rows stay or go together;
+    an empty table stays empty, and an empty benchmark takes nothing away. Columns of any name are kept, for none is added.
+    """
 
     def run(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         return batch.filter(pa.array([not x for x in find(batch.column("text").to_pylist(), index)], pa.bool_()))
 
-    for index in _blocks(benchmark, nameless=True):
+    for index in _blocks(benchmark, rate, whole, nameless=True):
         docs = _map(docs, index, run, docs.schema)
     return docs

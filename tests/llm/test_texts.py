@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -103,6 +104,32 @@ def test_all_benchmark_passages_of_the_table_are_found(spark, data):
     assert found >= {(d, i) for d, t in docs.items() for i, b in items.items() if b in t}
 
 
+def test_texts_that_repeat_themselves_take_bounded_memory(spark, monkeypatch):
+    """Every q-gram of the text is every q-gram of the item: 150 million shared ones, counted a few at a time."""
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 16)
+    index = decontaminate.build([(1, "ha " * 150), (2, ITEM)])
+    tracemalloc.start()
+    found = decontaminate.find(["so ha " + "ha " * 170_000 + ITEM], index)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [m[0] for m in found] == [1, 2] and [m[3] for m in found] == [0, 0] and peak < 150 << 20
+
+
+@pytest.mark.parametrize("chunk", [300, 1 << 19])
+def test_long_texts_are_read_in_windows(monkeypatch, chunk):
+    rng = random.Random(11)
+    index = decontaminate.build([(1, ITEM), (2, "7 x 8?"), (3, "Name the largest moon of Jupiter.")])
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    texts = []
+    for k in range(25):
+        filler = lambda n: "".join(rng.choice("abc  .,-é") for _ in range(n))
+        texts.append(filler(k * 37) + " 7 x  8 " + filler(rng.randrange(400)) + " " + ITEM.replace("rivers", "river").replace(" ", " \n" * rng.choice([1, 1, 40])) + " " + filler(rng.randrange(900)) + " name the largest moon of jupiter")
+    for text, found in zip(texts, decontaminate.find(texts, index), strict=True):
+        assert [(m[0], m[3]) for m in found] == [(1, 1), (3, 0), (2, 0)]
+        spans = {m[0]: text[m[1] : m[2]] for m in found}
+        assert plain(spans[1]) == plain(ITEM.replace("rivers", "river")) and plain(spans[2]) == "7 x 8" and plain(spans[3]).startswith("name the")
+
+
 # --- language ----------------------------------------------------------------
 
 
