@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -168,6 +169,67 @@ def test_shards_hold_the_mixture(spark):
     assert Counter((r.doc_id, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.shard, r.slot) for r in found)
 
 
+def brute_shards(rows, shards):
+    """Shard and slot of every row by sorting all of them."""
+    key = lambda x: hashlib.md5(f"17:{'' if x is None else x}".encode()).hexdigest()[:16]
+    coarse = Counter(key(t)[:3] for _, t, _ in rows)
+    part = lambda t, d: int(key(d)[:8], 16) % max(1, coarse[key(t)[:3]] * 4096 // len(rows))
+    by = defaultdict(list)
+    for d, t, s in rows:
+        by[s].append((key(t), key(d), d, s, t))
+    places = []
+    for s, group in by.items():
+        group.sort(key=lambda r: (r[0][:3], part(r[4], r[2]), r[:2]))
+        places += [((2 * k + 1) / (2 * len(group)), s is None, s or "", r) for k, r in enumerate(group)]
+    places.sort(key=lambda p: (int(p[0] * 4096), p[:3], p[3][:2]))
+    n = len(places)
+    slots: Counter = Counter()
+    for k, (*_, r) in enumerate(places):
+        shard = k * shards // n
+        yield r[2], r[3], shard, slots[shard]
+        slots[shard] += 1
+
+
+def test_shards_are_those_of_brute_force_and_keep_groups(spark):
+    rng = random.Random(14)
+    texts = [f"text {k}" for k in range(300)]
+    rows = [(k, rng.choice(texts), rng.choice(["hot", "hot", "hot", "a", None])) for k in range(1500)]
+    found = sharding.shard(docs_of(spark, rows), 40).collect()
+    groups = defaultdict(Counter)
+    texts_of = {d: t for d, t, _ in rows}
+    for r in found:
+        groups[texts_of[r.doc_id], r.source][r.shard] += 1
+    assert {(r.doc_id, r.source, r.shard, r.slot) for r in found} == set(brute_shards(rows, 40))
+
+
+def test_a_text_of_a_third_of_all_rows_is_dealt_over_buckets(spark):
+    rows = [(k, "hot text" if k % 3 == 0 else f"text {k}", rng) for k, rng in enumerate(["a", "b"] * 3000)]
+    found = sharding.shard(docs_of(spark, rows), 10).collect()
+    sizes = Counter(r.shard for r in found)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    by = Counter((r.shard, r.source) for r in found)
+    assert all(abs(by[k, "a"] - 300) <= 2 for k in range(10))
+    # Of small groups of equal texts, in many rows, few are split: those that a cut falls on.
+    rows = [(k, f"text {k // 4}", "a" if k % 8 < 6 else "b") for k in range(12_000)]
+    of = defaultdict(set)
+    for r in sharding.shard(docs_of(spark, rows), 10).collect():
+        of[r.doc_id // 4].add(r.shard)
+    assert sum(len(v) > 1 for v in of.values()) <= 0.02 * len(of)
+
+
+def test_shards_with_their_columns(spark):
+    rows = [(k % 50, None if k % 11 == 0 else f"text {k % 70}", "a" if k % 3 else None) for k in range(400)] + [(None, "x", "a")] * 3
+    docs = docs_of(spark, rows).withColumn("slot", F.lit("clash"))
+    whole = sharding.shard_whole(docs, 7)
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+    got = whole.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    plain = sharding.shard(docs, 7).collect()
+    assert Counter((r.doc_id, r.source, crc(r.text), r.shard, r.slot) for r in got) == Counter((r.doc_id, r.source, r.text_crc32, r.shard, r.slot) for r in plain)
+    assert sharding.shard_whole(docs.where("false")).count() == 0
+
+
 def test_sharding_few_rows_and_none(spark):
     assert sharding.shard(docs_of(spark, []), 40).count() == 0
     found = sharding.shard(docs_of(spark, [(k, "t") for k in range(3)]), 40).collect()
