@@ -35,14 +35,14 @@ def canonical(host: Column, path: Column) -> Column:
 def listed(urls: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Add ``listed`` to ``urls``: is its canonical URL ``canon`` one of those of ``blocklist``?
 
-    ``may_hold`` passes the possible hits: it broadcasts a blocked Bloom filter of bounded size. URLs that it does not
-    hold are done, without a shuffle; the possible hits are joined with the list itself, which removes false positives.
+    ``may_hold`` passes the possible hits by a blocked Bloom filter. URLs that it does not hold are done, and not shuffled
+    while the filter can be broadcast; the possible hits are joined with the list itself, which removes false positives.
     A URL that fills much of the table splits as any skewed join does, for the list has each URL once. A null URL is not
     listed; rows that repeat stay; an empty list holds nothing.
     """
-    entries = materialize(blocklist.where("canon is not null").select("canon").distinct())
-    probed = may_hold(urls, "canon", entries, "may")
-    keyed = entries.select("canon", F.xxhash64("canon").alias("h"), F.lit(True).alias("listed"))
+    once = materialize(blocklist.where("canon is not null").select("canon").distinct())
+    probed = may_hold(urls, "canon", once, "may")
+    keyed = once.select("canon", F.xxhash64("canon").alias("h"), F.lit(True).alias("listed"))
     hits = probed.where("may").withColumn("h", F.xxhash64("canon")).join(keyed, ["h", "canon"], "left").drop("h")
     hits = hits.withColumn("listed", F.coalesce("listed", F.lit(False)))
     return hits.unionByName(probed.where("not may").withColumn("listed", F.lit(False))).drop("may")
@@ -64,7 +64,11 @@ def judge(pages: DataFrame, blocklist: DataFrame, rules: Sequence[tuple[str, str
     return listed(urls, blocklist).select("page_id", "host", "path", "canon", rule.alias("rule"), verdict.alias("verdict"))
 
 
-def respelled(pages: DataFrame) -> DataFrame:
-    """A list to block: canonical URLs that the table has under two or more spellings, as crawler traps and trackers make them."""
-    urls = pages.where("url is not null").select("url", canonical(host(F.col("url")), path(F.col("url"))).alias("canon"))
-    return urls.groupBy("canon").agg(F.min("url").alias("a"), F.max("url").alias("b")).where("a <> b").select("canon")
+def entries(urls: DataFrame) -> DataFrame:
+    """The list to block, from a table of listed URLs (url), in any spelling: canon, once each. URLs without a host, and nulls, list nothing."""
+    return urls.select(canonical(host(F.col("url")), path(F.col("url"))).alias("canon")).where("canon is not null").distinct()
+
+
+def spam(pages: DataFrame) -> DataFrame:
+    """The pages (url) whose host says so: one of its labels, or a part of one between hyphens, is ``spam``."""
+    return pages.where(host(F.col("url")).rlike(r"(^|[.-])spam([.-]|$)")).select("url")

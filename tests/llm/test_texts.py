@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ferrule.llm import decontaminate, langid, pii, toxicity, url_filter, warc
+from ferrule.llm import common, decontaminate, langid, pii, toxicity, url_filter, warc
 from ferrule.llm.queries import QUERIES, RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -416,14 +416,32 @@ def test_very_many_numbers_in_one_text(spark):
 def test_verdicts(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1?a#b", "http://example.net/english", "ftp://de.Example.com/de/", "http://notexample.com/de/", "http://x.org/fr/", "http://x.org/fr", "http://net", "no scheme", None, "http://h.org/p?://q", "://", "http://www.twin.io/a/", "http://twin.io/a?b", "HTTP://lone.io/a"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(0, urls[0], None)], "page_id long, url string, rule string")
-    rows = url_filter.judge(pages, url_filter.respelled(pages), RULES).collect()
+    given = spark.createDataFrame([("https://m.twin.io/a#x",), ("nonsense",), (None,), ("http://twin.io/a",), ("http://never.seen/",), ("http://www.x.org/fr",)], "url string")
+    listed = url_filter.entries(given)
+    assert sorted(r.canon for r in listed.collect()) == ["never.seen", "twin.io/a", "x.org/fr"]
+    rows = url_filter.judge(pages, listed, RULES).collect()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert len(rows) == len(urls) + 1
     assert [got[k][3] for k in range(len(urls))] == ["block", "allow", "block", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow", "block", "block", "allow"]
     assert [got[k][2] for k in range(8)] == ["net/", "example.net/en/", "net/", "example.com/de/", None, "org/fr/", None, None]
     assert got[1][:2] == ("m.example.net", "/en/1") and got[8][:2] == ("", "") and got[9][:2] == ("", "") and got[10][:2] == ("h.org", "/p")
-    assert url_filter.judge(pages.where("false"), url_filter.respelled(pages), RULES).count() == 0
-    assert {r.verdict for r in url_filter.judge(pages, url_filter.respelled(pages).where("false"), []).collect()} == {"allow"}
+    assert url_filter.judge(pages.where("false"), listed, RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, listed.where("false"), []).collect()} == {"allow"}
+
+
+def test_the_pages_of_spam_hosts_are_listed(spark):
+    urls = ["http://www.spam-farm.example.com/a", "http://x.spam/b", "http://no-spammer.org/c", "http://spam.org:80/d", None, "spam", "http://ham.org/spam"]
+    found = url_filter.spam(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert {r.url for r in found} == set(urls[:2])
+
+
+def test_a_filter_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BLOCKS", 1)
+    keys, rows = spark.range(0, 3000, 3).toDF("k"), spark.range(3000).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
+    probed = common.may_hold(rows, "k", keys, "may")
+    assert "BroadcastHashJoin" not in probed._jdf.queryExecution().executedPlan().toString()
+    found = probed.collect()
+    assert len(found) == 3001 and all(r.may for r in found if r.k is not None and r.k % 3 == 0) and sum(r.may for r in found) < 1100
 
 
 # --- WARC -----------------------------------------------------------------------
@@ -502,6 +520,10 @@ def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, data, tmp_pat
     assert 200 >= first > deduped >= clean > 0 and sharded == mixed
     items = {plain(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     assert not any(b in plain(r.text) for r in spark.read.parquet(str(tmp_path / "3")).collect() for b in items)
+    shards = spark.read.parquet(str(tmp_path / "4"))
+    assert shards.columns == [*columns, "shard", "slot"]
+    texts = lambda k: Counter((r.doc_id, r.text, r.source) for r in spark.read.parquet(str(tmp_path / str(k))).collect())
+    assert texts(3) == texts(4)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
