@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
-    return sharding.shard(docs)
+    """The documents, with the shard and slot of each."""
+    return sharding.shard_whole(docs)
 
 
 STAGES = [
