@@ -5,8 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -107,93 +107,174 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> None:
     lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
+class BrokenRecord(ValueError):
+    """A record that cannot be read."""
+
+
+def parse_stream(chunks: Iterable[bytes], aside: Callable[[str], None] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive that comes in chunks: fields by lower-case name, and block. No more than a record is held.
+
+    A record that cannot be read is an error; or with ``aside``, which is told of it, reading goes on at the next one.
+    """
+    source = iter(chunks)
+    data = bytearray()
+    ended = False
+
+    def find(what: bytes, at: int = 0) -> int:
+        nonlocal ended
+        while (found := data.find(what, at)) < 0 and not ended:
+            at = max(at, len(data) - len(what) + 1)
+            chunk = next(source, None)
+            ended = chunk is None
+            data.extend(chunk or b"")
+        return found
+
+    while True:
+        find(b"WARC/")
+        while data[:2] == b"\r\n":
+            del data[:2]
+        if not data:
+            return
+        try:
+            end = find(b"\r\n\r\n")
+            if end < 0 or not data.startswith(b"WARC/"):
+                raise BrokenRecord("no header")
+            lines = data[:end].decode().split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+            size = int(fields["content-length"])
+            missing = {"warc-type", "warc-record-id"} - set(fields)
+            if missing:
+                raise BrokenRecord(f"a header without {sorted(missing)}")
+            while len(data) < end + 4 + size and not ended:
+                chunk = next(source, None)
+                ended = chunk is None
+                data.extend(chunk or b"")
+            if len(data) < end + 4 + size:
+                raise BrokenRecord(f"record {fields['warc-record-id']} breaks off")
+        except (ValueError, KeyError) as x:
+            said = f"a broken header: {x!r}" if not isinstance(x, BrokenRecord) else str(x)
+            if aside is None:
+                raise BrokenRecord(said) from x
+            aside(said)
+            after = find(b"\r\n\r\nWARC/", 1)
+            del data[: after + 4 if after >= 0 else len(data)]
+            continue
+        yield fields, bytes(data[end + 4 : end + 4 + size])
+        del data[: end + 4 + size]
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: fields by lower-case name, and block."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + len(END)
+    """The records of an archive that is there as a whole."""
+    return parse_stream([data])
 
 
-def _gunzip(data: bytes) -> bytes:
-    """A file as it is, or what the members of a gzip file hold."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(47)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) or data
+_PARSED = "origin string, segment int, total long, segmented boolean, record_type string, page_id long, url string, digest string, refers_to string, block binary, error string"
 
 
-_PARSED = "origin string, segment int, total long, segmented boolean, record_type string, page_id long, url string, digest string, refers_to string, block binary"
+def _row(f: dict[str, str], block: bytes) -> tuple:
+    number, total, page = f.get("warc-segment-number"), f.get("warc-segment-total-length"), f.get("warc-page-id")
+    origin = f.get("warc-segment-origin-id", f["warc-record-id"])
+    return (origin, int(number or 1), int(total) if total else None, number is not None, f["warc-type"], int(page) if page else None, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), f.get("warc-refers-to"), block, None)
 
 
-def _parse_files(batches: Batches) -> Batches:
-    for batch in batches:
-        for content in batch.column("content"):
-            data = _gunzip(content.as_py())
-            rows: list[tuple] = []
-            size = 0
-            for f, block in parse(data):
-                number = f.get("warc-segment-number")
-                total = f.get("warc-segment-total-length")
-                page = f.get("warc-page-id")
-                rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(number or 1), int(total) if total else None, number is not None, f["warc-type"], int(page) if page else None, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), f.get("warc-refers-to"), block))
+def _parser(aside: bool) -> Callable[[Batches], Batches]:
+    """Parse rows (file, value): the pieces of archives between their ``END``, each archive's in order; and rows (None, value): whole archives."""
+
+    def run(batches: Batches) -> Batches:
+        def pieces() -> Iterator[tuple[str | None, bytes]]:
+            for batch in batches:
+                for file, value in zip(batch.column("file"), batch.column("value"), strict=True):
+                    yield file.as_py(), value.as_py()
+
+        rows: list[tuple] = []
+        size = 0
+        end = END.encode()
+        broken = lambda said: rows.append((None, 1, None, False, "broken", None, None, None, None, None, said))
+        numbers = count()
+        for _, group in groupby(pieces(), key=lambda p: p[0] or next(numbers)):
+            chunks = (x for file, value in group for x in ((value,) if file is None else (value, end)))
+            for fields, block in parse_stream(chunks, broken if aside else None):
+                rows.append(_row(fields, block))
                 size += len(block)
                 if size > 4_000_000:
                     yield _parsed(rows)
-                    rows, size = [], 0
-            yield _parsed(rows)
+                    rows.clear()
+                    size = 0
+        yield _parsed(rows)
+
+    return run
 
 
 def _parsed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in _PARSED.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _decode(batches: Batches) -> Batches:
-    """Whole records with their payload: the block without HTTP header and transfer framing. Its digest is held against the header's."""
-    for batch in batches:
-        out = []
-        for parts in batch.column("parts").to_pylist():
-            parts.sort(key=lambda p: p["segment"])
-            blocks = {p["segment"]: p["block"] for p in parts}
-            block = b"".join(blocks.values())
-            total = max((p["total"] for p in parts if p["total"] is not None), default=len(block))
-            if list(blocks) != list(range(1, len(blocks) + 1)) or len(block) != total:
-                raise ValueError(f"record {parts[0]['origin']}: segments {list(blocks)} of {len(block)} bytes, not {total}")
-            header, _, body = block.partition(b"\r\n\r\n")
-            for p in (p for p in parts if p["segment"] == 1):
-                payload = None
-                if p["record_type"] == "response":
-                    payload = dechunk(body) if b"transfer-encoding: chunked" in header.lower() else body
-                    if digest(payload) != p["digest"]:
-                        raise ValueError(f"record {p['origin']}: the payload is not that of its digest")
-                out.append((p["origin"], p["record_type"], p["page_id"], p["url"], p["digest"], p["refers_to"], payload))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["record_id", "record_type", "page_id", "url", "digest", "refers_to", "payload"])
-
-
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in ``folder``, whole: record_id, record_type, page_id, url, digest, refers_to, payload.
-
-    Continuation records are grouped with their origin, ordered by segment number, joined and held against the total
-    length; a record in one piece is not shuffled. A group is one record, so it is as large as one page. A missing segment,
-    a wrong length, a broken frame or a wrong digest is an error, never a shortened page.
+def _payload(parts: list[dict]) -> bytes | None:
+    """The payload of a record from its segments, in order: the block without HTTP header and transfer framing; null for a record without one."""
+    blocks = {p["segment"]: p["block"] for p in parts}
+    block = b"".join(blocks.values())
+    total = max((p["total"] for p in parts if p["total"] is not None), default=len(block))
+    if list(blocks) != list(range(1, len(blocks) + 1)) or len(block) != total:
+        raise BrokenRecord(f"record {parts[0]['origin']}: segments {list(blocks)} of {len(block)} bytes, not {total}")
+    if parts[0]["record_type"] != "response":
+        return None
+    header, _, body = block.partition(b"\r\n\r\n")
+    payload = dechunk(body) if b"transfer-encoding: chunked" in header.lower() else body
+    if digest(payload) != parts[0]["digest"]:
+        raise BrokenRecord(f"record {parts[0]['origin']}: the payload is not that of its digest")
+    return payload
+
+
+_RECORD = "record_id string, record_type string, page_id long, url string, digest string, refers_to string, payload binary, error string"
+
+
+def _decoder(aside: bool) -> Callable[[Batches], Batches]:
+    """Whole records with their payload. Its digest is held against the header's."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                parts.sort(key=lambda p: p["segment"])
+                payload, error = None, parts[0]["error"]
+                if error is None:
+                    try:
+                        payload = _payload(parts)
+                    except ValueError as x:
+                        if not aside:
+                            raise
+                        error = str(x)
+                heads = [p for p in parts if p["segment"] == 1] or parts[:1]
+                out += [(p["origin"], p["record_type"], p["page_id"], p["url"], p["digest"], p["refers_to"], payload, error) for p in heads]
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
+
+    return run
+
+
+def read_records(spark: SparkSession, folder: str, aside: bool = False) -> DataFrame:
+    """All records of the archives in ``folder``, whole: record_id, record_type, page_id, url, digest, refers_to, payload, error.
+
+    Gzipped archives (``*.gz``) are read as streams: Spark's text source, with the end of a record as the end of a line, hands
+    their pieces over in order, so that no more than a record is in memory, however large the archive. Archives that are
+    not compressed (``*.warc``) are read whole. Continuation records are grouped with their origin, ordered by segment number,
+    joined and held against the total length; a record in one piece is not shuffled. A group is one record, so it is as large
+    as one page. A missing segment, a wrong length, a broken header or frame or a wrong digest is an error, never a shortened
+    page; with ``aside`` such a record is a row with ``error`` and without payload, and all others are read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    parsed = files.mapInArrow(_parse_files, _PARSED)
+    gzipped = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(folder)
+    gzipped = gzipped.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
+    plain = plain.select(F.lit(None).cast("string").alias("file"), F.col("content").alias("value"))
+    parsed = gzipped.mapInArrow(_parser(aside), _PARSED).unionByName(plain.mapInArrow(_parser(aside), _PARSED))
     part = F.struct(*[x.split()[0] for x in _PARSED.split(", ")])
     alone = parsed.where("not segmented").select(F.array(part).alias("parts"))
     joined = parsed.where("segmented").groupBy("origin").agg(F.collect_list(part).alias("parts")).select("parts")
-    return alone.unionByName(joined).mapInArrow(_decode, "record_id string, record_type string, page_id long, url string, digest string, refers_to string, payload binary")
+    return alone.unionByName(joined).mapInArrow(_decoder(aside), _RECORD)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
