@@ -330,7 +330,10 @@ def test_blocks_hold_the_interleaved_order(spark):
     assert [r.doc_id for r in mixing.mixed(docs).collect()] == [r.doc_id for r in kept]
 
 
-def test_threshold_search_is_exact_with_ties_and_bad_vectors(spark):
+@pytest.mark.parametrize("seed", [topk.SEED, 50])
+def test_threshold_search_is_exact_with_ties_and_bad_vectors(spark, monkeypatch, seed):
+    monkeypatch.setattr(topk, "SEED", seed)
+    monkeypatch.setattr(topk, "GROUP", 1)
     rng = np.random.default_rng(6)
     vectors = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(300)]
     vectors += [(k, vectors[0][1]) for k in range(400, 430)]
@@ -361,6 +364,10 @@ def test_a_block_search_stops_early_and_is_still_right():
     rows, scores = lists.search(-1, np.array([3, 0, 0, 0]), 5)
     order = np.lexsort((np.arange(4096), -3 * vectors[:, 0]))[:5]
     assert rows.tolist() == order.tolist() and scores.tolist() == (3 * vectors[order, 0]).tolist()
+    floor = int(scores[2])
+    rows, scores = lists.search(-1, np.array([3, 0, 0, 0]), 5, floor)
+    assert rows.tolist() == [r for r in order.tolist() if 3 * vectors[r, 0] >= floor]
+    assert lists.search(-1, np.array([3, 0, 0, 0]), 5, 40_000)[0].tolist() == []
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
