@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -123,6 +124,33 @@ def _room(num: int, den: int) -> Column:
     return (den * short >= num * long) & ((num + den) * rest >= num * (F.col("x.n") + F.col("y.n")))
 
 
+def _ordered() -> Column:
+    """Is x the longer document, or of equal ones that of the smaller id?"""
+    return (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
+
+
+def _level(n: Column) -> Column:
+    """Lengths of about the same size: a step for every 15 %."""
+    return F.floor(F.log(n) / math.log(1.15)).cast("int")
+
+
+def _long(lists: DataFrame) -> DataFrame:
+    """Postings as the longer of two documents: add ``level``."""
+    return lists.withColumn("level", _level(F.col("n")))
+
+
+def _short(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings as the shorter of two documents: one row for each ``level`` of a longer one that the length and positional filter let it link with.
+
+    A posting late in its prefix admits no longer document, and hardly one of its own length, so it is dropped here; with the
+    level as a key of the join, a list of very many documents that differ in length, or share only a late shingle, is never
+    paired with itself as a whole.
+    """
+    n = F.col("n")
+    most = F.least(F.floor(n * den / num), F.floor((num + den) * (n - F.col("pos")) / num) - n)
+    return lists.where(most >= n).withColumn("level", F.explode(F.sequence(_level(n), _level(most))))
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).where("a <> b").distinct()
 
@@ -177,7 +205,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     3. Star round: in each list of postings, every document is paired with the list's first. Pairs pass the length,
        positional and suffix filters, and the texts of the rest are compared, once per pair.
     4. Full round: where a list still holds more than one component, each document outside the list's largest component
-       is paired with all those of other components, and compared likewise. No link between different components is
+       is paired with those of other components whose length it admits at its place in the prefix, and compared likewise. No link between different components is
        missed, and a large group of copies, being one component by now, makes no pairs.
 
     No list is gathered: lists of very frequent shingles are dealt over ``SALTS`` tasks in the star round, and the joins of
@@ -197,9 +225,12 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     placed = materialize(placed.select("h", "doc", "n", "pos", "component"))
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("components"), F.max_by("component", "c").alias("main"))
     mixed = placed.join(sizes.where("components > 1").select("h", "main"), "h")
-    outside = mixed.where("component <> main")
-    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc")))
-    crossed = outside.alias("x").join(mixed.alias("y"), meets & _room(num, den))
+    outside, main = mixed.where("component <> main"), mixed.where("component = main")
+    same_list = (F.col("x.h") == F.col("y.h")) & (F.col("x.level") == F.col("y.level"))
+    meets = same_list & _ordered() & (F.col("x.component") != F.col("y.component")) & _room(num, den)
+    both = [F.struct(*[f"{side}.{c}" for c in ("doc", "n", "pos")]).alias(side) for side in "xy"]
+    crossed = _long(outside).alias("x").join(_short(mixed, num, den).alias("y"), meets).select(*both)
+    crossed = crossed.unionByName(_long(main).alias("x").join(_short(outside, num, den).alias("y"), meets).select(*both))
     late = _links(_pairs(crossed), profiles, docs, num, den)
     ends = late
     for side in ("a", "b"):
@@ -218,9 +249,9 @@ def _all_links(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFram
     docs, members, profiles, same, lists = _index(docs, num, den)
     lengths = lists.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
     dealt = lists.join(lengths, "h").select("h", "doc", "n", "pos", F.ceil(F.col("of") / PAIRED).alias("parts"))
-    one = dealt.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
-    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc") < F.col("y.doc"))
+    one = _long(dealt.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))))
+    every = _short(dealt, num, den).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.level") == F.col("y.level")) & _ordered()
     held = _links(_pairs(one.alias("x").join(every.alias("y"), meets & _room(num, den))), profiles, docs, num, den)
     sizes = materialize(same.where("doc is not null").groupBy("rep").agg(F.count("*").alias("size")))
     for side in ("a", "b"):
