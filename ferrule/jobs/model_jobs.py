@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import literal_type
+from ferrule.functions.text import LITERALS, literal_type
 from ferrule.jobs.registry import query
 from ferrule.operators import codemodel
 from ferrule.sources.tables import table
@@ -29,13 +29,21 @@ def name_purpose(spark: SparkSession, folder: str) -> DataFrame:
     return parts.withColumn("purpose", codemodel.purpose(F.col("name"), F.lit("method"), F.lit("Part")))
 
 
-@query(r"""WITH t AS (SELECT event_type, unnest([props->>'$.k', event_type, '"' || event_type || '"', (event_id % 2 = 0)::VARCHAR, (user_id)::VARCHAR || 'L']) AS t FROM events)
-SELECT CASE WHEN regexp_matches(t, '^".*"$') THEN 'String' WHEN t IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(t, '^-?[0-9][0-9_]*[lL]$') THEN 'long' WHEN regexp_matches(t, '^-?[0-9][0-9_]*$') THEN 'int' END AS type,
-  event_type, count(*) AS n FROM t GROUP BY 1, 2""")
+_LITERAL = " ".join(f"WHEN regexp_matches(t, '{form.replace(chr(39), chr(39) * 2)}') THEN '{kind}'" for kind, form in LITERALS.items())
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type AS y, props->>'$.k' AS k, value::VARCHAR AS v FROM events),
+t AS (SELECT y, trim(unnest([k, y, '"' || y || '"', '"a' || chr(92) || '"' || y || '"', '"' || y || '" + "b"', chr(39) || 'c' || chr(39), chr(39) || chr(92) || 'n' || chr(39), chr(39) || chr(39),
+  (event_id % 2 = 0)::VARCHAR, user_id::VARCHAR || 'L', '+' || k, '-' || k || '_0', v, v || 'f', v || 'D', k || '.', k || 'f', '.' || k, '  ' || k || ' '])) AS t FROM e)
+SELECT CASE {_LITERAL} END AS type, y AS event_type, count(*) AS n FROM t GROUP BY 1, 2""")
 def literal_types(spark: SparkSession, folder: str) -> DataFrame:
-    """Types of the literals that events would be written with."""
-    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
-    texts = F.array(k, kind, F.concat(F.lit('"'), kind, F.lit('"')), (F.col("event_id") % 2 == 0).cast("string"), F.concat(F.col("user_id").cast("string"), F.lit("L")))
+    """Types of the literals that events would be written with, and of what is none."""
+    k, y, v = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("value").cast("string")
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    texts = F.array(
+        k, y, c('"', y, '"'), c('"a\\"', y, '"'), c('"', y, '" + "b"'), F.lit("'c'"), F.lit("'\\n'"), F.lit("''"),
+        (F.col("event_id") % 2 == 0).cast("string"), c(F.col("user_id").cast("string"), "L"), c("+", k), c("-", k, "_0"), v, c(v, "f"), c(v, "D"), c(k, "."), c(k, "f"), c(".", k), c("  ", k, " "),
+    )
     rows = table(spark, folder, "events").select("event_type", F.explode(texts).alias("t"))
     return rows.groupBy(literal_type(F.col("t")).alias("type"), "event_type").agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.jobs.registry import query
-from ferrule.operators import relational
+from ferrule.operators import codemodel, relational
 from ferrule.sources.tables import table
 
 #: Snapshots are taken before and from this day on.
@@ -173,23 +173,24 @@ def multiset_match(spark: SparkSession, folder: str) -> DataFrame:
     return relational.multiset_match(lines.where("l_quantity >= 25"), lines.where("l_discount >= 0.05"), ["l_suppkey", "l_returnflag"])
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS q, count(*) FILTER (l_returnflag = 'R') AS r, max(l_discount) AS d FROM lineitem GROUP BY 1)
-SELECT l_orderkey, 'many_lines' AS risk, CASE WHEN n >= 7 THEN 'high' ELSE 'medium' END AS level FROM g WHERE n >= 5
-UNION ALL SELECT l_orderkey, 'large_quantity', CASE WHEN q >= 49 THEN 'high' ELSE 'medium' END FROM g WHERE q >= 45
-UNION ALL SELECT l_orderkey, 'returned', CASE WHEN r >= 4 THEN 'high' ELSE 'medium' END FROM g WHERE r >= 2
-UNION ALL SELECT l_orderkey, 'discounted', 'medium' FROM g WHERE d >= 0.1""")
+@query("""WITH m AS (SELECT l_orderkey AS id, 3 * count(*) AS c, count(*) FILTER (l_returnflag = 'R') AS n, sum(l_quantity)::BIGINT AS len FROM lineitem GROUP BY 1),
+e AS (SELECT DISTINCT o_orderkey AS caller, min(o_orderkey) OVER (PARTITION BY o_custkey) AS callee, o_orderpriority FROM orders),
+u AS (SELECT callee, count(*) AS callers FROM e WHERE NOT (o_orderpriority = '1-URGENT' AND caller IN (SELECT id FROM m)) GROUP BY 1),
+g AS (SELECT m.*, coalesce(callers, 0) AS callers FROM m LEFT JOIN u ON id = callee)
+SELECT id AS method_id, 'complexity' AS kind, CASE WHEN c >= 15 THEN 'high' ELSE 'medium' END AS level FROM g WHERE c >= 10
+UNION ALL SELECT id, 'nesting', 'medium' FROM g WHERE n >= 4
+UNION ALL SELECT id, 'length', 'medium' FROM g WHERE len > 80
+UNION ALL SELECT id, 'wide_impact', CASE WHEN callers >= 15 THEN 'high' ELSE 'medium' END FROM g WHERE callers >= 5""")
 def risk_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Thresholds over one aggregate; the risks of an order are rows of one array, so the aggregate is read once."""
-    g = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.max("l_quantity").alias("q"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.max("l_discount").alias("d")
+    """Orders as methods: lines for complexity, returned ones for nesting, quantity for length, and a customer's orders as callers of the first."""
+    orders = table(spark, folder, "orders")
+    measures = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("method_id")).agg(
+        (3 * F.count("*")).alias("complexity"), F.count_if(F.col("l_returnflag") == "R").alias("nesting"), F.lit(1).alias("start_line"), F.sum("l_quantity").cast("long").alias("end_line")
     )
-
-    def risk(name: str, holds, high):
-        return F.when(holds, F.struct(F.lit(name).alias("risk"), F.when(high, "high").otherwise("medium").alias("level")))
-
-    n, q, r, d = (F.col(c) for c in "nqrd")
-    risks = F.array(risk("many_lines", n >= 5, n >= 7), risk("large_quantity", q >= 45, q >= 49), risk("returned", r >= 2, r >= 4), risk("discounted", d >= 0.1, F.lit(False)))
-    return g.select("l_orderkey", F.explode(F.array_compact(risks)).alias("x")).select("l_orderkey", "x.risk", "x.level")
+    tests = orders.select(F.col("o_orderkey").alias("method_id"), (F.col("o_orderpriority") == "1-URGENT").alias("is_test"))
+    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("callee"))
+    edges = orders.join(firsts, "o_custkey").select(F.col("o_orderkey").alias("caller"), "callee")
+    return codemodel.risks(measures.join(tests, "method_id", "left"), edges)
 
 
 @query("""WITH c AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS t FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)

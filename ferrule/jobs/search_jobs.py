@@ -95,14 +95,7 @@ SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC,
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 and hashed-cosine legs, fused by reciprocal rank."""
     docs = table(spark, folder, "documents")
-    asked = search.hashed(spark.range(1).select(F.lit(0).alias("doc_id"), F.lit(QUERY).alias("text")))
-    length = search.norms(asked).select(F.col("norm").alias("q_norm"))
-    weights = search.hashed(docs)
-    common = weights.join(F.broadcast(asked.select("bucket", F.col("weight").alias("q"))), "bucket")  # DIMENSION rows at most
-    dots = common.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    scored = dots.join(search.norms(weights), "doc_id").join(F.broadcast(length))  # one row
-    vector = scored.select("doc_id", F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), 9).alias("score"))
-    fused = search.fuse([search.ranked(search.bm25(docs, QUERY), LEG), search.ranked(vector, LEG)])
+    fused = search.fuse([search.ranked(search.bm25(docs, QUERY), LEG), search.ranked(search.hashed_cosine(docs, QUERY), LEG)])
     fused = fused.withColumn("score", F.round("score", 9))
     return search.ranked(fused, TOP).withColumn("score", F.round("score", 6))
 

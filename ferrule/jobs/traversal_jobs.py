@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.jobs.registry import query
-from ferrule.operators import graph
+from ferrule.operators import codemodel, graph
 from ferrule.sources.tables import table
 
 _TRADE = """v AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
@@ -80,22 +80,40 @@ def ancestors(spark: SparkSession, folder: str) -> DataFrame:
 d AS (SELECT *, CASE WHEN id < 2 THEN 0 WHEN id < 4 THEN 1 WHEN id < 8 THEN 2 WHEN id < 16 THEN 3 WHEN id < 32 THEN 4 ELSE 5 END AS depth FROM t)
 SELECT l_orderkey, id::INTEGER AS id, CASE WHEN id > 1 THEN (id // 2)::INTEGER END AS parent, depth, row_number() OVER (PARTITION BY l_orderkey ORDER BY rpad(bin(id), 12, ' '))::INTEGER AS ord FROM d""")
 def tree_preorder(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of an order as a heap: parent, depth and place in preorder, by a key of the path from the root."""
+    """Lines of an order as a heap: parent, depth and place in preorder."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, folder, "lineitem").withColumn("id", F.row_number().over(order)).select("l_orderkey", "id", F.bin("id").alias("path"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.rpad("path", 12, " ")))
-    parent = F.when(F.col("id") > 1, F.floor(F.col("id") / 2).cast("int"))
-    return rows.select("l_orderkey", "id", parent.alias("parent"), (F.length("path") - 1).alias("depth"), place.alias("ord"))
+    rows = table(spark, folder, "lineitem").withColumn("id", F.row_number().over(order)).select("l_orderkey", "id")
+    rows = rows.withColumn("parent", F.when(F.col("id") > 1, F.floor(F.col("id") / 2).cast("int")))
+    return graph.preorder(rows, "l_orderkey", "id", "parent", "id")
 
 
 @query("""WITH n AS (SELECT c_nationkey AS owner, c_mktsegment AS member, avg(c_acctbal) AS a FROM customer GROUP BY 1, 2 HAVING avg(c_acctbal) > 4500),
 r AS (SELECT n_regionkey AS owner, c_mktsegment AS member FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING avg(c_acctbal) > 4500)
-SELECT n_name, r_name, n.member FROM n JOIN nation ON n.owner = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN r ON r.owner = r_regionkey AND r.member = n.member""")
+SELECT n_name || '#' || n.member AS method_id, r_name || '#' || r.member AS overridden FROM n JOIN nation ON n.owner = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN r ON r.owner = r_regionkey AND r.member = n.member""")
 def override_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Members that a nation and the region above it both have."""
+    """Nations as classes that extend their region; a segment that is well off on average is a method of both."""
     customer, nation, region = (table(spark, folder, t) for t in ("customer", "nation", "region"))
-    own = customer.groupBy("c_nationkey", F.col("c_mktsegment").alias("member")).agg(F.avg("c_acctbal").alias("a")).where("a > 4500")
-    above = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("owner"), F.col("c_mktsegment").alias("member"))
-    above = above.agg(F.avg("c_acctbal").alias("a")).where("a > 4500").select("owner", "member")
-    chain = own.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return chain.join(above, (F.col("owner") == F.col("r_regionkey")) & (chain.member == above.member)).select("n_name", "r_name", chain.member)
+    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rich = lambda cls: placed.groupBy(F.col(cls).alias("cls"), F.col("c_mktsegment").alias("name")).agg(F.avg("c_acctbal").alias("a")).where("a > 4500")
+    none = F.array().cast("array<string>")
+    methods = rich("n_name").unionByName(rich("r_name"))
+    methods = methods.select("cls", F.concat_ws("#", "cls", "name").alias("method_id"), "name", none.alias("params"), F.lit(False).alias("is_static"))
+    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("cls"), F.col("r_name").alias("superclass"), none.alias("interfaces"))
+    regions = region.select(F.col("r_name").alias("cls"), F.lit(None).cast("string").alias("superclass"), none.alias("interfaces"))
+    return codemodel.overrides(methods, codemodel.hierarchy(nations.unionByName(regions)))
+
+
+_SHARED = """l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+g AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey)"""
+
+
+@query(f"""WITH RECURSIVE {_SHARED},
+b AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM g WHERE src % 20 = 0 UNION SELECT b.start, g.dst, b.depth + 1 FROM b JOIN g ON b.node = g.src WHERE b.depth < 3)
+SELECT start, node, min(depth)::INTEGER AS depth FROM b WHERE node <> start GROUP BY 1, 2""")
+def supplier_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """Whom every twentieth supplier reaches in three steps, where a step is an order from which both had lines returned. No edge is left out."""
+    sold = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey").distinct()
+    # An order has few suppliers: its pairs come from one small array, not from a join of the lines with themselves.
+    sets = sold.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
+    edges = sets.select(F.explode("s").alias("src"), "s").select("src", F.explode("s").alias("dst")).where("src <> dst").distinct()
+    return graph.reach(edges, edges.where("src % 20 = 0").select(F.col("src").alias("start")).distinct(), 3)

@@ -25,39 +25,40 @@ VERBS = {
     "schedule": "schedules", "authorize": "authorizes", "lookup": "looks up", "populate": "populates", "enrich": "enriches",
     "with": "returns a copy with", "of": "creates from", "from": "creates from",
 }
-#: Levels of inheritance followed at most.
-DEEPEST = 30
+#: What a name says if more words follow the first, in place of ``{}``.
+PHRASES = {word: f"{says} {{}}" for word, says in VERBS.items()} | {"get": "returns the {}"} | {word: f"checks whether it {word} {{}}" for word in ("has", "can", "should")}
+
+
+def _table(texts: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
 
 
 def purpose(name: Column, kind: Column, class_name: Column) -> Column:
-    """A guess in plain words at what a method does, from its name alone."""
+    """What a method's name promises, as a phrase from a table; a guess, to be marked as one.
+
+    The first word picks the phrase that the others complete; a word that the table lacks is something the method performs.
+    What is not a method builds its class. A name without words says itself.
+    """
     words = words_of(name)
-    first, rest = F.try_element_at(words, F.lit(1)), F.array_join(F.slice(words, 2, 1_000), " ")
-    verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    verb = F.try_element_at(verbs, first)
-    guess = (
-        F.when(F.size(words) == 0, name)
-        .when(verb.isNull(), F.concat(F.lit("performs "), F.array_join(words, " ")))
-        .when(rest == "", verb)
-        .when(first == "get", F.concat(F.lit("returns the "), rest))
-        .when(first.isin("has", "can", "should"), F.concat(F.lit("checks whether it "), first, F.lit(" "), rest))
-        .when(first == "is", F.concat(F.lit("checks whether "), rest))
-        .otherwise(F.concat(verb, F.lit(" "), rest))
-    )
-    return F.when(kind != "method", F.concat(F.lit("constructs a "), F.array_join(words_of(class_name), " "))).otherwise(guess)
+    lone = F.size(words) == 1
+    phrase = F.try_element_at(F.when(lone, _table(VERBS)).otherwise(_table(PHRASES)), F.get(words, F.lit(0)))
+    said = F.replace(phrase, F.lit("{}"), F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " "))
+    guess = F.when(F.size(words) == 0, name).otherwise(F.coalesce(said, F.concat(F.lit("performs "), F.array_join(words, " "))))
+    return F.when(kind == "method", guess).otherwise(F.concat(F.lit("constructs a "), F.array_join(words_of(class_name), " ")))
 
 
 def hierarchy(types: DataFrame) -> DataFrame:
     """Each type with itself and its ancestors in the order of lookup: (cls, ancestor, ord, known).
 
     ``types`` has cls, superclass and interfaces. The order is depth first, superclass before interfaces, each ancestor at its
-    first place; ``known`` says whether the table has it. One join per level; a path that meets one of its types again ends.
+    first place; ``known`` says whether the table has it. One join per level, until none has ancestors left; a path that meets
+    one of its types again ends.
     """
     parents = types.select("cls", F.array_compact(F.concat(F.array("superclass"), F.coalesce("interfaces", F.array().cast("array<string>")))).alias("up"))
     edges = durable(parents.select("cls", F.posexplode("up").alias("pos", "parent")))
     front = types.select("cls", F.col("cls").alias("ancestor"), F.lit("").alias("path"), F.array("cls").alias("on"))
     found = front
-    for _ in range(DEEPEST):
+    while True:
         step = front.join(edges.select(F.col("cls").alias("ancestor"), "pos", "parent"), "ancestor")
         step = step.where(~F.array_contains("on", F.col("parent")))
         front = durable(step.select("cls", F.col("parent").alias("ancestor"), F.concat("path", F.lpad(F.col("pos").cast("string"), 4, "0")).alias("path"), F.concat("on", F.array("parent")).alias("on")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.sources.tables import durable
@@ -26,7 +26,10 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of one edge or more; paths double in length each round, until no pair is new."""
+    """All (src, dst) with a path of one edge or more; paths double in length each round, until no pair is new.
+
+    The result has up to the square of the nodes; ``on_cycle`` and ``reach`` do without it.
+    """
     paths = durable(edges.select("src", "dst").distinct())
     n = paths.count()
     while True:
@@ -37,9 +40,69 @@ def closure(edges: DataFrame) -> DataFrame:
         n = now
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """``edges`` without those that lead from or to a node which no edge, or none but such, enters or leaves."""
+    n = edges.count()
+    while n:
+        enters, leaves = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = durable(edges.join(enters, "src", "left_semi").join(leaves, "dst", "left_semi").select("src", "dst"))
+        if (now := edges.count()) == n:
+            break
+        n = now
+    return edges
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that a path leads back to."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes that a path leads back to.
+
+    Edges that are on no cycle, for nothing leads to or from them, are peeled off. In what is left every node takes the
+    greatest node that reaches it for its color; the nodes that, within a color, lead back to the node it is named after are
+    one component of mutual reach. Components of two nodes or more, and nodes with an edge to themselves, are on cycles;
+    they are taken out and the rest is done again. Only nodes and edges are ever held, never pairs of nodes that reach each other.
+    """
+    edges = durable(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    edges = _peeled(edges.where("src <> dst"))
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+        colors, before = durable(nodes.withColumn("color", F.col("node"))), None
+        while before != (before := colors.agg(F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()[0]):
+            given = edges.join(colors, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "color")
+            colors = durable(colors.unionByName(given).groupBy("node").agg(F.max("color").alias("color")))
+        ends = [colors.select(F.col("node").alias(e), F.col("color").alias(f"{e}_color")) for e in ("src", "dst")]
+        within = durable(edges.join(ends[0], "src").join(ends[1], "dst").where("src_color = dst_color").select("src", "dst"))
+        back = durable(colors.where("node = color").select("node"))
+        front = back
+        while not front.isEmpty():
+            step = within.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct()
+            front = durable(step.join(back, "node", "left_anti"))
+            back = durable(back.unionByName(front))
+        sizes = colors.join(back, "node").groupBy("color").agg(F.count("*").alias("n")).where("n > 1")
+        found = durable(found.unionByName(colors.join(back, "node").join(sizes, "color", "left_semi").select("node")).distinct())
+        rest = edges.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti")
+        edges = _peeled(durable(rest.select("src", "dst")))
+    return found
+
+
+def preorder(nodes: DataFrame, tree: str, id_: str, parent: str, order: str) -> DataFrame:
+    """Add ``depth`` and ``ord``, the place in preorder from 1, to the rows of trees; siblings come by ``order`` and then id.
+
+    The path from the root, a list of (order, id), is handed down a level at a time, one join each. Rows whose parents lead
+    to no root, around a cycle or out of the table, are left out.
+    """
+    step = F.struct(F.col(order).alias("o"), F.col(id_).alias("i"))
+    rows = durable(nodes.withColumn("_step", step))
+    front = rows.where(F.col(parent).isNull()).withColumn("_path", F.array("_step"))
+    found = front
+    while True:
+        above = front.select(F.col(tree).alias("_tree"), F.col(id_).alias("_above"), F.col("_path").alias("_up"))
+        below = rows.where(F.col(parent).isNotNull()).join(above, (F.col(tree) == F.col("_tree")) & (F.col(parent) == F.col("_above")))
+        front = durable(below.withColumn("_path", F.concat("_up", F.array("_step"))).drop("_tree", "_above", "_up"))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    place = F.row_number().over(Window.partitionBy(tree).orderBy("_path"))
+    return found.withColumns({"depth": F.size("_path") - 1, "ord": place}).drop("_step", "_path")
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import tokens
+from ferrule.sources.tables import durable
 
 # Fixed values of the ranking formulas.
 K1, B, RRF_K, DIMENSION = 1.5, 0.75, 60, 256
@@ -27,14 +28,16 @@ def term_statistics(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
 def bm25(docs: DataFrame, query: str, keep: Column | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """The BM25 score of every document that holds a query token.
 
-    Statistics are those of all documents; ``keep`` only says which of them are scored. Documents are tokenized once and never
-    exploded: each becomes one row of its length and its counts of the few query tokens, so what is shuffled is one row of sums.
+    Statistics are those of all documents; ``keep`` only says which of them are scored. Documents are tokenized once: each
+    becomes a row of its length and its counts of the few query tokens, which is written, and which both the statistics and
+    the scores are taken from. A filter on counts that are still expressions would tokenize every text again for each.
     """
     spark = docs.sparkSession
     asked = spark.range(1).select(F.array_sort(F.array_distinct(tokens(F.lit(query)))).alias("t")).first().t
     rows = docs.select(F.col(id_), tokens(F.col(text)).alias("_t"), (F.lit(True) if keep is None else keep).alias("_keep"))
-    counts = [F.size(F.filter("_t", _is(t))).alias(f"tf{k}") for k, t in enumerate(asked)]
-    rows = rows.select(id_, "_keep", F.size("_t").alias("len"), *counts)
+    rows = rows.select(id_, "_keep", F.size("_t").alias("len"), F.filter("_t", lambda x: x.isin(asked)).alias("_hits"))
+    counts = [F.size(F.filter("_hits", _is(t))).alias(f"tf{k}") for k, t in enumerate(asked)]
+    rows = durable(rows.select(id_, "_keep", "len", *counts))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(asked))])
     joined = rows.where("_keep").where(reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(asked))], F.lit(False)))
     joined = joined.join(F.broadcast(stats))  # one row
@@ -87,6 +90,17 @@ def norms(weights: DataFrame, id_: str = "doc_id") -> DataFrame:
     return weights.groupBy(id_).agg(F.when(norm == 0, 1.0).otherwise(norm).alias("norm"))
 
 
+def hashed_cosine(docs: DataFrame, query: str, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The cosine of every document's hashed vector with that of ``query``, where they share a bucket: dot and length from one pass."""
+    spark = docs.sparkSession
+    asked = hashed(spark.range(1).select(F.lit(0).alias(id_), F.lit(query).alias(text)), id_, text)
+    length = norms(asked, id_).select(F.col("norm").alias("_q_norm"))
+    both = hashed(docs, id_, text).join(F.broadcast(asked.select("bucket", F.col("weight").alias("_q"))), "bucket", "left")  # DIMENSION rows at most
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+    sums = both.groupBy(id_).agg(F.sum(F.col("weight") * F.col("_q")).alias("dot"), norm.alias("norm")).where("dot is not null")
+    return sums.join(F.broadcast(length)).select(id_, F.round(F.col("dot") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")) / F.col("_q_norm"), 9).alias("score"))  # one row
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -116,6 +130,7 @@ def condition(where: dict) -> Column:
                     one = one & F.col(key).eqNullSafe(F.lit(arg))
                 elif op == "$ne":
                     one = one & ~F.col(key).eqNullSafe(F.lit(arg))
+                # any other operator says nothing, as the filters that this compiles have it
         else:
             one = F.col(key).eqNullSafe(F.lit(says))
         out = out & one

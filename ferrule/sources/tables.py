@@ -12,8 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A copy of ``df`` in the folder that the cluster shares, ``spark.checkpoint.dir``; a session without one (a test) gets a temporary folder."""
-    context = df.sparkSession.sparkContext
+    """A copy of ``df`` in the folder that the cluster shares, ``spark.checkpoint.dir``; only a local session without one, as in a test, gets a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrule-"))
     return df.checkpoint()

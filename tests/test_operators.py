@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -46,13 +47,18 @@ def test_estimate_tokens(spark, value, expected):
         ("Sums up\n  @param x what", "Sums up"),
         ("<p>One</p> two! three", "One two!"),
         ("no end", "no end"),
+        (". Then. more", ". Then."),
+        ("a . b", "a ."),
+        ("one<br>two <b>x</b>! y", "one two x !"),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_first_sentence(spark, value, expected):
     assert one(spark, X.first_sentence(F.col("t")), value) == expected
 
 
-@pytest.mark.parametrize(("value", "expected"), [('"a"', "String"), ("'a'", "char"), ("true", "boolean"), ("10L", "long"), ("10", "int"), ("1.5f", "float"), ("1.5", "double"), ("x", None)])
+@pytest.mark.parametrize(("value", "expected"), [('"a"', "String"), ('"a\\"b"', "String"), ('"a" + "b"', None), ("'a'", "char"), ("'\\n'", "char"), ("''", None), ("true", "boolean"), ("10L", "long"), ("10", "int"), ("+5", "int"), (" 7\n", "int"), ("1.5f", "float"), ("5f", None), ("1.5", "double"), ("5.", "double"), (".5d", "double"), ("x", None), ("", None), (None, None)])
 def test_literal_type(spark, value, expected):
     assert one(spark, X.literal_type(F.col("t")), value) == expected
 
@@ -140,11 +146,42 @@ def test_cycles_and_shortest_paths(spark):
     assert got == {2: [1, 2], 4: [1, 4], 3: [1, 2, 3], 5: [1, 2, 5]}
 
 
+def test_nodes_on_cycles_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    for n, m in ((30, 30), (40, 60), (25, 80)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        paths = set(pairs)
+        while longer := {(a, d) for a, b in paths for c, d in pairs if b == c} - paths:
+            paths |= longer
+        edges = spark.createDataFrame([*pairs, (None, 1)], "src long, dst long")
+        assert sorted(r.node for r in graph.on_cycle(edges).collect()) == sorted(a for a, b in paths if a == b)
+
+
+def test_preorder_of_trees(spark):
+    rows = [("t", 1, None, 0), ("t", 2, 1, 5), ("t", 3, 1, 2), ("t", 4, 3, 0), ("t", 5, None, 1), ("u", 1, None, 0), ("u", 2, 3, 0), ("u", 3, 2, 0)]
+    found = graph.preorder(spark.createDataFrame(rows, "tree string, id int, parent int, o int"), "tree", "id", "parent", "o").collect()
+    assert {(r.tree, r.id, r.depth, r.ord) for r in found} == {("t", 1, 0, 1), ("t", 3, 1, 2), ("t", 4, 2, 3), ("t", 2, 1, 4), ("t", 5, 0, 5), ("u", 1, 0, 1)}
+
+
+@pytest.mark.parametrize("n", [1, 5, 12, 100])
+def test_text_is_cut_between_lines(spark, n):
+    text = "\n".join("x" * k for k in (3, 0, 10, 25, 4, 60))
+    got = one(spark, X.cut_to_tokens(F.col("t"), F.lit(n)), text)
+    room, kept = max(0, int(n * 3.5) - len("[... truncated]") - 1), []
+    for line in text.split("\n"):
+        if sum(map(len, kept)) + len(kept) + len(line) + 1 > room:
+            break
+        kept.append(line)
+    cut = math.ceil(len(text) / 3.5) > n
+    assert (got.text, got.cut) == ("\n".join([*kept, f"[... truncated] ({6 - len(kept)} more lines)"]) if cut else text, cut)
+
+
 def test_graph_operators_take_empty_tables(spark):
     edges = spark.createDataFrame([], "src long, dst long")
     starts = spark.createDataFrame([(1,)], "start long")
     assert graph.reach(edges, starts, 3).count() == 0
     assert graph.closure(edges).count() == 0
+    assert graph.on_cycle(edges).count() == 0
     assert graph.shortest_paths(edges, starts, 3).count() == 0
 
 
