@@ -118,3 +118,36 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame
             break
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(level)))
     return seen.where("hops > 0")
+
+
+def reach_calls(edges: DataFrame, starts: DataFrame, depth: int, overrides: DataFrame | None = None, candidates: bool = True, forward: bool = True) -> DataFrame:
+    """Methods within ``depth`` calls of each start, with how they were first met: start, node, depth, edge, ambiguous, via_override.
+
+    ``edges`` has edge, caller, ord, status and targets; ``overrides`` (method, implementation). Ambiguous calls lead to all
+    their targets, or to none unless ``candidates``. Forward, a target leads to its implementations, too, if ``overrides``
+    are given. Of several ways to a method on one level the one from the least caller counts, then the first edge, then a call
+    before an override; the start itself is never met.
+    """
+    ambiguous = F.col("status") == "ambiguous"
+    usable = edges if candidates else edges.where(~ambiguous)
+    rows = usable.select("edge", "caller", "ord", ambiguous.alias("ambiguous"), F.explode("targets").alias("target"))
+    src, dst = ("caller", "target") if forward else ("target", "caller")
+    steps = rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "edge", "ord", "ambiguous", F.lit(False).alias("via_override"))
+    if overrides is not None and forward:
+        through = rows.join(overrides.select(F.col("method").alias("target"), "implementation"), "target")
+        steps = steps.unionByName(through.select(F.col("caller").alias("src"), F.col("implementation").alias("dst"), "edge", "ord", "ambiguous", F.lit(True).alias("via_override")))
+    steps = durable(steps)
+    way = F.struct("src", "ord", "via_override", "edge", "ambiguous")
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    seen, found = frontier, None
+    for level in range(1, depth + 1):
+        met = frontier.join(steps, frontier.node == steps.src).groupBy("start", F.col("dst").alias("node")).agg(F.min(way).alias("way"))
+        new = durable(met.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        if new.isEmpty():
+            break
+        frontier = new.select("start", "node")
+        seen = seen.unionByName(frontier)
+        found = new if found is None else found.unionByName(new)
+    if found is None:
+        found = steps.where("false").select(F.col("src").alias("start"), F.col("dst").alias("node"), way.alias("way"), F.lit(0).alias("depth"))
+    return found.select("start", "node", "depth", "way.edge", "way.ambiguous", "way.via_override")

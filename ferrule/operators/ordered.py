@@ -44,3 +44,17 @@ def greedy_fill(items: DataFrame, key: Sequence[str], id_: str, cost: str, order
     folded = groups.withColumn("_taken", F.aggregate("_items", start, step, lambda acc: acc["taken"]))
     pairs = folded.select(*key, F.explode(F.arrays_zip("_items", "_taken")).alias("p"))
     return pairs.select(*key, F.col("p._items._id").alias(id_), F.col("p._items._cost").alias(cost), F.col("p._taken").alias("taken"))
+
+
+def collapse_tail(rows: DataFrame, key: Sequence[str], order: str, title: str, most: int = 12) -> DataFrame:
+    """At most ``most`` rows per group: beyond that the last ones become one row that counts them: key, ord, title, n, first, last.
+
+    ``first`` and ``last`` are the ``order`` of what a row stands for. Only the tail's count and ends are aggregated.
+    """
+    place = Window.partitionBy(*key).orderBy(order)
+    ranked = rows.withColumns({"_r": F.row_number().over(place), "_n": F.count("*").over(Window.partitionBy(*key))})
+    tail = (F.col("_n") > most) & (F.col("_r") >= most)
+    slot = F.when(tail, most).otherwise(F.col("_r")).alias("ord")
+    groups = ranked.groupBy(*key, slot).agg(F.count("*").alias("n"), F.min_by(title, order).alias("_title"), F.min(order).alias("first"), F.max(order).alias("last"))
+    named = F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" further steps"))).otherwise(F.col("_title"))
+    return groups.select(*key, "ord", named.alias("title"), "n", "first", "last")

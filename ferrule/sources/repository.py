@@ -80,3 +80,19 @@ def is_test(path: Column, class_name: Column, annotations: Column) -> Column:
 def lines_of(text: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end`` of a text, counted from 1, both included."""
     return F.array_join(F.slice(F.split(text, "\n", -1), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+
+
+def documentation(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORED, most_bytes: int = MOST_DOC_BYTES) -> DataFrame:
+    """The sections of a repository's README files, and of the Markdown files in its ``docs`` folder: path, is_readme and those of ``markdown_sections``.
+
+    Files that are too large, or not UTF-8, are left out.
+    """
+    base = root.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root).where(F.col("length") <= most_bytes)
+    relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    folders = F.split(relative, "/")
+    readme = F.lower(F.element_at(folders, -1)).startswith("readme")
+    wanted = (readme | F.lower(relative).startswith("docs/")) & ~F.arrays_overlap(folders, F.array(*map(F.lit, ignored)))
+    text = F.col("content").cast("string")
+    told = files.where(wanted & F.is_valid_utf8(text)).select(relative.alias("path"), readme.alias("is_readme"), text.alias("text"))
+    return markdown_sections(told).join(told.select("path", "is_readme"), "path")
