@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 #: items get a smaller budget, or any shared q-gram would be aligned, and no edits where none fits.
 Q, RATE, WHOLE = 10, 0.08, 8
 #: Characters of benchmark text that one pass over the documents is held against, and of documents looked at together.
-BLOCK_CHARS, CHUNK = 4_000_000, 1 << 19
+BLOCK_CHARS, CHUNK = 4_000_000, 1 << 17
 #: Shared q-grams that are counted at a time.
-HITS = 1 << 21
+HITS = 1 << 19
 #: A code that no character has: it stands between texts.
 _GAP = np.uint32(0x110001)
 _SPACE = np.uint32(32)
@@ -88,7 +88,7 @@ def _gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(codes)
     if n < q:
         return np.empty(0, np.uint64)
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[:n])])
     h = (sums[q:] - sums[:-q]) * _powers(_INVERSE, size)[: n - q + 1]
     h ^= h >> np.uint64(29)

@@ -47,8 +47,8 @@ def _count(batches: Batches) -> Batches:
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for word, c in Counter(_TOKEN.findall((text or "").lower())).items():
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            for word, c in Counter(_TOKEN.findall((text.as_py() or "").lower())).items():
                 counts[lang, 0, word] += c
         if len(counts) > 50_000:
             yield flush()
@@ -74,7 +74,7 @@ class Model:
     def scorer(self) -> Callable[[str | None], tuple[str, float]]:
         first, column, excess, base, n_languages = self.first, self.column, self.excess, self.base, len(self.languages)
 
-        @lru_cache(1 << 15)
+        @lru_cache(1 << 13)
         def unseen(word: str) -> tuple[int, list[int]]:
             """The longest n of which the model knows n-grams of the word, and their rows."""
             for n in range(LONGEST, 0, -1):
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Batches) -> Batches:
         score = shared.value.scorer()
         for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
+            found = [score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -194,7 +194,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches: Batches) -> Batches:
         score = shared.value.scorer()
         for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
+            found = [score(t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Words of a shingle.
 WIDTH = 5
 #: Bytes of text hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The base of the polynomial hash, its inverse modulo 2^64, and the weight of each word of a shingle: odd numbers from a fixed seed.
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
