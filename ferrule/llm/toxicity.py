@@ -144,23 +144,33 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
 
-def fit(rows: DataFrame) -> Model:
-    """Fit trees on features with ``toxic`` and ``calibrates``; rows of the latter only set the curve from the trees' score to a probability.
+def grow(rows: DataFrame) -> GBTClassificationModel | None:
+    """Trees on features with ``toxic``; none if the rows have fewer than two classes."""
+    if rows.agg(F.countDistinct("toxic")).first()[0] < 2:
+        return None
+    trained = _vectors(rows.withColumn("label", F.col("toxic").cast("double")))
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7).fit(trained)
+
+
+def raw_scores(rows: DataFrame, trees: GBTClassificationModel | None) -> DataFrame:
+    """label and p, the trees' own score, of features with ``toxic``; no rows without trees."""
+    label = F.col("toxic").cast("double").alias("label")
+    if trees is None:
+        return rows.select(label, F.lit(0.0).alias("p")).limit(0)
+    return trees.transform(_vectors(rows)).select(label, vector_to_array("probability")[1].alias("p"))
+
+
+def fit(rows: DataFrame, apart: DataFrame) -> Model:
+    """Fit trees on features with ``toxic``, and on ``apart`` (label, p), scores of trees that did not see the row, the curve from a score to a probability.
 
     With fewer than two classes among the rows the model is their rate, or 0 without any.
     """
     counts = {r.toxic: r.c for r in rows.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
     rate = counts.get(1, 0) / max(sum(counts.values()), 1)
-    vectors = _vectors(rows.withColumn("label", F.col("toxic").cast("double")))
-    trained = vectors.where("not calibrates")
-    if trained.agg(F.countDistinct("label")).first()[0] < 2:
-        return Model(None, None, rate)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7).fit(trained)
-    held = trees.transform(vectors.where("calibrates")).select("label", vector_to_array("probability")[1].alias("p"))
-    if held.agg(F.countDistinct("label")).first()[0] < 2:
+    trees = grow(rows)
+    if trees is None or apart.agg(F.countDistinct("label")).first()[0] < 2:
         return Model(trees, None, rate)
-    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(held)
-    return Model(trees, curve, rate)
+    return Model(trees, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(apart), rate)
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
@@ -177,8 +187,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The toxicity of every document of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic): doc_id, score.
 
-    About ``SAMPLE`` labelled documents, picked by a hash of the doc_id, give the lexicon and the trees, but for a quarter of
-    them, picked by another, which gives the calibration. That sample, being bounded, is broadcast to the documents: no text is shuffled.
+    About ``SAMPLE`` labelled documents, picked by a hash of the doc_id, give the lexicon and the trees. The curve is set by
+    scores that each half of them gets from a lexicon and trees of the other half, so no row is calibrated by what learned it.
+    That sample, being bounded, is broadcast to the documents: no text is shuffled.
     A doc_id labelled both ways counts as toxic. Null and empty texts have features of 0 and are scored like others; rows
     that repeat are scored alike; without labels the score is 0; other columns are ignored.
     """
@@ -186,9 +197,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = labels.count()
     share = 1_000_000 if n <= SAMPLE else math.ceil(SAMPLE * 1e6 / n)
     sample = labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share)
-    sample = materialize(sample.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0))
+    sample = materialize(sample.withColumn("half", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(2))))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Rows that set the curve stay out of the lexicon, too, or their features would say more than those of other documents do.
-    terms = lexicon(docs.join(F.broadcast(sample.where("not calibrates")), "doc_id").select("text", "toxic"))
-    rows = materialize(featurize(docs, terms))
-    return score(rows, fit(rows.join(F.broadcast(sample), "doc_id"))).select("doc_id", "score")
+    learned = materialize(docs.join(F.broadcast(sample), "doc_id"))
+    scored = []
+    for half in (0, 1):
+        terms = lexicon(learned.where(F.col("half") != half).select("text", "toxic"))
+        rows = featurize(learned, terms).join(F.broadcast(sample), "doc_id")
+        scored.append(raw_scores(rows.where(F.col("half") == half), grow(rows.where(F.col("half") != half))))
+    rows = materialize(featurize(docs, lexicon(learned.select("text", "toxic"))))
+    model = fit(rows.join(F.broadcast(sample), "doc_id"), scored[0].unionByName(scored[1]))
+    return score(rows, model).select("doc_id", "score")
