@@ -21,6 +21,8 @@ from ferrule.llm.common import materialize
 
 #: Labelled documents to fit on, about; terms of the lexicon; documents a term must be in, and how sure its sign must be.
 SAMPLE, TERMS, SEEN, SURE = 20_000, 400, 5, 4.0
+#: Partitions that hold the labelled sample.
+PARTS = 16
 #: Lengths of word beginnings that are terms beside whole words.
 STEMS = range(3, 8)
 #: Trees and their depth.
@@ -199,12 +201,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share)
     sample = materialize(sample.withColumn("half", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(2))))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learned = materialize(docs.join(F.broadcast(sample), "doc_id"))
+    # The sample is bounded, so few partitions hold it, however many the documents have; each pass of the trees starts a task for each.
+    learned = materialize(docs.join(F.broadcast(sample), "doc_id").repartition(PARTS))
     scored = []
     for half in (0, 1):
         terms = lexicon(learned.where(F.col("half") != half).select("text", "toxic"))
-        rows = featurize(learned, terms).join(F.broadcast(sample), "doc_id")
+        # Trees read their rows many times over: the features are taken once.
+        rows = materialize(featurize(learned, terms).join(F.broadcast(sample), "doc_id"))
         scored.append(raw_scores(rows.where(F.col("half") == half), grow(rows.where(F.col("half") != half))))
     rows = materialize(featurize(docs, lexicon(learned.select("text", "toxic"))))
-    model = fit(rows.join(F.broadcast(sample), "doc_id"), scored[0].unionByName(scored[1]))
+    model = fit(materialize(rows.join(F.broadcast(sample), "doc_id").repartition(PARTS)), scored[0].unionByName(scored[1]))
     return score(rows, model).select("doc_id", "score")
