@@ -37,7 +37,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _MARK = re.compile(r"[^\w\s]")
 _SHOUT = re.compile(r"[!?]")
-_MIXED = re.compile(r"[^\W\d_]+[013457@$!|*]+[^\W\d_][\w@$!|*]*")
+# A match starts where its letters do, and neither letters nor marks give any back: no word is read more than once.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[013457@$!|*]++[^\W\d_][\w@$!|*]*")
+_STAND_IN = re.compile(r"[013457@$!|*][^\W\d_]")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ["words", "terms", "weight", "strongest", "distinct", "near_you", "you", "capitals", "marks", "shouts", "mixed", "disguised", "drawn"]
 
@@ -94,14 +96,15 @@ def _features(terms: dict[str, float]) -> Callable[[str | None], list[float]]:
         text = text or ""
         words = _WORD.findall(text.lower())
         n, chars = max(len(words), 1), max(len(text), 1)
-        weights = {w: x for w in set(words) if (x := weight(w)) > 0}
+        distinct = set(words)
+        weights = {w: x for w in distinct if (x := weight(w)) > 0}
         hits = [k for k, w in enumerate(words) if w in weights] if weights else []
-        you = [k for k, w in enumerate(words) if w in SECOND_PERSON]
+        you = [] if distinct.isdisjoint(SECOND_PERSON) else [k for k, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
         if hits and you:
             at = np.searchsorted(you, hits)
             near = sum(min((abs(you[j] - h) for j in (i - 1, i) if 0 <= j < len(you)), default=n) <= NEAR for i, h in zip(at.tolist(), hits, strict=True))
-        mixed = _MIXED.findall(text)
+        mixed = _MIXED.findall(text) if _STAND_IN.search(text) else []
         disguised = sum(weight(m.lower().translate(STAND_INS).replace("*", "")) > 0 for m in mixed)
         return [
             math.log1p(len(words)),

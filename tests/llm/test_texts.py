@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -236,6 +237,14 @@ def test_toxicity_of_odd_documents_and_labels(spark):
     assert toxicity.classify(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_features_of_one_very_long_word():
+    features = toxicity._features({"vile": 1.0})
+    began = time.monotonic()
+    found = dict(zip(toxicity.FEATURES, features("x" * 300_000 + " v1le"), strict=True))
+    assert time.monotonic() - began < 5
+    assert found["mixed"] == 100 / 3 and found["disguised"] == 1.0 and found["terms"] == 0.0
+
+
 # --- personal data -----------------------------------------------------------
 
 PATTERNS = {
