@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import decontaminate, jaccard_join, langid, mixing, pii, sharding, topk, toxicity, url_filter, warc
+from ferrule.llm import byte_bpe, decontaminate, jaccard_join, langid, mixing, pii, sharding, topk, toxicity, url_filter, warc
 from ferrule.llm.common import read
 
 #: The rules of the URL query: verdict, host, path.
@@ -67,6 +68,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_language_id,
         op10_mixing,
+        op12_byte_bpe,
         op1_jaccard_links,
     )
 }
