@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import LITERALS, literal_type
 from ferrule.jobs.registry import query
-from ferrule.operators import codemodel
+from ferrule.operators import codemodel, expressions
 from ferrule.sources.tables import table
 from ferrule.streaming import incremental
 
@@ -74,3 +74,54 @@ def class_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("cls"), F.col("r_name").alias("superclass"), none.alias("interfaces"))
     regions = region.select(F.col("r_name").alias("cls"), F.lit(None).cast("string").alias("superclass"), none.alias("interfaces"))
     return codemodel.hierarchy(customers.unionByName(nations).unionByName(regions))
+
+
+@query("""WITH c AS (SELECT c_custkey, n_nationkey AS n, n_regionkey AS r, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS f FROM nation JOIN customer ON c_nationkey = n_nationkey),
+f AS (SELECT n_regionkey, min(n_nationkey) AS f FROM nation GROUP BY 1),
+o AS (SELECT o_orderkey, o_orderstatus AS s, n, r, f.f FROM orders JOIN c ON o_custkey = c_custkey JOIN f ON n_regionkey = r)
+SELECT o_orderkey, 'a' AS step, 'resolved' AS status, 'N' || n || '.home' AS symbol, NULL AS reason, 'r.R' || r AS type FROM o
+UNION ALL SELECT o_orderkey, 'b', 'resolved', 'R' || r || '.first()', NULL, 'n.N' || f FROM o
+UNION ALL SELECT o_orderkey, 'c', CASE WHEN s = 'P' THEN 'ambiguous' ELSE 'resolved' END, CASE s WHEN 'O' THEN 'N' || f || '.pick(int)' WHEN 'F' THEN 'N' || f || '.pick(String)' END, CASE WHEN s = 'P' THEN 'overload_not_disambiguated' END, 'r.R' || r FROM o
+UNION ALL SELECT o_orderkey, 'd', 'unresolved', NULL, CASE WHEN r % 2 = 1 THEN 'possible_inherited_external_method' ELSE 'no_such_method' END, NULL FROM o""")
+def receiver_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as methods of their customer's class, with a chain over four receivers: ``this.home.first().pick(status).gone()``.
+
+    Customers inherit the field of their nation, which inherits nothing; regions of odd keys extend a class of a library.
+    """
+    orders, customers, nations = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
+    text, no, none = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
+    name = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    n, r, c = name("n.N", "n_nationkey"), name("r.R", "n_regionkey"), name("c.C", "c_custkey")
+    root = F.when(F.col("n_regionkey") % 2 == 1, "lib.Root")
+    regions = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    rest = [F.lit("class").alias("kind"), none.alias("interfaces"), text.alias("outer"), no.alias("generated")]
+    types = regions.select(r.alias("cls"), root.alias("superclass"), *rest).unionByName(nations.select(n.alias("cls"), text.alias("superclass"), *rest))
+    types = types.unionByName(customers.select(c.alias("cls"), name("n.N", "c_nationkey").alias("superclass"), *rest))
+    fields = nations.select(n.alias("cls"), F.lit("home").alias("name"), F.concat(name("N", "n_nationkey"), F.lit(".home")).alias("field_id"), F.lit("R").alias("type"), no.alias("is_static"))
+
+    def method(rows: DataFrame, cls: Column, id_: Column, call: str, param: str | None, returns: str) -> DataFrame:
+        params = F.array(F.lit(param)) if param else none
+        return rows.select(cls.alias("cls"), F.concat(id_, F.lit(f".{call}({param or ''})")).alias("method_id"), F.lit(call).alias("name"), params.alias("params"), no.alias("var_args"), F.lit(returns).alias("returns"), no.alias("is_static"), F.lit("method").alias("kind"))
+
+    methods = method(regions, r, name("R", "n_regionkey"), "first", None, "N")
+    for param in ("int", "String"):
+        methods = methods.unionByName(method(nations, n, name("N", "n_nationkey"), "pick", param, "R"))
+
+    def means(rows: DataFrame, cls: Column, said: str, kind: str, origin: str, fqn: Column) -> DataFrame:
+        return rows.select(cls.alias("cls"), F.lit(said).alias("text"), F.lit("resolved").alias("status"), F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), fqn.alias("fqn"), F.lit(0).alias("dims"), text.alias("reason"), none.alias("candidates"))
+
+    names = means(nations, n, "R", "class", "project", r).unionByName(means(regions, r, "N", "class", "project", n))
+    names = names.unionByName(means(nations, n, "int", "primitive", "primitive", F.lit("int"))).unionByName(means(nations, n, "String", "class", "external", F.lit("java.lang.String")))
+    status = F.col("o_orderstatus")
+    given = F.struct(F.when(status == "P", "expr").otherwise("literal").alias("kind"), F.when(status == "O", "int").when(status == "F", "String").otherwise("nowhere").alias("value"))
+    empty = F.array().cast("array<struct<kind:string,value:string>>")
+    steps = [("a", "field_access", "home", "this", None, empty), ("b", "method_call", "first", "expr", "a", empty), ("c", "method_call", "pick", "expr", "b", F.array(given)), ("d", "method_call", "gone", "expr", "c", empty)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("step", "kind", "name", "receiver_kind", "on"), s[:5], strict=True)], s[5].alias("args")) for s in steps])).alias("s")
+    key = F.col("o_orderkey").cast("string")
+    exprs = orders.withColumn("s", step).select(
+        F.concat(key, "s.step").alias("expr"), key.alias("method"), name("c.C", "o_custkey").alias("cls"), "s.kind", "s.name", "s.receiver_kind", F.concat(key, "s.on").alias("receiver"), text.alias("type"), "s.args", F.lit(1).alias("line"), no.alias("in_local")
+    )
+    variables = spark.createDataFrame([], "method string, cls string, name string, kind string, type string, start int, end int, init struct<kind:string,value:string>")
+    imports = spark.createDataFrame([], "cls string, name string, owner string")
+    found = expressions.resolve_expressions(exprs, variables, types, fields, methods, names, imports)
+    return found.select(F.expr("left(expr, length(expr) - 1)").cast("long").alias("o_orderkey"), F.right("expr", F.lit(1)).alias("step"), "status", "symbol", "reason", F.col("type.fqn").alias("type"))

@@ -57,22 +57,23 @@ def hierarchy(types: DataFrame) -> DataFrame:
     """Each type with itself and its ancestors in the order of lookup: (cls, ancestor, ord, known).
 
     ``types`` has cls, superclass and interfaces. The order is depth first, superclass before interfaces, each ancestor at its
-    first place; ``known`` says whether the table has it. One join per level, until none has ancestors left; a path that meets
-    one of its types again ends.
+    first place; ``known`` says whether the table has it. One join per level, until none has ancestors left. A path is the list
+    of places from the class up; of several to one ancestor the least is kept at every level, since whatever follows has the same
+    rest on each, and only a path less than the one before is followed again: diamonds do not multiply, and cycles end.
     """
     parents = types.select("cls", F.array_compact(F.concat(F.array("superclass"), F.coalesce("interfaces", F.array().cast("array<string>")))).alias("up"))
     edges = durable(parents.select("cls", F.posexplode("up").alias("pos", "parent")))
-    front = types.select("cls", F.col("cls").alias("ancestor"), F.lit("").alias("path"), F.array("cls").alias("on"))
+    front = types.select("cls", F.col("cls").alias("ancestor"), F.array().cast("array<int>").alias("path")).distinct()
     found = front
     while True:
         step = front.join(edges.select(F.col("cls").alias("ancestor"), "pos", "parent"), "ancestor")
-        step = step.where(~F.array_contains("on", F.col("parent")))
-        front = durable(step.select("cls", F.col("parent").alias("ancestor"), F.concat("path", F.lpad(F.col("pos").cast("string"), 4, "0")).alias("path"), F.concat("on", F.array("parent")).alias("on")))
+        step = step.select("cls", F.col("parent").alias("ancestor"), F.concat("path", F.array("pos")).alias("path")).groupBy("cls", "ancestor").agg(F.min("path").alias("path"))
+        before = found.withColumnRenamed("path", "_before")
+        front = durable(step.join(before, ["cls", "ancestor"], "left").where("_before is null or path < _before").drop("_before"))
         if front.isEmpty():
             break
-        found = found.unionByName(front)
-    first = found.groupBy("cls", "ancestor").agg(F.min("path").alias("path"))
-    ranked = first.withColumn("ord", F.row_number().over(Window.partitionBy("cls").orderBy("path")) - 1)
+        found = durable(found.unionByName(front).groupBy("cls", "ancestor").agg(F.min("path").alias("path")))
+    ranked = found.withColumn("ord", F.row_number().over(Window.partitionBy("cls").orderBy("path")) - 1)
     known = types.select(F.col("cls").alias("ancestor"), F.lit(True).alias("known")).distinct()
     return ranked.join(known, "ancestor", "left").select("cls", "ancestor", "ord", F.coalesce("known", F.lit(False)).alias("known"))
 
@@ -203,34 +204,49 @@ def resolve_types(refs: DataFrame, files: DataFrame, imports: DataFrame, types:
     return joined.select("ref", status.alias("status"), F.when(~dark_, F.col("origin")).alias("origin"), reason.alias("reason"), F.when(one & ~dark_, F.col("targets")[0]).alias("fqn"), F.coalesce(candidates, none).alias("candidates"))
 
 
-def _primitive(name: Column) -> Column:
-    return F.coalesce(F.when(name.isin(PRIMITIVES), name), F.try_element_at(F.create_map(*[F.lit(x) for pair in BOXES.items() for x in pair]), name))
+#: Pairs of realms between which no value passes but by a conversion: numbers are primitives and boxes, closed classes have all
+#: their ancestors in the project, open ones do not, library is any type outside. Other pairs leave the question open.
+_MISFITS = {
+    "number": ["number", "final", "closed", "open"],
+    "final": ["number", "final", "closed", "open"],
+    "library": ["closed", "open"],
+    "open": ["number"],
+    "closed": ["number", "final", "library", "closed", "open"],
+}
 
 
-def assignable(arg: Column, param: Column, supers: Column, outside: Column, arg_in: Column, param_in: Column) -> Column:
-    """Can a value of type ``arg`` be passed as ``param``? False only if that is sure not to be.
+def _realms(order: DataFrame) -> DataFrame:
+    """(type, realm) of all types but those of libraries."""
+    fixed = [(t, "number") for t in [*PRIMITIVES, *BOXES]] + [(t, "final") for t in FINAL_TYPES if t not in BOXES]
+    classes = order.groupBy(F.col("cls").alias("type")).agg(F.when(F.bool_and("known"), "closed").otherwise("open").alias("realm"))
+    return order.sparkSession.createDataFrame(fixed, "type string, realm string").unionByName(classes)
 
-    Types are names with a pair of brackets for each dimension; null is an unknown type and ``null`` the null literal. ``supers``
-    are all ancestors of ``arg``, ``outside`` says whether some lead out of the project; the last two, whether each is a class of it.
+
+def _conversions(order: DataFrame) -> DataFrame:
+    """(arg, param) for which a value of one type passes as another: to an ancestor, unboxed, or widened; nothing is boxed on the way."""
+    forms = {p: [p, *[box for box, of in BOXES.items() if of == p]] for p in PRIMITIVES}
+    numbers = [(a, b) for p in PRIMITIVES for q in [p, *WIDENING.get(p, [])] for a in forms[p] for b in forms[q] if a != p or b == q]
+    return order.sparkSession.createDataFrame(numbers, "arg string, param string").unionByName(order.select(F.col("cls").alias("arg"), F.col("ancestor").alias("param")))
+
+
+def assignable(places: DataFrame, order: DataFrame) -> DataFrame:
+    """Add ``fits`` to rows with arg and param: can a value of the one type be passed as the other? False only if that is sure not to be.
+
+    Types are names with a pair of brackets for each dimension; null is an unknown type and ``null`` the null literal. The
+    pairs that convert and the realms are tables, joined; ``order`` is the hierarchy of the project's classes.
     """
-    a, p = _primitive(arg), _primitive(param)
-    widens = F.array_contains(F.try_element_at(F.create_map(*[x for k, v in WIDENING.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), a), p)
-    dims = lambda c: F.length(c) - F.length(F.replace(c, F.lit("["), F.lit("")))
-    final = lambda c: c.isin(FINAL_TYPES)
-    return (
-        F.when(arg.isNull() | param.isNull(), True)
-        .when(arg == "null", ~param.isin(PRIMITIVES))
-        .when(param == "java.lang.Object", True)
-        .when(dims(arg) != dims(param), False)
-        .when(arg == param, True)
-        .when(a.isNotNull() & p.isNotNull(), F.when(arg.isin(PRIMITIVES) & ~param.isin(PRIMITIVES), a == p).otherwise((a == p) | F.coalesce(widens, F.lit(False))))
-        .when(a.isNotNull() & (param_in | final(param)), False)
-        .when(p.isNotNull() & (arg_in | final(arg)), False)
-        .when(arg_in & param_in, F.coalesce(F.array_contains(supers, param), F.lit(False)) | outside)
-        .when(arg_in, outside)
-        .when(param_in, False)
-        .otherwise(~(final(arg) & final(param)))
-    )
+    base = lambda c: F.regexp_replace(c, r"(\[\])+$", "")
+    rows = places.withColumns({"_arg": base(F.col("arg")), "_param": base(F.col("param"))})
+    converts = _conversions(order).select(F.col("arg").alias("_arg"), F.col("param").alias("_param"), F.lit(True).alias("_converts")).distinct()
+    realms = _realms(order)
+    rows = rows.join(converts, ["_arg", "_param"], "left")
+    for side in ("arg", "param"):
+        rows = rows.join(realms.select(F.col("type").alias(f"_{side}"), F.col("realm").alias(f"_{side}_realm")), f"_{side}", "left")
+    closed = F.create_map(*[x for realm, others in _MISFITS.items() for x in (F.lit(realm), F.array(*map(F.lit, others)))])
+    never = F.array_contains(F.try_element_at(closed, F.coalesce("_arg_realm", F.lit("library"))), F.coalesce("_param_realm", F.lit("library")))
+    level = F.length("arg") - F.length("_arg") == F.length("param") - F.length("_param")
+    passes = F.when(F.col("arg") == "null", ~F.col("param").isin(PRIMITIVES)).otherwise((F.col("param") == "java.lang.Object") | (level & ((F.col("_arg") == F.col("_param")) | F.col("_converts").isNotNull() | ~never)))
+    return rows.withColumn("fits", passes | F.col("arg").isNull() | F.col("param").isNull()).withColumn("fits", F.coalesce("fits", F.lit(True))).drop("_arg", "_param", "_converts", "_arg_realm", "_param_realm")
 
 
 def overloads(calls: DataFrame, candidates: DataFrame, order: DataFrame) -> DataFrame:
@@ -248,23 +264,21 @@ def overloads(calls: DataFrame, candidates: DataFrame, order: DataFrame) -> Data
     element = F.regexp_replace(last, r"\[\]$", "")
     filled = F.concat(F.slice("params", F.lit(1), F.size("params") - 1), F.array_repeat(F.when(~F.col("_fixed"), element), n - F.size("params") + 1))
     joined = joined.withColumns({"able": able, "_params": F.when(able & F.col("var_args"), filled).otherwise(F.col("params"))})
-    # Arguments in place: one row each, since whether one fits asks the hierarchy of its class.
-    own = order.groupBy(F.col("cls").alias("arg")).agg(F.collect_set("ancestor").alias("supers"), F.bool_or(~F.col("known")).alias("outside"))
-    classes = order.select(F.col("cls").alias("param")).distinct().withColumn("param_in", F.lit(True))
     places = joined.where("able").select("call_id", "method_id", F.explode(F.arrays_zip(F.col("args").alias("arg"), F.col("_params").alias("param"))).alias("x")).select("call_id", "method_id", "x.arg", "x.param")
-    places = places.join(own, "arg", "left").join(classes, "param", "left")
-    yes = assignable(F.col("arg"), F.col("param"), F.col("supers"), F.coalesce("outside", F.lit(False)), F.col("supers").isNotNull(), F.coalesce("param_in", F.lit(False)))
-    fits = places.groupBy("call_id", "method_id").agg(F.bool_and(yes).alias("fits"))
+    fits = assignable(places, order).groupBy("call_id", "method_id").agg(F.bool_and("fits").alias("fits"))
     exact = F.forall("args", lambda a: a.isNotNull() & (a != "null")) & (n > 0) & (F.col("args") == F.col("params"))
-    judged = joined.join(fits, ["call_id", "method_id"], "left").withColumns({"fits": F.col("able") & F.coalesce("fits", F.lit(True)), "exact": F.coalesce(exact, F.lit(False)), "plain": ~F.coalesce("var_args", F.lit(False)) | F.coalesce("_fixed", F.lit(False))})
-    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("method_id"))))
-    able, fit, plain = F.col("able"), F.col("fits"), F.col("plain")
-    sets = judged.groupBy("call_id").agg(ids(F.col("method_id").isNotNull()).alias("all"), ids(able).alias("able"), ids(able & plain).alias("able_plain"), ids(fit).alias("fit"), ids(fit & plain).alias("fit_plain"), ids(fit & F.col("exact")).alias("same"))
-    some = lambda *names: F.coalesce(*[F.when(F.size(x) > 0, F.col(x)) for x in names], F.array().cast("array<string>"))
-    left = F.when(F.size("fit") > 0, some("fit_plain", "fit")).otherwise(some("able_plain", "able"))
-    chosen = F.when((F.size(left) > 1) & (F.size(F.array_intersect("same", left)) == 1), F.array_intersect("same", left)).otherwise(left)
-    chosen = F.when(F.size("able") <= 1, F.col("able")).otherwise(chosen)
-    sets = sets.withColumn("targets", chosen)
-    status = F.when(F.size("targets") == 1, "resolved").when(F.size("targets") > 1, "ambiguous").otherwise("unresolved")
-    reason = F.when(F.size("targets") > 1, "overload_not_disambiguated").when((F.size("targets") == 0) & (F.size("all") > 0), "no_matching_arity").when(F.size("targets") == 0, "unknown_method")
+    plain = ~F.coalesce("var_args", F.lit(False)) | F.coalesce("_fixed", F.lit(False))
+    judged = joined.join(fits, ["call_id", "method_id"], "left")
+    # What fits outranks what does not, then a fixed number of parameters a variable one; the best rank is what is left.
+    rank = F.when(F.col("able"), F.coalesce(F.col("fits"), F.lit(True)).cast("int") * 2 + plain.cast("int"))
+    ranked = judged.select("call_id", "method_id", F.col("able").alias("able"), rank.alias("rank"), F.coalesce(exact, F.lit(False)).alias("exact"))
+    best = ranked.groupBy("call_id").agg(F.max("rank").alias("best"), F.count("method_id").alias("n"))
+    top = ranked.join(best, "call_id")
+    kept = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("method_id"))))
+    meant = F.coalesce(F.col("rank") == F.col("best"), F.lit(False))
+    sets = top.groupBy("call_id", "n").agg(kept(meant).alias("left"), kept(meant & F.col("exact")).alias("same"))
+    sets = sets.withColumn("targets", F.when(F.size("same") == 1, F.col("same")).otherwise(F.col("left")))
+    found = F.size("targets")
+    status = F.when(found == 1, "resolved").when(found > 1, "ambiguous").otherwise("unresolved")
+    reason = F.when(found > 1, "overload_not_disambiguated").when((found == 0) & (F.col("n") > 0), "no_matching_arity").when(found == 0, "unknown_method")
     return sets.select("call_id", status.alias("status"), reason.alias("reason"), "targets")
