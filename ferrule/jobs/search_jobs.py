@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import tokens
 from ferrule.jobs import sql
 from ferrule.jobs.registry import query
-from ferrule.operators import search
-from ferrule.sources.tables import table
+from ferrule.operators import neighbours, search
+from ferrule.sources.tables import shared_folder, table
+from ferrule.streaming import postings
 
 QUERY = "token version license public ertion thre"
 LEG, TOP = 20, 10
@@ -111,3 +114,42 @@ def metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
         ],
     }
     return table(spark, folder, "documents").where(search.condition(where)).select("doc_id", "lang", "source")
+
+
+def _asked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, folder, "embeddings")
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND b.label <> 3)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def nearest_all_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors, of other labels than 3, of every twentieth vector, all cells probed, which is exact."""
+    vectors, asked = _asked(spark, folder)
+    found = neighbours.search(neighbours.build(vectors), asked, probes=64, where=search.condition({"label": {"$ne": 3}}))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors of every twentieth vector in the cells that are near it; the tests measure recall."""
+    vectors, asked = _asked(spark, folder)
+    return neighbours.search(neighbours.build(vectors), asked)
+
+
+_CHANGED = _BM25.replace("FROM documents)", "FROM (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN text || ' license version 2' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))")
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id, round(score, 6) AS score FROM sc")
+def bm25_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores in an index that was built in three batches: all documents, then changed ones, removals, and versions that come too late."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    at = lambda hour: F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp").alias("ts")
+    changed = docs.where("id % 5 = 0").select("id", at(3), F.concat("text", F.lit(" license version 2")).alias("text"))
+    removed = docs.where("id % 7 = 0").select("id", at(4), F.lit(None).cast("string").alias("text"))
+    late = docs.where("id % 3 = 0").select("id", at(1), F.lit("token token").alias("text"))
+    for number, batch in enumerate((docs.select("id", at(2), "text"), changed, removed.unionByName(late))):
+        postings.apply(batch, number, root)
+    return postings.search(spark, root, QUERY).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))

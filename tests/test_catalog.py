@@ -12,7 +12,7 @@ def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_gives_the_rows_of_its_sql(spark, data, con, name):
     same(QUERIES[name](spark, data), con, ORACLE_SQL[name])
 
