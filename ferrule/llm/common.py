@@ -45,6 +45,14 @@ def shuffle_key(seed: int, doc_id: Column) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 16)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__`` and so on that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Blocks of a Bloom filter, of 64 bits each, up to which it is broadcast.
 MOST_BLOCKS = 1 << 20
 #: Bits that each key sets in its block, and bits of the filter for each key.
@@ -64,12 +72,14 @@ def may_hold(rows: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame:
         bit = F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int")
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
     block = F.shiftrightunsigned(h, 6 * PROBES).bitwiseAND(blocks - 1)
-    filled = keys.where(F.col(key).isNotNull()).select(block.alias("_block"), mask.alias("_mask"))
-    bloom = filled.groupBy("_block").agg(F.bit_or("_mask").alias("_bits"))
-    probed = rows.withColumns({"_block": block, "_mask": mask})
-    probed = probed.join(F.broadcast(bloom) if blocks <= MOST_BLOCKS else bloom, "_block", "left")
-    may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & F.col(key).isNotNull()
-    return probed.withColumn(out, may).drop("_block", "_mask", "_bits")
+    # Names that the rows' own columns leave free.
+    at, mine, bits = (unused(rows, name) for name in ("block", "mask", "bits"))
+    filled = keys.where(F.col(key).isNotNull()).select(block.alias(at), mask.alias(mine))
+    bloom = filled.groupBy(at).agg(F.bit_or(mine).alias(bits))
+    probed = rows.withColumns({at: block, mine: mask})
+    probed = probed.join(F.broadcast(bloom) if blocks <= MOST_BLOCKS else bloom, at, "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(F.col(mine)) == F.col(mine), F.lit(False)) & F.col(key).isNotNull()
+    return probed.withColumn(out, may).drop(at, mine, bits)
 
 
 def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str, total: str) -> DataFrame:

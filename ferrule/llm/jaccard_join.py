@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import materialize, may_hold
+from ferrule.llm.common import materialize, may_hold, unused
 from ferrule.llm.graph import components
 from ferrule.llm.shingles import scramble, shingle_sets
 
@@ -293,6 +293,7 @@ def keep_first(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """
     found = join(docs, num, den)
     drop = materialize(found.where("component_id <> doc_id").select("doc_id").distinct())
-    probed = may_hold(docs, "doc_id", drop, "_may")
-    rest = probed.where("_may").join(drop, "doc_id", "left_anti")
-    return probed.where("not _may").unionByName(rest).drop("_may")
+    may = unused(docs, "may")
+    probed = may_hold(docs, "doc_id", drop, may)
+    rest = probed.where(F.col(may)).join(drop, "doc_id", "left_anti")
+    return probed.where(~F.col(may)).unionByName(rest).drop(may)

@@ -68,7 +68,7 @@ def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     (sid, start) tells the rows with words apart.
     """
     rows = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("key"))
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("key"), F.xxhash64("text").alias("mark"))
     )
     sources = materialize(_targets(rows))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -79,8 +79,8 @@ def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     sources = sources.join(drawn, "sid", "left").select(F.col("source").alias("_source"), "sid", "source_size", "target", most.alias("most"))
     sized = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     sized = materialize(sized.withColumn("bucket", F.substring("key", 1, 3)))
-    placed = running_sum(sized.where("size > 0"), ["sid"], "bucket", ["key", "doc_id", "size"], "size", "start", "stream")
-    placed = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "most", "start"))
+    placed = running_sum(sized.where("size > 0"), ["sid"], "bucket", ["key", "doc_id", "size", "mark"], "size", "start", "stream")
+    placed = materialize(placed.select("doc_id", "source", "size", "mark", "source_size", "target", "sid", "most", "start"))
     passes = F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")
     spread = placed.select("doc_id", "source", "size", "source_size", "sid", "start", "most", passes)
     spread = spread.withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size"))
@@ -98,7 +98,7 @@ def _plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         (head - F.col("lo")).alias("first"),
         (tail - F.col("lo")).alias("last"),
     )
-    empty = sized.where("size = 0").select("doc_id", "source", "size", "source_size", "target", "sid", "most", F.lit(None).cast("long").alias("start"))
+    empty = sized.where("size = 0").select("doc_id", "source", "size", "mark", "source_size", "target", "sid", "most", F.lit(None).cast("long").alias("start"))
     return placed.unionByName(empty), pieces.join(schedule.drop("drawn"), ["sid", "rank"]).drop("rank")
 
 
@@ -135,26 +135,28 @@ def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed(docs: DataFrame, seed: int = 29, slot: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 29, slot: str | None = None, ordered: bool = True) -> DataFrame:
     """The documents as the mix takes them, with all their columns: each as often as the words taken hold it, rounded.
 
     Rows come in the order of the mix: each copy stands at the first slot that takes a word of it, copies of one slot in
-    the order of its block. ``slot`` names a column to keep that slot in. Rows that share doc_id, source and size are told
-    apart by a number within them, so that repeated rows are not multiplied.
+    the order of its block. That order costs a sort of all rows; where a next step deals them anew, ``ordered`` is False.
+    ``slot`` names a column to keep that slot in. Rows of equal doc_id, source, size and text are told apart by a number
+    within them, so that repeated rows are not multiplied. Columns of any name are kept, for a row travels as one value.
     """
-    keys = ["doc_id", "source", "_size"]
-    numbered = docs.withColumn("_size", word_count(F.col("text")))
-    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    keys = ["doc_id", "source", "size", "mark"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = docs.select(whole, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    numbered = numbered.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
     rows, pieces = _plan(docs, seed)
     turns = pieces.groupBy("sid", "start", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("words"), F.min(F.struct("slot", "at")).alias("turn"))
     turn = F.struct("pass", "turn")
     plan = turns.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(turn)).alias("turns"))
     plan = rows.where("size > 0").join(plan, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")))
-    plan = plan.withColumn("_size", F.col("size"))
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"), "start")))
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"), "start")))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = plan.select(*[F.col(c).alias(f"_m{c}") for c in [*keys, "_n"]], F.slice("turns", F.lit(1), copies).alias("_turns"))
-    same = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in [*keys, "_n"]]
-    joined = numbered.join(plan.where("size(_turns) > 0"), same).withColumn("_turn", F.explode("_turns"))
-    kept = [F.col("_turn.turn.slot").alias(slot)] if slot else []
-    return joined.orderBy("_turn.turn.slot", "_turn.turn.at").select(*[c for c in docs.columns if c != slot], *kept)
+    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in [*keys, "n"]], F.slice("turns", F.lit(1), copies).alias("turns"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "n"]]
+    joined = numbered.join(plan.where("size(turns) > 0"), same).select("row", F.explode("turns.turn").alias("turn"))
+    joined = joined.orderBy("turn.slot", "turn.at") if ordered else joined
+    kept = [F.col("turn.slot").alias(slot)] if slot else []
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != slot], *kept)

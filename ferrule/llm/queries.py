@@ -52,9 +52,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is what the crawl has of spam hosts, since the tables hold none of their own; ``judge`` takes any list."""
+    """The list is what the crawl has of spam hosts and of thin pages, since the tables hold none of their own; ``judge`` takes any list."""
     pages = read(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.entries(url_filter.spam(pages)), RULES)
+    return url_filter.judge(pages, url_filter.entries(url_filter.spam(pages).unionByName(url_filter.thin(pages))), RULES)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +142,11 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM d""",
     "op8_url_filter": r"""
 WITH u AS (
-  SELECT page_id, url,
+  SELECT page_id, url, len(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<[^>]*>', ' ', 'g'), '[^\x20\x09-\x0D]+')) AS words,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m|blog)\.', '') || rtrim(path, '/') END AS canon FROM u),
-l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(host, '(^|[.-])spam([.-]|$)')),
+l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND (words < 60 OR regexp_matches(host, '(^|[.-])spam([.-]|$)'))),
 f AS (SELECT page_id, host, path, canon, canon IN (SELECT canon FROM l) AS listed,
   CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

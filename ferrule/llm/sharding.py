@@ -66,18 +66,20 @@ def shard_whole(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
     """The documents with all their columns, dealt as ``shard`` does: every column of ``docs``, then shard and slot, which replace columns of those names.
 
     Rows of equal doc_id, source, size and checksum are told apart by a number within them. Texts are shuffled once: the join
-    with what ``shard`` dealt is by the hash that the numbers are counted in.
+    with what ``shard`` dealt is by the hash that the numbers are counted in. Columns of any other name are kept, for a row
+    travels as one value.
     """
     docs = docs.drop("shard", "slot")
-    keys = ["_doc_id", "_source", "_size", "_crc"]
+    keys = ["doc_id", "source", "size", "crc"]
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + FRAME).cast("long")
-    numbered = docs.withColumns({"_doc_id": F.col("doc_id"), "_source": F.col("source"), "_size": size, "_crc": F.crc32(F.encode("text", "UTF-8"))})
-    dealt = shard(docs, shards, seed).select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, "doc_id", "source", size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.xxhash64("text").alias("tie"))
+    dealt = shard(docs, shards, seed).select("doc_id", "source", "size", F.col("text_crc32").alias("crc"), "shard", "slot")
 
-    def nth(df: DataFrame, out: str, *order: str) -> DataFrame:
-        df = df.withColumn("_id", F.xxhash64(*keys))
-        return df.withColumn(out, F.row_number().over(Window.partitionBy("_id").orderBy(*keys, *order)))
+    def nth(df: DataFrame, *order: str) -> DataFrame:
+        df = df.withColumn("key", F.xxhash64(*keys))
+        return df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*keys, *order)))
 
-    dealt = nth(dealt, "_m", "shard", "slot").select("_id", "_m", "shard", "slot")
-    joined = nth(numbered, "_n", "text").join(dealt, "_id").where(F.col("_n") - F.col("_m") == 0)
-    return joined.select(*docs.columns, "shard", "slot")
+    places = nth(dealt, "shard", "slot").select("key", F.col("n").alias("m"), "shard", "slot")
+    joined = nth(rows, "tie").select("row", "key", "n").join(places, "key").where(F.col("n") - F.col("m") == 0)
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], "shard", "slot")

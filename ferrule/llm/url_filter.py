@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import materialize, may_hold
+from ferrule.llm.common import materialize, may_hold, word_count
 
 #: Labels that canonical hosts go without.
 SERVICE_LABELS = r"^(www|m|blog)\."
@@ -72,3 +72,9 @@ def entries(urls: DataFrame) -> DataFrame:
 def spam(pages: DataFrame) -> DataFrame:
     """The pages (url) whose host says so: one of its labels, or a part of one between hyphens, is ``spam``."""
     return pages.where(host(F.col("url")).rlike(r"(^|[.-])spam([.-]|$)")).select("url")
+
+
+def thin(pages: DataFrame, least: int = 60) -> DataFrame:
+    """The pages (url) whose html has fewer than ``least`` words between its tags; pages without html are thin."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<[^>]*>", " ")
+    return pages.where(word_count(text) < least).select("url")

@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.llm import jaccard_join, mixing, sharding, topk
+from ferrule.llm import jaccard_join, mixing, sharding, topk, url_filter
+from ferrule.llm.common import read
 from ferrule.llm.graph import components
-from ferrule.llm.queries import ORACLE_SQL, QUERIES
+from ferrule.llm.queries import ORACLE_SQL, QUERIES, RULES
 from ferrule.llm.shingles import shingle_sets
 from tests.oracle import connect, same
 
@@ -380,3 +381,31 @@ def test_sharding_query_over_the_whole_table(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "rows" and r.grown_shard is None for r in rows)
+
+
+CLASHES = ["_id", "_n", "_size", "_may", "_mask", "_block", "may", "block", "mask", "bits", "row", "n", "m", "key", "mark", "turn", "size", "crc", "tie", "sid", "start", "a.b"]
+
+
+@pytest.mark.parametrize("stage", [jaccard_join.keep_first, mixing.mixed, sharding.shard_whole])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    text = "a b c d e f g h"
+    rows = [(k, text if k < 3 else f"{k} " * (k + 1), "s" if k % 2 else None) for k in range(30)] + [(None, text, "s"), (None, text, "s"), (3, "3 " * 4, "s")]
+    plain = docs_of(spark, rows)
+    wide = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in CLASHES])
+    found, bare = stage(wide), stage(plain).collect()
+    added = [c for c in stage(plain).columns if c not in plain.columns]
+    assert found.columns == [*wide.columns, *added]
+    rows = found.collect()
+    assert all(r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+    narrow = lambda r: tuple(str(r[c]) for c in [*plain.columns, *added])
+    assert Counter(map(narrow, rows)) == Counter(map(narrow, bare)) and rows
+
+
+def test_a_list_that_urls_do_not_give_decides_verdicts(spark):
+    folder = "/root/testdata/sf0.01"
+    found = {r.page_id: r for r in QUERIES["op8_url_filter"](spark, folder).collect()}
+    unlisted = {r.page_id: r.verdict for r in url_filter.judge(read(spark, folder, "pages"), url_filter.entries(url_filter.spam(read(spark, folder, "pages"))), RULES).collect()}
+    changed = [k for k, r in found.items() if r.verdict != unlisted[k]]
+    assert changed and all(found[k].rule is None and found[k].verdict == "block" for k in changed)
+    html = [("u1", "<p>one two</p>"), ("u2", "<b " + "x " * 99 + ">a</b>"), ("u3", "w " * 60), ("u4", None)]
+    assert {r.url for r in url_filter.thin(spark.createDataFrame(html, "url string, html string")).collect()} == {"u1", "u2", "u4"}
