@@ -27,8 +27,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix takes it."""
-    return mixing.mixed(docs)
+    """Each document stays as often as the mix takes it; the next stage deals the rows anew, so they are not sorted here."""
+    return mixing.mixed(docs, ordered=False)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
