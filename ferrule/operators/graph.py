@@ -25,21 +25,6 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of one edge or more; paths double in length each round, until no pair is new.
-
-    The result has up to the square of the nodes; ``on_cycle`` and ``reach`` do without it.
-    """
-    paths = durable(edges.select("src", "dst").distinct())
-    n = paths.count()
-    while True:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        paths = durable(paths.unionByName(longer).distinct())
-        if (now := paths.count()) == n:
-            return paths
-        n = now
-
-
 def _peeled(edges: DataFrame) -> DataFrame:
     """``edges`` without those that lead from or to a node which no edge, or none but such, enters or leaves."""
     n = edges.count()

@@ -158,16 +158,17 @@ def mentioned(sections: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sections of documentation (section_id, heading, text) that mention symbols (symbol_id, kind, class_name, name, qualified_only).
 
     A class is mentioned by its simple name, unless that is too short to mean it; a method where it is called, with its class
-    before it if ``qualified_only``. Words are the equi key; the pattern is tried on what they join.
+    before it if ``qualified_only``. Words are the equi key; the pattern is tried on what they join. Sections have one row each.
     """
     words = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "text", "heading"), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
-    tokens = sections.select("section_id", "text", F.explode(words).alias("name"))
-    joined = tokens.join(symbols, "name")
+    met = sections.select("section_id", F.explode(words).alias("name")).join(symbols, "name")
+    classes = met.where((F.col("kind") == "class") & (F.length("name") >= SHORTEST_NAME)).select("symbol_id", "section_id")
+    # Words travel alone; texts are fetched only for the sections that name a method.
+    methods = met.where("kind <> 'class'").join(sections.select("section_id", "text"), "section_id")
     quoted = lambda c: F.concat(F.lit(r"\Q"), F.col(c), F.lit(r"\E"))
     owner = F.concat(quoted("class_name"), F.lit(r"\."))
     called = F.concat(F.lit(r"(?s).*\b"), F.when(F.col("qualified_only"), owner).otherwise(F.concat(F.lit("(?:"), owner, F.lit(")?"))), quoted("name"), F.lit(r"\s*\(.*"))
-    fits = F.when(F.col("kind") == "class", F.length("name") >= SHORTEST_NAME).otherwise(F.regexp_like("text", called))
-    return joined.where(fits).select("symbol_id", "section_id")
+    return classes.unionByName(methods.where(F.regexp_like("text", called)).select("symbol_id", "section_id"))
 
 
 def outlined(statements: DataFrame) -> DataFrame:
