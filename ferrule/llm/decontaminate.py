@@ -26,7 +26,12 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BITMAP_BITS = 22
 
+#: First and last code points of the scripts that put no spaces between words.
+SPACELESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)]
+
 Batches = Iterator[pa.RecordBatch]
+#: A window of a text: the text's number, its codes, their positions, and whether the text goes on to the left and to the right of it.
+Window = tuple[int, np.ndarray, np.ndarray, bool, bool]
 
 
 @cache
@@ -170,14 +175,19 @@ def find(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int
     """
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
     reach = [len(x) + 4 * (int(b) + 1) for x, b in zip(index.items, index.budget, strict=True)]
-    overlap = max([Q, *reach, *(items.shape[1] for _, items, _ in index.short)])
-    group: list[tuple[int, np.ndarray, np.ndarray]] = []
+    # With what stands on either side of it, each region is whole in some window.
+    overlap = max([Q, *reach, *(items.shape[1] for _, items, _ in index.short)]) + 2
+    group: list[Window] = []
     size = 0
     for k, text in enumerate(texts):
-        for codes, at in _windows(text or "", overlap):
-            if len(codes):
-                group.append((k, codes, at))
-                size += len(codes)
+        windows = _windows(text or "", overlap)
+        codes, at = next(windows, (np.empty(0, np.uint32),) * 2)
+        goes_on = False
+        while len(codes):
+            more, there = next(windows, (np.empty(0, np.uint32),) * 2)
+            group.append((k, codes, at, goes_on, len(more) > 0))
+            size += len(codes)
+            codes, at, goes_on = more, there, True
             if size >= CHUNK:
                 _scan(group, index, best)
                 group, size = [], 0
@@ -189,8 +199,23 @@ def find(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int
     return found
 
 
-def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
-    """The first place in each text of each item shorter than a q-gram, as it stands."""
+def _spaceless(codes: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([(codes >= a) & (codes <= b) for a, b in SPACELESS])
+
+
+def _borders(codes: np.ndarray, begins: np.ndarray, group: list[Window]) -> np.ndarray:
+    """Where no word goes on: spaces, ends of texts (but not of windows), and characters of scripts without spaces."""
+    border = (codes == _SPACE) | (codes == _GAP) | _spaceless(codes)
+    for k, (_, _, _, left, right) in enumerate(group):
+        if left:
+            border[begins[k] - 1] = False
+        if right:
+            border[begins[k + 1] - 1] = False
+    return border
+
+
+def _scan_short(codes: np.ndarray, begins: np.ndarray, border: np.ndarray, group: list[Window], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
+    """The first place in each text of each item shorter than a q-gram, as it stands, between borders of words."""
     before = 0
     for hashes, items, ids in index.short:
         n = items.shape[1]
@@ -202,10 +227,12 @@ def _scan_short(codes: np.ndarray, begins: np.ndarray, group: list[tuple[int, np
         at = np.repeat(at, times)
         real = (codes[at[:, None] + np.arange(n)] == items[item]).all(1)
         at, item = at[real], item[real]
+        whole = (border[at - 1] | border[at]) & (border[at + n] | border[at + n - 1])
+        at, item = at[whole], item[whole]
         d = np.searchsorted(begins, at, "right") - 1
         _, first = np.unique(d * len(ids) + item, return_index=True)
         for k in first.tolist():
-            number, _, origin = group[d[k]]
+            number, _, origin, _, _ = group[d[k]]
             a = int(at[k] - begins[d[k]])
             key, hit = (number, 1, before + int(item[k])), (0, int(origin[a]), int(origin[a + n - 1]) + 1)
             best[key] = min(best.get(key, hit), hit)
@@ -244,13 +271,14 @@ def _bands(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return which[keep], (keys[keep] & ((1 << 32) - 1)) - (1 << 31)
 
 
-def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
+def _scan(group: list[Window], index: Index, best: dict[tuple[int, int, int], tuple[int, int, int]]) -> None:
     if not group:
         return
     gap = np.array([_GAP], np.uint32)
-    codes = np.concatenate([x for _, c, _ in group for x in (c, gap)])
-    begins = np.cumsum([0, *[len(c) + 1 for _, c, _ in group]])
-    _scan_short(codes, begins, group, index, best)
+    codes = np.concatenate([gap, *[x for _, c, *_ in group for x in (c, gap)]])
+    begins = np.cumsum([1, *[len(c) + 1 for _, c, *_ in group]])
+    border = _borders(codes, begins, group)
+    _scan_short(codes, begins, border, group, index, best)
     if not index.items:
         return
     which, bands = _bands(codes, index)
@@ -260,7 +288,7 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: d
         d = int(np.searchsorted(begins, max(start, 0) + len(pattern) // 2, "right")) - 1
         if d >= len(group):
             continue
-        number, own, origin = group[d]
+        number, own, origin, _, _ = group[d]
         a = max(start - int(begins[d]), 0)
         if best.get((number, 0, i), (1,))[0] == 0:
             continue  # nothing beats no edits, and bands come in order
@@ -275,6 +303,9 @@ def _scan(group: list[tuple[int, np.ndarray, np.ndarray]], index: Index, best: d
         s, e = max(s - blank, 0), e - blank
         if edits < step and e > 0 and a + s < len(own):
             last = min(a + e, len(own)) - 1
+            first_at, last_at = int(begins[d]) + a + s, int(begins[d]) + last
+            if not index.budget[i] and not ((border[first_at - 1] or border[first_at]) and (border[last_at + 1] or border[last_at])):
+                continue  # an item without room for edits is one of whole words
             hit = (edits, int(origin[a + s]), int(origin[last]) + 1)
             best[number, 0, i] = min(best.get((number, 0, i), hit), hit)
 
@@ -308,8 +339,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, whole: in
     Documents are not shuffled: q-grams that a document shares with an item are counted in overlapping bands of diagonals;
     a band that reaches the number which the edit budget leaves untouched is aligned. The budget of an item of n characters is
     the lesser of ``rate`` * n and (n - Q + 1 - ``whole``) / Q, so that ``whole`` q-grams stay: 8 % from about 85 characters on,
-    4 edits at 57, 1 at 27, none below; items shorter than a q-gram are looked for as they stand, anywhere in the text, also
-    within words. An item counts as a whole: what a document leaves out of it are edits, so of a long item it must hold
+    4 edits at 57, 1 at 27, none below; items shorter than a q-gram are looked for as they stand. An item
+    without room for edits is found between borders of words only, not within one; scripts without spaces have borders everywhere. An item counts as a whole: what a document leaves out of it are edits, so of a long item it must hold
     ``1 - rate`` of the characters, in one region, and a longer part cut off hides it. Items without letters and digits, and
     null texts, match nothing; repeated rows match alike; rows of a null item_id are left out, since they have no name to
     give (``clean`` looks for them, too); an empty benchmark matches nothing; other columns are ignored.

@@ -116,6 +116,21 @@ def test_texts_that_repeat_themselves_take_bounded_memory(spark, monkeypatch):
     assert [m[0] for m in found] == [1, 2] and [m[3] for m in found] == [0, 0] and peak < 150 << 20
 
 
+@pytest.mark.parametrize("chunk", [1 << 17, 16])
+def test_items_without_edits_are_whole_words(monkeypatch, chunk):
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    items = {1: "yes", 2: "42", 3: "a", 4: "the weather is", 5: "水", 6: "GPT"}
+    index = decontaminate.build(list(items.items()))
+    held = {
+        "Open your eyes, please.": set(), "eyes yes!": {1}, "1423 and 421": set(), "is it 42?": {2}, "A": {3}, "banana": set(), "and the weather is, well, bad": {4}, "and the weather isn't bad": set(), "see: the weather island": set(), "bathe weather is": set(), "the weather is": {4},
+        "喝水吧": {5}, "使用GPT写": {6}, "GPTs": set(), "x" * 200 + "yes" + "x" * 200: set(), "w " * 90 + "yes " + "w " * 90: {1}, "": set(), "x" * 33 + " 42": {2}, "the weather is" + "x" * 50: set(),
+    }
+    found = decontaminate.find([*held, None], index)
+    assert [{i for i, *_ in f} for f in found] == [*held.values(), set()]
+    spans = [t[s:e] for t, f in zip(held, found, strict=False) for i, s, e, _ in f if i == 1]
+    assert spans == ["yes", "yes"]
+
+
 @pytest.mark.parametrize("chunk", [300, 1 << 19])
 def test_long_texts_are_read_in_windows(monkeypatch, chunk):
     rng = random.Random(11)
