@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import conditions
 from ferrule.jobs.registry import query
-from ferrule.operators import flow, trace
+from ferrule.operators import flow, pipelines, trace
 from ferrule.sources import versions
 from ferrule.sources.tables import shared_folder, table
 
@@ -123,3 +123,28 @@ def published_model(spark: SparkSession, folder: str) -> DataFrame:
     total = now.read("orders").agg(F.count("*").alias("orders"))
     sums = now.read("customers").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
     return sums.join(F.broadcast(total))  # one row
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER w AS i, CASE l_returnflag WHEN 'R' THEN 'filter' WHEN 'A' THEN 'map' ELSE 'sorted' END AS name FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))
+SELECT l_orderkey AS method, count(*) + 2 AS n, 'stream > ' || string_agg(name, ' > ' ORDER BY i) || ' > collect' || CASE WHEN l_orderkey % 3 = 0 THEN ' > groupingBy' WHEN l_orderkey % 3 = 1 THEN ' > counting' ELSE '' END AS detail,
+  'source,' || string_agg(CASE name WHEN 'sorted' THEN 'sort' ELSE name END, ',' ORDER BY i) || CASE WHEN l_orderkey % 3 = 0 THEN ',group' WHEN l_orderkey % 3 = 1 THEN ',aggregate' ELSE ',collect' END AS categories FROM l GROUP BY l_orderkey""")
+def stream_pipelines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as streams of their lines, each an operation on the one before, that end in a collector or none."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").withColumn("i", F.row_number().over(order))
+    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    name = F.when(F.col("l_returnflag") == "R", "filter").when(F.col("l_returnflag") == "A", "map").otherwise("sorted")
+    orders = lines.groupBy("l_orderkey").agg(F.max("i").alias("n"))
+
+    def calls(rows: DataFrame, name, i, kind: str, start: int = 0) -> DataFrame:
+        at = lambda k: F.concat_ws(".", "l_orderkey", k)
+        receiver = F.when(F.lit(kind == "stream") & (i > 0), at(i - 1))
+        end = F.lit(190) if kind == "collector" else i + 200
+        own = at(i) if kind == "stream" else F.concat(at(i), F.lit("c"))
+        return rows.select(F.col("l_orderkey").alias("method"), own.alias("expr"), name.alias("name"), receiver.alias("receiver"), none.alias("args"), F.lit(1).alias("line"), F.lit(start).alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), text.alias("scope"), name.alias("text"), text.alias("target"))
+
+    rows = calls(lines, name, F.col("i"), "stream").unionByName(calls(orders, F.lit("stream"), F.lit(0), "stream")).unionByName(calls(orders, F.lit("collect"), F.col("n") + 1, "stream"))
+    some = orders.where("l_orderkey % 3 < 2")
+    rows = rows.unionByName(calls(some, F.when(F.col("l_orderkey") % 3 == 0, "groupingBy").otherwise("counting"), F.col("n"), "collector", 180))
+    found = pipelines.pipelines(rows)
+    return found.select("method", F.size("ops").cast("long").alias("n"), "detail", F.array_join(F.transform("ops", lambda o: o["category"]), ",").alias("categories"))
