@@ -125,3 +125,22 @@ def receiver_chains(spark: SparkSession, folder: str) -> DataFrame:
     imports = spark.createDataFrame([], "cls string, name string, owner string")
     found = expressions.resolve_expressions(exprs, variables, types, fields, methods, names, imports)
     return found.select(F.expr("left(expr, length(expr) - 1)").cast("long").alias("o_orderkey"), F.right("expr", F.lit(1)).alias("step"), "status", "symbol", "reason", F.col("type.fqn").alias("type"))
+
+
+@query("""WITH b AS (SELECT p_size % 6 AS k, replace(p_brand, '#', '_') AS b FROM part)
+SELECT DISTINCT CASE k WHEN 0 THEN b || '[]' WHEN 1 THEN 'List<' || b || ', ? extends ' || b || '[]>' WHEN 2 THEN 'pkg.' || b || '.Size' WHEN 3 THEN 'int | ' || b WHEN 4 THEN 'pkg.' || b || '.None' ELSE b || '<' END AS text,
+  CASE k WHEN 4 THEN 'unresolved' WHEN 5 THEN 'unresolved' ELSE 'resolved' END AS status, CASE k WHEN 3 THEN 'union' WHEN 4 THEN 'unknown' WHEN 5 THEN 'unknown' ELSE 'class' END AS kind,
+  CASE k WHEN 0 THEN 'pkg.' || b WHEN 1 THEN 'java.util.List' WHEN 2 THEN 'pkg.' || b || '.Size' END AS fqn, CASE k WHEN 0 THEN 1 ELSE 0 END AS dims, CASE k WHEN 4 THEN 'unknown_nested_type' WHEN 5 THEN 'unparseable_type' END AS reason FROM b""")
+def type_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Types that parts would be declared with, in six forms, where each brand is a class with a member type."""
+    brand = F.regexp_replace("p_brand", "#", "_")
+    forms = [F.concat("b", F.lit("[]")), F.concat(F.lit("List<"), "b", F.lit(", ? extends "), "b", F.lit("[]>")), F.concat(F.lit("pkg."), "b", F.lit(".Size")), F.concat(F.lit("int | "), "b"), F.concat(F.lit("pkg."), "b", F.lit(".None")), F.concat("b", F.lit("<"))]
+    parts = table(spark, folder, "part").select("p_size", brand.alias("b"))
+    texts = parts.select(F.lit("pkg.Part").alias("cls"), F.element_at(F.array(*forms), F.col("p_size") % 6 + 1).alias("text"))
+    brands, text = parts.select("b").distinct(), F.lit(None).cast("string")
+    own = F.concat(F.lit("pkg."), "b")
+    types = brands.select(own.alias("fqn"), text.alias("outer")).unionByName(brands.select(F.concat(own, F.lit(".Size")).alias("fqn"), own.alias("outer")))
+    none = F.array().cast("array<string>").alias("candidates")
+    simple = brands.select(F.lit("pkg.Part").alias("cls"), F.col("b").alias("name"), F.lit("resolved").alias("status"), F.lit("project").alias("origin"), own.alias("fqn"), text.alias("reason"), none)
+    simple = simple.unionByName(brands.select(F.lit("pkg.Part").alias("cls"), F.lit("List").alias("name"), F.lit("resolved").alias("status"), F.lit("external").alias("origin"), F.lit("java.util.List").alias("fqn"), text.alias("reason"), none).distinct())
+    return codemodel.resolve_texts(texts, types, simple).select("text", "status", "kind", "fqn", "dims", "reason")

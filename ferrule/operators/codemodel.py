@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import words_of
+from ferrule.functions.types import type_tree
 from ferrule.operators.relational import ladder
 from ferrule.sources.tables import durable
 
@@ -204,6 +205,57 @@ def resolve_types(refs: DataFrame, files: DataFrame, imports: DataFrame, types:
     return joined.select("ref", status.alias("status"), F.when(~dark_, F.col("origin")).alias("origin"), reason.alias("reason"), F.when(one & ~dark_, F.col("targets")[0]).alias("fqn"), F.coalesce(candidates, none).alias("candidates"))
 
 
+def resolve_texts(texts: DataFrame, types: DataFrame, simple: DataFrame) -> DataFrame:
+    """What types as they are written mean within a class, as ``expressions.resolve_expressions`` takes them: cls, text, status, kind, origin, fqn, dims, reason, candidates.
+
+    ``texts`` has cls and text; ``types`` fqn and outer (null for a class of its own); ``simple`` what the simple names and the first
+    parts of qualified ones mean within a class, as of ``resolve_types``: cls, name, status, origin, fqn, reason, candidates.
+    A union is resolved if all its members are; wildcards, primitives and type variables are kinds of their own. Of a qualified name,
+    a first part that means a class leads on to its member types; else the longest prefix that is a class of the project does, found by one
+    join of all prefixes; else a capital in a later part says that it is a class outside. Texts that are no types are told so.
+    """
+    rows = texts.select("cls", "text").distinct().withColumn("tree", type_tree(F.col("text")))
+    heads = F.filter("tree", lambda n: n["parent"] == -1)
+    nodes = durable(rows.select("cls", "text", F.size(heads).alias("members"), F.explode_outer(heads).alias("n")).select("cls", "text", "members", "n.pos", "n.name", "n.dims"))
+    parts = F.split("name", r"\.")
+    heads = nodes.withColumn("head", parts[0]).join(simple.withColumnRenamed("name", "head"), ["cls", "head"], "left")
+    heads = heads.withColumn("rest", F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "."))
+    # Candidates for where a qualified name starts: the class that its first part means, then prefixes, the longest first.
+    led = F.when((F.col("status") == "resolved") & (F.col("origin") == "project") & (F.col("rest") != ""), F.col("fqn"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    asked = heads.where("rest <> '' and (status is null or status = 'unresolved' or (status = 'resolved' and origin = 'project'))").select("cls", "text", "pos", "name", led.alias("led"), F.explode(prefixes).alias("prefix"))
+    own = F.when(F.col("led").isNotNull(), F.concat("led", F.expr("substring(prefix, length(split(name, '[.]')[0]) + 1)"))).otherwise(F.col("prefix"))
+    known = asked.withColumn("fqn", own).join(types.select("fqn", "outer").distinct(), "fqn")
+    best = known.groupBy("cls", "text", "pos", "name").agg(F.max_by(F.struct("fqn", "prefix"), F.length("prefix")).alias("best"), F.max(F.length("prefix")).alias("reach"))
+    joined = heads.join(best.select("cls", "text", "pos", "best"), ["cls", "text", "pos"], "left")
+    whole, none = F.col("best.prefix") == F.col("name"), F.array().cast("array<string>")
+    outside = F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p.rlike(r"^\p{Lu}"))
+
+    def said(status: Column | str, kind: Column | str, origin: Column | str | None = None, fqn: Column | None = None, reason: Column | str | None = None, candidates: Column = none) -> Column:
+        given = {"status": status, "kind": kind, "origin": origin, "fqn": fqn, "reason": reason}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("string").alias(k) for k, v in given.items()], candidates.alias("candidates"))
+
+    one = F.col("rest") == ""
+    variable = F.when(F.col("origin") == "type_variable", "type_variable").when(F.col("status") == "resolved", "class").otherwise("unknown")
+    meant = (
+        F.when(F.col("members").isNull() | F.col("name").isNull(), said("unresolved", "unknown", reason="unparseable_type"))
+        .when(F.col("name") == "?", said("resolved", "wildcard"))
+        .when(F.col("name").isin(PRIMITIVES), said("resolved", "primitive", "primitive", F.col("name")))
+        .when(one & F.col("status").isNull(), said("unresolved", "unknown", reason="unknown_type"))
+        .when(one | (F.col("status") == "ambiguous"), said(F.col("status"), variable, F.col("origin"), F.col("fqn"), F.col("reason"), F.coalesce("candidates", none)))
+        .when((F.col("status") == "resolved") & (F.col("origin") == "external"), said("resolved", "class", "external", F.concat_ws(".", "fqn", "rest")))
+        .when(whole, said("resolved", "class", "project", F.col("best.fqn")))
+        .when(F.col("best").isNotNull() | led.isNotNull(), said("unresolved", "unknown", reason="unknown_nested_type"))
+        .when(outside, said("resolved", "class", "external", F.col("name")))
+        .otherwise(said("unresolved", "unknown", reason="unknown_qualified_name"))
+    )
+    members = joined.select("cls", "text", "members", "pos", "dims", meant.alias("m"))
+    grouped = members.groupBy("cls", "text").agg(F.max("members").alias("members"), F.min_by(F.struct("dims", "m"), F.coalesce("pos", F.lit(0))).alias("x"), F.bool_and(F.col("m.status") == "resolved").alias("all"))
+    union = said(F.when(F.col("all"), "resolved").otherwise("unresolved"), "union", reason=F.when(~F.col("all"), "union_member_unresolved"))
+    final = F.when(F.col("members") > 1, union).otherwise(F.col("x.m"))
+    return grouped.select("cls", "text", final.alias("m"), F.when(F.col("members") == 1, F.col("x.dims")).otherwise(0).alias("dims")).select("cls", "text", "m.status", "m.kind", "m.origin", "m.fqn", "dims", "m.reason", "m.candidates")
+
+
 #: Pairs of realms between which no value passes but by a conversion: numbers are primitives and boxes, closed classes have all
 #: their ancestors in the project, open ones do not, library is any type outside. Other pairs leave the question open.
 _MISFITS = {
