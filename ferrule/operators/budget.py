@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +41,10 @@ def _stream(start: Callable[[dict], object], take: Callable[[dict, object], tupl
 
 
 def part_tokens(lines: list[int], room: int) -> int:
-    """Tokens of a text of these line lengths, cut to ``room`` tokens as ``cut_to_tokens`` does."""
-    budget, used, kept = max(0, int(room * CHARS_PER_TOKEN) - len(MARKER) - 1), 0, 0
-    for n in lines:
-        if used + n + 1 > budget:
-            break
-        used, kept = used + n + 1, kept + 1
-    return max(1, math.ceil((used + len(f"{MARKER} ({len(lines) - kept} more lines)")) / CHARS_PER_TOKEN))
+    """Tokens of a text of these line lengths, cut to ``room`` tokens as ``cut_to_tokens`` does: as many whole lines as end within it, and the marker."""
+    ends = [0, *accumulate(n + 1 for n in lines)]
+    kept = bisect_right(ends, max(0, int(room * CHARS_PER_TOKEN) - len(MARKER) - 1)) - 1
+    return max(1, math.ceil((ends[kept] + len(f"{MARKER} ({len(lines) - kept} more lines)")) / CHARS_PER_TOKEN))
 
 
 def fill(items: DataFrame, key: str, id_: str, limit: int, shares: Mapping[str, float] = SHARES, partial: bool = True) -> DataFrame:
