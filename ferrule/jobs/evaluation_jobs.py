@@ -85,3 +85,18 @@ def structure_match(spark: SparkSession, folder: str) -> DataFrame:
     expected = lines.select(F.col("l_orderkey").alias("method_id"), F.concat(F.lit(" "), "l_returnflag", F.lit("\t")).alias("part"))
     actual = lines.select(F.col("l_orderkey").alias("method_id"), F.when(F.col("l_linestatus") == "O", "n").otherwise("R").alias("part"))
     return metrics.structure(expected, actual).select(F.col("method_id").alias("l_orderkey"), "found", "expected", "extra", F.round("percent", 4).alias("percent"))
+
+
+@query("""WITH w AS (SELECT lang, doc_id, text, unnest([coalesce(source, '?'), 'token', 'version']) AS word FROM documents),
+m AS (SELECT 'mentions' AS metric, count(*) FILTER (contains(lower(text), lower(word))) AS found, count(*) AS expected FROM w),
+e AS (SELECT l_orderkey AS k, lower(l_returnflag) AS part, count(*) AS n FROM lineitem GROUP BY 1, 2), a AS (SELECT l_orderkey AS k, CASE l_linestatus WHEN 'O' THEN 'n' ELSE 'r' END AS part, count(*) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT 'structure' AS metric, coalesce(sum(least(e.n, coalesce(a.n, 0))), 0)::BIGINT AS found, sum(e.n)::BIGINT AS expected FROM e LEFT JOIN a ON a.k = e.k AND a.part = e.part)
+SELECT metric, found, expected, round(100.0 * found / expected, 6) AS percent FROM (SELECT * FROM m UNION ALL SELECT * FROM s)""")
+def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What was found of what was expected over all documents and orders, by metric."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("method_id"), "text", F.array(F.coalesce("source", F.lit("?")), F.lit("token"), F.lit("version")).alias("words"))
+    told = metrics.mentions(docs.select("method_id", "text"), docs.select("method_id", F.explode("words").alias("word")))
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "method_id")
+    shape = metrics.structure(lines.select("method_id", F.col("l_returnflag").alias("part")), lines.select("method_id", F.when(F.col("l_linestatus") == "O", "n").otherwise("r").alias("part")))
+    ratios = [df.select(F.lit(name).alias("metric"), "found", "expected") for name, df in (("mentions", told), ("structure", shape))]
+    return metrics.summary(ratios[0].unionByName(ratios[1])).withColumn("percent", F.round("percent", 6))

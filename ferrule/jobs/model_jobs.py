@@ -144,3 +144,24 @@ def type_texts(spark: SparkSession, folder: str) -> DataFrame:
     simple = brands.select(F.lit("pkg.Part").alias("cls"), F.col("b").alias("name"), F.lit("resolved").alias("status"), F.lit("project").alias("origin"), own.alias("fqn"), text.alias("reason"), none)
     simple = simple.unionByName(brands.select(F.lit("pkg.Part").alias("cls"), F.lit("List").alias("name"), F.lit("resolved").alias("status"), F.lit("external").alias("origin"), F.lit("java.util.List").alias("fqn"), text.alias("reason"), none).distinct())
     return codemodel.resolve_texts(texts, types, simple).select("text", "status", "kind", "fqn", "dims", "reason")
+
+
+@query("""SELECT p_partkey, CASE p_size % 8 WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'ambiguous' WHEN 6 THEN 'unresolved' WHEN 7 THEN 'unresolved' ELSE 'resolved' END AS status,
+  CASE p_size % 8 WHEN 0 THEN 'type_variable' WHEN 5 THEN 'external' WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE 'project' END AS origin,
+  CASE p_size % 8 WHEN 3 THEN 'multiple_on_demand_imports' WHEN 4 THEN 'duplicate_class_definition' WHEN 6 THEN 'external_unverifiable' WHEN 7 THEN 'unknown_type' END AS reason,
+  CASE p_size % 8 WHEN 0 THEN 'T' WHEN 1 THEN 'pkg.Own' || p_partkey WHEN 2 THEN 'pkg.Base.Member' WHEN 4 THEN 'pkg.Dup' WHEN 5 THEN 'java.util.List' END AS fqn,
+  CASE p_size % 8 WHEN 3 THEN 'a.Twice,b.Twice' WHEN 4 THEN 'one,two' WHEN 6 THEN 'far.Gone' ELSE '' END AS candidates FROM part""")
+def type_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as classes with one type name each, of eight kinds: a type variable, the class itself, a member type that it inherits, one of two
+    imports on demand, a class defined twice, one of a known library, one of a package that nothing is known of, and one of nowhere."""
+    parts = table(spark, folder, "part").select("p_partkey", (F.col("p_size") % 8).alias("k"), F.concat(F.lit("F"), "p_partkey").alias("file"), F.concat(F.lit("pkg.Own"), "p_partkey").alias("cls"))
+    names = [F.lit("T"), F.concat(F.lit("Own"), "p_partkey"), *[F.lit(n) for n in ("Member", "Twice", "Dup", "List", "Gone", "Nope")]]
+    refs = parts.select(F.col("p_partkey").alias("ref"), "file", F.element_at(F.array(*names), F.col("k").cast("int") + 1).alias("name"), F.array("cls").alias("scopes"), F.array(F.lit("T")).alias("type_vars"))
+    stars = F.explode(F.when(F.col("k") == 3, F.array(F.lit("a"), F.lit("b"))).when(F.col("k") == 5, F.array(F.lit("java.util"))).when(F.col("k") == 6, F.array(F.lit("far"))).otherwise(F.array().cast("array<string>"))).alias("target")
+    imports = parts.select("file", stars, F.lit(True).alias("on_demand"))
+    fixed = spark.createDataFrame([("pkg.Base", "base"), ("pkg.Base.Member", "base"), ("a.Twice", "a"), ("b.Twice", "b"), ("pkg.Dup", "two"), ("pkg.Dup", "one")], "fqn string, location string")
+    types = parts.select(F.col("cls").alias("fqn"), F.col("file").alias("location")).unionByName(fixed)
+    hierarchy = codemodel.hierarchy(parts.select("cls", F.lit("pkg.Base").alias("superclass"), F.array().cast("array<string>").alias("interfaces")).unionByName(spark.createDataFrame([("pkg.Base", None, [])], "cls string, superclass string, interfaces array<string>")))
+    known = spark.createDataFrame([("java.util", "List"), ("java.lang", "String")], "package string, name string")
+    found = codemodel.resolve_types(refs, parts.select("file", F.lit("pkg").alias("package")), imports, types, hierarchy, known)
+    return found.select(F.col("ref").alias("p_partkey"), "status", "origin", "reason", "fqn", F.array_join("candidates", ",").alias("candidates"))
