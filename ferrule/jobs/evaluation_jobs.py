@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.jobs.registry import query
-from ferrule.operators import codemodel, graph, knowledge, metrics
+from ferrule.operators import codemodel, graph, knowledge, metrics, unknowns
 from ferrule.sources.tables import table
 
 
@@ -100,3 +100,16 @@ def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
     shape = metrics.structure(lines.select("method_id", F.col("l_returnflag").alias("part")), lines.select("method_id", F.when(F.col("l_linestatus") == "O", "n").otherwise("r").alias("part")))
     ratios = [df.select(F.lit(name).alias("metric"), "found", "expected") for name, df in (("mentions", told), ("structure", shape))]
     return metrics.summary(ratios[0].unionByName(ratios[1])).withColumn("percent", F.round("percent", 6))
+
+
+@query("""WITH f AS (SELECT conv_id, min(turn) AS first FROM conversations GROUP BY 1),
+l AS (SELECT DISTINCT c.conv_id, unnest([substr(text, 5, 6), substr(text, 1, 2), 'zz', 'e', 'the ']) AS literal FROM conversations c JOIN f ON f.conv_id = c.conv_id AND turn = first)
+SELECT conv_id, literal FROM l WHERE NOT EXISTS (SELECT 1 FROM conversations c JOIN f ON f.conv_id = c.conv_id AND turn > first WHERE c.conv_id = l.conv_id AND contains(c.text, l.literal))""")
+def unexplained_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of a conversation's first turn, and some fixed ones, that no later turn of it holds."""
+    turns = table(spark, folder, "conversations")
+    firsts = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    joined = turns.join(firsts, "conv_id")
+    pieces = F.array(F.substring("text", 5, 6), F.substring("text", 1, 2), F.lit("zz"), F.lit("e"), F.lit("the "))
+    literals = joined.where("turn = first").select("conv_id", F.explode(pieces).alias("literal")).distinct()
+    return unknowns.unexplained(literals, joined.where("turn > first").select("conv_id", "text"), "conv_id")
