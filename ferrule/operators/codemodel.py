@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.functions.text import words_of
 from ferrule.functions.types import type_tree
 from ferrule.operators.relational import ladder
-from ferrule.sources.tables import durable
+from ferrule.sources.tables import durable, written
 
 # What the first word of a method's name says that it does.
 VERBS = {
@@ -63,17 +63,17 @@ def hierarchy(types: DataFrame) -> DataFrame:
     rest on each, and only a path less than the one before is followed again: diamonds do not multiply, and cycles end.
     """
     parents = types.select("cls", F.array_compact(F.concat(F.array("superclass"), F.coalesce("interfaces", F.array().cast("array<string>")))).alias("up"))
-    edges = durable(parents.select("cls", F.posexplode("up").alias("pos", "parent")))
+    edges = written(parents.select("cls", F.posexplode("up").alias("pos", "parent")))
     front = types.select("cls", F.col("cls").alias("ancestor"), F.array().cast("array<int>").alias("path")).distinct()
     found = front
     while True:
         step = front.join(edges.select(F.col("cls").alias("ancestor"), "pos", "parent"), "ancestor")
         step = step.select("cls", F.col("parent").alias("ancestor"), F.concat("path", F.array("pos")).alias("path")).groupBy("cls", "ancestor").agg(F.min("path").alias("path"))
         before = found.withColumnRenamed("path", "_before")
-        front = durable(step.join(before, ["cls", "ancestor"], "left").where("_before is null or path < _before").drop("_before"))
+        front = written(step.join(before, ["cls", "ancestor"], "left").where("_before is null or path < _before").drop("_before"))
         if front.isEmpty():
             break
-        found = durable(found.unionByName(front).groupBy("cls", "ancestor").agg(F.min("path").alias("path")))
+        found = written(found.unionByName(front).groupBy("cls", "ancestor").agg(F.min("path").alias("path")))
     ranked = found.withColumn("ord", F.row_number().over(Window.partitionBy("cls").orderBy("path")) - 1)
     known = types.select(F.col("cls").alias("ancestor"), F.lit(True).alias("known")).distinct()
     return ranked.join(known, "ancestor", "left").select("cls", "ancestor", "ord", F.coalesce("known", F.lit(False)).alias("known"))
