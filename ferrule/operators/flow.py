@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.operators.knowledge import is_mutator
+from ferrule.sources.tables import gathered
 
 # What resolved names count as, and which statements are arms of which.
 VARIABLE_KINDS = {"local_variable": "local", "lambda_parameter": "local", "catch_parameter": "local", "pattern_variable": "local", "parameter": "parameter", "field": "field", "record_component": "field"}
@@ -53,7 +54,7 @@ def _swept(rows: DataFrame, order: list[Column | str], step: Callable[[], Callab
             out.extend(advance(None))
         yield batch()
 
-    return rows.where("method is not null").repartition("method").sortWithinPartitions("method", *order).mapInArrow(run, schema)
+    return gathered(rows.where("method is not null"), "method", order=["method", *order]).mapInArrow(run, schema)
 
 
 def _schema(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:

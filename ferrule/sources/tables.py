@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,3 +40,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(df: DataFrame, *keys: str, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with the rows of equal ``keys`` in one partition, sorted by ``order`` within each, for what folds over partitions.
+
+    A hash of the keys is what rows are dealt by: the planner drops a repartition by columns that the rows already seem to be
+    dealt by, and then, as a fold requires nothing that it knows of, may still split or merge the partitions of inputs beneath.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*order)

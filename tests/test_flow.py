@@ -6,7 +6,11 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
+
+from ferrule.jobs.catalog import ORACLE_SQL, QUERIES
 from ferrule.operators import flow as W
+from tests.oracle import connect, same
 
 SPANS = "method string, id string, kind string, start int, end int"
 ACCESSES = "method string, id string, symbol string, kind string, at int"
@@ -186,3 +190,21 @@ def test_values_flow_through_slots(spark):
     ]
     assert {(r.symbol, r.created) for r in W.created_from(edges).collect()} == {("m$total", "initialized from call price(), field rate"), ("m$n", "initialized from int literal")}
     assert W.value_edges(exprs.where("false"), every.where("false"), lambdas).count() == 0
+
+
+@pytest.fixture
+def uneven(spark):
+    """Partitions merge by tiny sizes, as those of large tables do: some inputs of a step end in more of them than others."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["reaching_writes", "value_edges", "control_flow"])
+def test_a_method_stays_whole_however_partitions_are_merged(spark, uneven, name):
+    data = "/root/testdata/sf0.01"
+    same(QUERIES[name](spark, data), connect(data), ORACLE_SQL[name])
