@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,11 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])), 1, 16)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body names it: columns on columns would repeat it at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 # The form of each kind of literal, in the order in which they are tried.
 LITERALS = {
     "String": r'^"(?:[^"\\]|\\.)*"$',
@@ -106,7 +113,7 @@ LITERALS = {
 def literal_type(text: Column) -> Column:
     """The type of a text that is one literal of a C-like language, white space around it aside, or null."""
     plain = F.regexp_replace(text, r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", "")
-    return F.coalesce(*[F.when(plain.rlike(form), F.lit(kind)) for kind, form in LITERALS.items()])
+    return let(plain, lambda p: F.coalesce(*[F.when(p.rlike(form), F.lit(kind)) for kind, form in LITERALS.items()]))
 
 
 def words_of(name: Column) -> Column:

@@ -74,3 +74,8 @@ def test_what_atoms_say(spark):
     whole = spark.createDataFrame([("(a == null) || b > 1 && !c",)], "t string").select(C.split_condition(F.col("t")).alias("p"))
     said = whole.select(C.meaning(F.transform("p", lambda p: F.struct(p["op"].alias("op"), C.atom(p["atom"])["meaning"].alias("meaning")))).alias("m")).first().m
     assert said == "a is missing OR b is greater than 1 AND not (c)"
+
+
+def test_no_step_is_repeated_at_each_use(spark):
+    text = spark.createDataFrame([("a > 1",)], "t string").select(C.atom(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert text.lower().count("regexp_") + text.lower().count("rlike") < 200
