@@ -7,17 +7,29 @@ from pyspark.sql import functions as F
 
 from ferrule.sources.tables import durable
 
+#: About the most neighbours of a node that travel as one list.
+NEIGHBOURS = 1000
+#: Tasks that what a start reaches in a step is dealt over.
+BUCKETS = 8
+
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps of each start: (start, node, depth), each once at its least depth, the start itself left out.
 
-    ``edges`` (src, dst) and ``starts`` (start). One join per level; visited nodes are anti-joined away, so cycles end.
+    ``edges`` (src, dst) and ``starts`` (start). One join per level; visited nodes are anti-joined away, so cycles end. In a
+    dense graph most steps lead to nodes that other steps reach, too, so what moves between machines are lists of neighbours,
+    at most ``NEIGHBOURS`` long: they are unfolded, and their nodes made distinct, only where all of a start's in a bucket are.
     """
-    edges = durable(edges.select("src", "dst").distinct())
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    part = F.pmod(F.xxhash64(F.lit(1), "dst"), F.ceil(F.count("*").over(Window.partitionBy("src")) / NEIGHBOURS)).alias("part")
+    bucket = F.pmod(F.xxhash64("dst"), F.lit(BUCKETS)).alias("bucket")
+    lists = durable(edges.select("src", "dst", part, bucket).groupBy("src", "part", "bucket").agg(F.collect_list("dst").alias("dsts")).select("src", "bucket", "dsts"))
     frontier = starts.select("start", F.col("start").alias("node")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
-        step = frontier.join(edges, frontier.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
+        step = frontier.join(lists, frontier.node == lists.src).select("start", "bucket", "dsts")
+        # A node has one bucket, so dealing by start and bucket is all that the distinct asks for: single steps are not dealt again.
+        step = step.repartition("start", "bucket").select("start", "bucket", F.explode("dsts").alias("node")).distinct().drop("bucket")
         frontier = durable(step.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break

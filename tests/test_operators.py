@@ -236,3 +236,13 @@ def test_cosine_of_a_zero_vector(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.score for r in search.cosine(rows, rows.where("vec_id = 2")).collect()}
     assert got == {1: 0.0, 2: 1.0}
+
+
+def test_reach_moves_lists_of_neighbours_not_steps(spark):
+    """In a dense graph the rows that a level deals are those of the frontier's lists, not one for each step."""
+    nodes = spark.range(60)
+    edges = nodes.select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst"))).where("src <> dst")
+    found = graph.reach(edges, nodes.select(F.col("id").alias("start")), 2)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, 1) for a in range(60) for b in range(60) if a != b)
+    long = graph.reach(edges.limit(0).unionByName(spark.range(1, 2501).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))), spark.createDataFrame([(0,)], "start long"), 1)
+    assert long.count() == long.select("node").distinct().count() == 2500
