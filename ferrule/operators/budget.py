@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import CHARS_PER_TOKEN
-from ferrule.sources.tables import durable
+from ferrule.sources.tables import durable, gathered
 
 # Shares of the categories of a context, and tokens that a part of an item must have to be worth keeping.
 SHARES = {"target": 0.35, "callees": 0.25, "flow": 0.20, "evidence": 0.20}
@@ -68,7 +68,8 @@ def fill(items: DataFrame, key: str, id_: str, limit: int, shares: Mapping[str,
     rows = durable(rows.select(F.col(key).alias("_key"), F.col(id_).alias("_id"), "category", "_cat", "priority", F.col("tokens").cast("long").alias("cost"), "_lines").withColumn("uid", F.monotonically_increasing_id()))
 
     group = F.struct(F.col("_key").cast("string"), "category")
-    sorted_ = rows.select(group.alias("group"), "category", "priority", "_id", "cost", "uid").repartition("group").sortWithinPartitions("group", "priority", "_id")
+    sorted_ = rows.select(group.alias("group"), "category", "priority", "_id", "cost", "uid")
+    sorted_ = gathered(sorted_, "group", order=["group", "priority", "_id"])
 
     def first(row: dict, room: list[int]) -> tuple:
         fits = row["cost"] <= room[0]
@@ -96,7 +97,7 @@ def fill(items: DataFrame, key: str, id_: str, limit: int, shares: Mapping[str,
         yield from _stream(lambda row: [row["pool"]], second, ["uid", "used", "room"])(batches)
 
     schema = "uid long, used long, room long"
-    pooled = over.repartition("group").sortWithinPartitions("group", "priority", "_cat", "_id").mapInArrow(spill, schema)
+    pooled = gathered(over, "group", order=["group", "priority", "_cat", "_id"]).mapInArrow(spill, schema)
     state = F.when(F.col("taken"), "kept").when(F.col("room").isNotNull(), "shortened").when(F.col("used") > 0, "pooled").otherwise("omitted")
     used = F.when(F.col("taken"), F.col("cost")).otherwise(F.coalesce("used", F.lit(0)))
     joined = judged.join(pooled, "uid", "left").withColumns({"state": F.when(~F.col("taken") & (F.col("cost") == 0) & F.col("room").isNull(), "pooled").otherwise(state), "_used": used})

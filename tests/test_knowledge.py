@@ -265,3 +265,20 @@ def test_documentation_of_a_repository(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {(r.path, r.heading, r.text, r.is_readme) for r in R.documentation(spark, str(tmp_path), most_bytes=200).collect()}
     assert got == {("README.md", "Top", "hello", True), ("sub/readme-more.MD", "(top)", "text", True), ("docs/a/b.md", "B", "body", False)}
+
+
+def test_a_pool_is_taken_from_where_all_of_its_items_are(spark):
+    """The planner splits a join that meets one large key; what folds over a key's items needs them dealt anew after it."""
+    items = spark.range(4000).selectExpr("if(id < 3990, 'a', concat('k', id)) as key", "id", "if(id % 2 = 0, 'target', 'callees') as category", "id % 7 as priority", "cast(10 + id % 13 as long) as tokens")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = budget.fill(items, "key", "id", 1000, partial=False)
+        plan = [line.lstrip(" :+-") for line in filled._jdf.queryExecution().executedPlan().toString().splitlines()]
+        rows = filled.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    below = [line.split(" ")[0] for line in plan[next(k for k, line in enumerate(plan) if line.startswith("MapInArrow spill")) :]]
+    assert below.index("Exchange") < below.index("SortMergeJoin")
+    assert len(rows) == 4000
+    assert sum(r.used for r in rows if r.key == "a") <= 1000
