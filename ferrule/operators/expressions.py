@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import codemodel
 from ferrule.operators.relational import ladder
-from ferrule.sources.tables import written
+from ferrule.sources.tables import measured_joins, written
 
 # What every class inherits from the language, and types of well-known static fields outside the project.
 OBJECT_METHODS = ["equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone", "finalize"]
@@ -401,6 +401,12 @@ def resolve_expressions(exprs: DataFrame, variables: DataFrame, types: DataFrame
     is resolved last, with nothing known of what it waits for. A qualified name starts as a chain of possible packages; where
     one ends in a type, all segments before it were packages.
     """
+    with measured_joins(exprs.sparkSession):
+        # Written, since what is left to be planned would be planned outside.
+        return written(_resolved(exprs, variables, types, fields, methods, names, imports))
+
+
+def _resolved(exprs: DataFrame, variables: DataFrame, types: DataFrame, fields: DataFrame, methods: DataFrame, names: DataFrame, imports: DataFrame) -> DataFrame:
     model = Model(types, fields, methods, names, imports)
     exprs = written(exprs.withColumn("in_local", F.coalesce("in_local", F.lit(False))).withColumn("receiver_kind", F.coalesce("receiver_kind", F.lit("none"))))
     scoped = exprs.where("kind = 'method_ref'").withColumn("name", F.col("type"))

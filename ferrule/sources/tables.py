@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """What runs within broadcasts by sizes that are measured as it runs, up to the session's threshold, not by sizes of files.
+
+    The planner takes a share of a file's bytes for the size of some of its columns. Where the others repeat few values, the
+    file is small, however many rows it has, and a join would send all of them through the driver.
+    """
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (planned, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(planned))
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def gathered(df: DataFrame, *keys: str, order: Sequence[Column | str]) -> DataFrame:
     """``df`` with the rows of equal ``keys`` in one partition, sorted by ``order`` within each, for what folds over partitions.
 
