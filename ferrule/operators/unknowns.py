@@ -12,24 +12,33 @@ TRIVIAL = ["0", "1", "-1", '""', "true", "false", "null", "0.0", "2"]
 TELLING = ["comment", "test"]
 #: Characters by which literals and texts meet before one is looked for in the other.
 GRAM = 3
+#: Literals of a key, up to which each text of the key looks for all of them.
+FEW = 64
 
 
 def unexplained(literals: DataFrame, texts: DataFrame, key: str = "method") -> DataFrame:
     """The rows of ``literals`` (key, literal) whose literal no text of ``texts`` (key, text) with the same key holds.
 
-    A literal and a text meet by key and the literal's first ``GRAM`` characters, all of it if it is shorter, of which a text lists each
+    A key of at most ``FEW`` literals hands all of them to each of its texts, which looks for them: texts are dealt once. For keys of more,
+    a literal and a text meet by key and the literal's first ``GRAM`` characters, all of it if it is shorter, of which a text lists each
     that it has once; only then is the one looked for in the other. So a key with many literals and many texts makes no pairs of all
     of them. Empty literals are in every text of their key, or unexplained without one; null texts hold nothing.
     """
-    asked = literals.select(key, "literal").distinct().withColumn("_gram", F.substring("literal", 1, GRAM))
-    told = texts.where("text is not null").select(key, "text").distinct().withColumn("_text", F.sha1(F.encode("text", "UTF-8")))
+    asked = literals.select(key, "literal").distinct()
+    sizes = asked.groupBy(key).agg(F.count("*").alias("_n"))
+    told = texts.where("text is not null").select(key, "text")
+    few = asked.join(sizes.where(F.col("_n") <= FEW), key).groupBy(key).agg(F.collect_set("literal").alias("_literals"))
+    held = told.join(few, key).select(key, F.explode(F.filter("_literals", lambda x: F.col("text").contains(x))).alias("literal"))
+    many = sizes.where(F.col("_n") > FEW).select(key)
+    asked = asked.join(many, key, "left_semi").withColumn("_gram", F.substring("literal", 1, GRAM))
+    told = told.join(many, key, "left_semi").distinct().withColumn("_text", F.xxhash64("text"))
     # All stretches of one, two and three characters, by a look ahead from each place; the empty one is in every text.
     grams = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
     index = told.select(key, "_text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams))).alias("_gram"))
-    # Texts stay behind: what meets by its gram is a hash, and only texts that meet a literal are looked at.
-    met = index.join(asked, [key, "_gram"]).select(key, "_text", "literal")
-    met = met.join(told, [key, "_text"]).where(F.col("text").contains(F.col("literal")))
-    return literals.join(met.select(key, "literal").distinct(), [key, "literal"], "left_anti").select(*literals.columns)
+    # Texts stay behind: what meets by its gram is a hash, and only texts that meet a literal are looked at. Texts of one hash are all looked at.
+    met = index.join(asked, [key, "_gram"]).select(key, "_text", "literal").distinct()
+    met = met.join(told, [key, "_text"]).where(F.col("text").contains(F.col("literal"))).select(key, "literal")
+    return literals.join(held.unionByName(met).distinct(), [key, "literal"], "left_anti").select(*literals.columns)
 
 
 def unknowns(methods: DataFrame, calls: DataFrame, rules: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import codemodel, expressions
+from ferrule.operators import codemodel, expressions, unknowns
 from ferrule.sources.tables import measured_joins, written
 
 
@@ -36,3 +37,15 @@ def test_long_tables_in_small_files_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(codemodel, "hierarchy", hierarchy)
     with pytest.raises(Seen, match="-1"):
         expressions.resolve_expressions(*[few] * 7)
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_literals_of_few_and_of_many_keys_end_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(unknowns, "FEW", few)
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab𝒳\n") for _ in range(n))
+    literals = [(k, word(rng.randrange(5))) for k in range(9) for _ in range(k + 1)] + [(1, None)]
+    texts = [(rng.randrange(10), word(rng.randrange(12))) for _ in range(15)] + [(2, None)]
+    want = sorted(((k, x) for k, x in literals if x is None or not any(j == k and t is not None and x in t for j, t in texts)), key=str)
+    got = unknowns.unexplained(spark.createDataFrame(literals, "method long, literal string"), spark.createDataFrame(texts, "method long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == want
