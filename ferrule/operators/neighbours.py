@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.functions.text import let
 from ferrule.operators.search import dot
 from ferrule.sources.tables import shared_folder
 
-#: Vectors, about, that the cells are trained on; vectors and queries of a block, which one task multiplies.
-SAMPLE, BLOCK, ASKED = 50_000, 8_192, 512
+#: Vectors, about, that the cells are trained on; vectors and queries of a block, which one task takes; scores that it holds at once.
+SAMPLE, BLOCK, ASKED, SCORES = 50_000, 65_536, 16_384, 1 << 21
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -36,7 +37,7 @@ def unit(vector: Column) -> Column:
     """A vector at length 1 in doubles; a vector of zeros stays. Null if it is null or holds a null, NaN or infinite component."""
     length = F.sqrt(dot(vector, vector))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length)))
+    return F.when(fine, let(F.when(length == 0, 1.0).otherwise(length), lambda n: F.transform(vector, lambda x: x.cast("double") / n)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -108,16 +109,23 @@ def _best(k: int, width: int, own: bool) -> Callable[[tuple, pa.Table, pa.Table]
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(ids) or not len(asked):
             return schema.empty_table()
-        x = _matrix(vectors.column("unit").combine_chunks(), width)
-        scores = np.round(_matrix(queries.column("unit").combine_chunks(), width) @ x.T, 9)
-        if not own:
-            scores[asked[:, None] == ids[None, :]] = -np.inf
+        # Vectors by id: a query's own one is found, not looked for among all.
+        turn = np.argsort(ids, kind="stable")
+        ids, x = ids[turn], _matrix(vectors.column("unit").combine_chunks(), width)[turn]
+        y = _matrix(queries.column("unit").combine_chunks(), width)
+        first, last = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, row in zip(asked, scores, strict=True):
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            at = np.flatnonzero((row >= least) & np.isfinite(row))
-            at = at[np.lexsort((ids[at], -row[at]))[:k]]
-            out.append((np.full(len(at), q), ids[at], row[at]))
+        step = max(1, SCORES // len(ids))
+        for start in range(0, len(asked), step):
+            for n, row in enumerate(y[start : start + step] @ x.T, start):
+                if not own:
+                    row[first[n] : last[n]] = -np.inf
+                # Rounding may make equal what was not: all that may round to the least of the best stay.
+                least = np.partition(row, len(row) - k)[len(row) - k] - 2e-9 if len(row) > k else -np.inf
+                at = np.flatnonzero((row >= least) & np.isfinite(row))
+                score = np.round(row[at], 9)
+                best = np.lexsort((ids[at], -score))[:k]
+                out.append((np.full(len(best), asked[n]), ids[at][best], score[best]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     return run

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import codemodel, expressions, unknowns
+from ferrule.operators import codemodel, expressions, neighbours, unknowns
 from ferrule.sources.tables import measured_joins, written
 
 
@@ -49,3 +50,19 @@ def test_literals_of_few_and_of_many_keys_end_alike(spark, monkeypatch, few):
     want = sorted(((k, x) for k, x in literals if x is None or not any(j == k and t is not None and x in t for j, t in texts)), key=str)
     got = unknowns.unexplained(spark.createDataFrame(literals, "method long, literal string"), spark.createDataFrame(texts, "method long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_scores_of_a_block_are_held_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=5).tolist()) for k in range(200)]
+    rows += [(900 - k, rows[k][1]) for k in range(20)]  # equal scores go to the smaller id
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = neighbours.build(vectors, cells=3)
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, neighbours.search(index, asked, probes=3).collect()))
+    monkeypatch.setattr(neighbours, "SCORES", 7)
+    assert sorted(map(tuple, neighbours.search(index, asked, probes=3).collect())) == whole
+    units = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    for q in (0, 5, 150, 900):
+        best = sorted((-round(float(units[q] @ units[k]), 9), k) for k in units if k != q)[:10]
+        assert [r[2] for r in whole if r[0] == q] == [k for _, k in best]
