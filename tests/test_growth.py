@@ -66,3 +66,14 @@ def test_scores_of_a_block_are_held_in_parts(spark, monkeypatch):
     for q in (0, 5, 150, 900):
         best = sorted((-round(float(units[q] @ units[k]), 9), k) for k in units if k != q)[:10]
         assert [r[2] for r in whole if r[0] == q] == [k for _, k in best]
+
+
+def test_pairs_of_types_are_judged_once_whether_frequent_or_not(spark, monkeypatch):
+    order = spark.createDataFrame([("A", "A", 0, True), ("A", "B", 1, True), ("B", "B", 0, True)], "cls string, ancestor string, ord int, known boolean")
+    pairs = [("int", "int"), ("int", "B"), ("A", "B"), ("B", "A"), ("java.lang.String", "A"), ("lib.X", "A"), (None, "A"), ("null", "int"), ("A[]", "B[]"), ("A[]", "B")]
+    rows = [(n, *p) for k, p in enumerate(pairs) for n in range(k * 20, k * 20 + k + 1)]
+    fits = {("int", "int"): True, ("int", "B"): False, ("A", "B"): True, ("B", "A"): False, ("java.lang.String", "A"): False, ("lib.X", "A"): False, (None, "A"): True, ("null", "int"): False, ("A[]", "B[]"): True, ("A[]", "B"): False}
+    for frequent in (0.5, 10, 1000):
+        monkeypatch.setattr(codemodel, "FREQUENT", frequent)
+        got = codemodel.assignable(spark.createDataFrame(rows, "id int, arg string, param string"), order).collect()
+        assert sorted((r.id, r.arg, r.param, r.fits) for r in got) == [(n, a, p, fits[a, p]) for n, a, p in rows]
