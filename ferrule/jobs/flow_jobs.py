@@ -132,21 +132,22 @@ SELECT l_orderkey AS method, count(*) + 2 AS n, 'stream > ' || string_agg(name,
   'source,' || string_agg(CASE name WHEN 'sorted' THEN 'sort' ELSE name END, ',' ORDER BY i) || CASE WHEN l_orderkey % 3 = 0 THEN ',group' WHEN l_orderkey % 3 = 1 THEN ',aggregate' ELSE ',collect' END AS categories FROM l GROUP BY l_orderkey""")
 def stream_pipelines(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as streams of their lines, each an operation on the one before, that end in a collector or none."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, folder, "lineitem").withColumn("i", F.row_number().over(order))
+    whole = Window.partitionBy("l_orderkey")
+    order = whole.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").select("*", F.row_number().over(order).alias("i"), F.count("*").over(whole).cast("int").alias("n"))
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
-    name = F.when(F.col("l_returnflag") == "R", "filter").when(F.col("l_returnflag") == "A", "map").otherwise("sorted")
-    orders = lines.groupBy("l_orderkey").agg(F.max("i").alias("n"))
-
-    def calls(rows: DataFrame, name, i, kind: str, start: int = 0) -> DataFrame:
-        at = lambda k: F.concat_ws(".", "l_orderkey", k)
-        receiver = F.when(F.lit(kind == "stream") & (i > 0), at(i - 1))
-        end = F.lit(190) if kind == "collector" else i + 200
-        own = at(i) if kind == "stream" else F.concat(at(i), F.lit("c"))
-        return rows.select(F.col("l_orderkey").alias("method"), own.alias("expr"), name.alias("name"), receiver.alias("receiver"), none.alias("args"), F.lit(1).alias("line"), F.lit(start).alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), text.alias("scope"), name.alias("text"), text.alias("target"))
-
-    rows = calls(lines, name, F.col("i"), "stream").unionByName(calls(orders, F.lit("stream"), F.lit(0), "stream")).unionByName(calls(orders, F.lit("collect"), F.col("n") + 1, "stream"))
-    some = orders.where("l_orderkey % 3 < 2")
-    rows = rows.unionByName(calls(some, F.when(F.col("l_orderkey") % 3 == 0, "groupingBy").otherwise("counting"), F.col("n"), "collector", 180))
+    flag, third, i, n = F.col("l_returnflag"), F.col("l_orderkey") % 3, F.col("i"), F.col("n")
+    at = lambda k: F.concat_ws(".", "l_orderkey", k)
+
+    def call(expr, name, receiver, start: int, end, kind: str):
+        return F.struct(expr.alias("expr"), name.alias("name"), receiver.alias("receiver"), F.lit(start).alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
+
+    # A line is a call on the one before; the first one brings the source along, the last one what ends the stream.
+    line = call(at(i), F.when(flag == "R", "filter").when(flag == "A", "map").otherwise("sorted"), at(i - 1), 0, i + 200, "stream")
+    first = F.when(i == 1, call(at(F.lit(0)), F.lit("stream"), text, 0, F.lit(200), "stream"))
+    last = F.when(i == n, call(at(n + 1), F.lit("collect"), at(n), 0, n + 201, "stream"))
+    collector = F.when((i == n) & (third < 2), call(F.concat(at(n), F.lit("c")), F.when(third == 0, "groupingBy").otherwise("counting"), text, 180, F.lit(190), "collector"))
+    rows = lines.select(F.col("l_orderkey").alias("method"), F.explode(F.array(line, first, last, collector)).alias("c")).where("c is not null")
+    rows = rows.select("method", "c.*", none.alias("args"), F.lit(1).alias("line"), text.alias("scope"), F.col("c.name").alias("text"), text.alias("target"))
     found = pipelines.pipelines(rows)
     return found.select("method", F.size("ops").cast("long").alias("n"), "detail", F.array_join(F.transform("ops", lambda o: o["category"]), ",").alias("categories"))
