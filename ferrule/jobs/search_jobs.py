@@ -98,7 +98,7 @@ SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC,
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 and hashed-cosine legs, fused by reciprocal rank."""
     docs = table(spark, folder, "documents")
-    fused = search.fuse([search.ranked(search.bm25(docs, QUERY), LEG), search.ranked(search.hashed_cosine(docs, QUERY), LEG)])
+    fused = search.fuse([search.ranked(leg, LEG) for leg in search.legs(docs, QUERY)])
     fused = fused.withColumn("score", F.round("score", 9))
     return search.ranked(fused, TOP).withColumn("score", F.round("score", 6))
 

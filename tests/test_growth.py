@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import codemodel, expressions, neighbours, unknowns
+from ferrule.functions.text import tokens
+from ferrule.operators import codemodel, expressions, neighbours, search, unknowns
 from ferrule.sources.tables import measured_joins, written
 
 
@@ -77,3 +78,20 @@ def test_pairs_of_types_are_judged_once_whether_frequent_or_not(spark, monkeypat
         monkeypatch.setattr(codemodel, "FREQUENT", frequent)
         got = codemodel.assignable(spark.createDataFrame(rows, "id int, arg string, param string"), order).collect()
         assert sorted((r.id, r.arg, r.param, r.fits) for r in got) == [(n, a, p, fits[a, p]) for n, a, p in rows]
+
+
+def test_texts_are_counted_where_they_are(spark):
+    rng = random.Random(4)
+    words = ["the", "The", "getURLFor", "a_the_b", "HTTPServer2x", "_", "__x", "état", "𝒳y", "license", "12ab34", "AAa", "version", "\n"]
+    texts = [None, "", "the", *[rng.choice(" .é").join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(300)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.t for r in docs.select("doc_id", tokens(F.col("text")).alias("t")).collect()}
+    for r in search.counted(docs, "doc_id", hashes=True).collect():
+        t = want[r.doc_id]
+        assert r.len == (None if t is None else len(t)) and {x.term: x.tf for x in r.terms} == {x: t.count(x) for x in t or []}
+        assert r.weights == [sum(s for b, s in map(search._bucket, t or []) if b == k) if any(search._bucket(x)[0] == k for x in t or []) else None for k in range(search.DIMENSION)]
+    plan = search.hashed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange RoundRobin")  # that of the input
+    query = "license version getURLFor the"
+    for a, b in zip(search.legs(docs, query), (search.bm25(docs, query), search.hashed_cosine(docs, query)), strict=True):
+        assert sorted(a.collect()) == sorted(b.collect()) and not b.isEmpty()
