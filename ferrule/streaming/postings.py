@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ferrule.functions.text import tokens
-from ferrule.operators.search import K1, B
+from ferrule.operators.search import K1, B, counted
 from ferrule.sources.tables import written
 
 #: Folders that terms, and documents, are dealt over. A search reads those of its terms, a batch those of its documents.
@@ -52,18 +52,15 @@ def apply(versions: DataFrame, number: int, root: str) -> None:
     now = F.struct("ts", "mark")
     before = before.groupBy("id").agg(F.max_by(F.struct("ts", "mark", "len", "terms"), now).alias("old"))
     due = new.join(before, "id", "left").where("old is null or struct(ts, mark) > struct(old.ts, old.mark)")
-    words = F.array_sort(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
-    # Counts within the row: places where a sorted word differs from the one before it start a term.
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    starts = F.when(F.size("w") > 0, starts).otherwise(F.array().cast("array<int>"))
-    due = due.withColumn("w", words).withColumn("s", starts)
-    counted = F.transform("s", lambda at, k: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - at).cast("long").alias("tf")))
-    due = written(due.select("id", "ts", "mark", "slot", "old", F.when(F.col("text").isNotNull(), F.size("w")).cast("long").alias("len"), counted.alias("terms")))
+    # Dealt by folder, so that a folder takes few files, however many tasks there are.
+    due = written(counted(due, "id", "ts", "mark", "slot", "old").repartition("slot"))
     due.select("id", "ts", "mark", "len", "terms", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{root}/forward/batch={number}")
     gains = due.where("len is not null").select("id", F.explode("terms").alias("t"), "len").select("t.term", "id", "t.tf", "len")
     losses = due.where("old.len is not null").select("id", F.explode("old.terms").alias("t"), "old.len").select("t.term", "id", (-F.col("t.tf")).alias("tf"), (-F.col("len")).alias("len"))
-    moved = gains.unionByName(losses).groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).where("tf <> 0 or len <> 0")
-    moved.withColumn("bucket", _bucket("term")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch={number}")
+    # Dealt once, by bucket: what is summed lies in one bucket, and so does what a folder takes.
+    dealt = gains.unionByName(losses).withColumn("bucket", _bucket("term")).repartition("bucket")
+    moved = dealt.groupBy("bucket", "term", "id").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).where("tf <> 0 or len <> 0")
+    moved.select("term", "id", "tf", "len", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch={number}")
     there = lambda c: F.count(c).cast("long")
     sizes = due.agg((there("len") - there("old.len")).alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) - F.coalesce(F.sum("old.len"), F.lit(0))).alias("len"))
     sizes.write.mode("overwrite").parquet(f"{root}/sizes/batch={number}")

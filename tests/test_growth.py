@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ferrule.functions.text import tokens
 from ferrule.operators import codemodel, expressions, neighbours, search, unknowns
 from ferrule.sources.tables import measured_joins, written
+from ferrule.streaming import postings
 
 
 def test_long_tables_in_small_files_are_not_broadcast(spark, monkeypatch):
@@ -95,3 +96,19 @@ def test_texts_are_counted_where_they_are(spark):
     query = "license version getURLFor the"
     for a, b in zip(search.legs(docs, query), (search.bm25(docs, query), search.hashed_cosine(docs, query)), strict=True):
         assert sorted(a.collect()) == sorted(b.collect()) and not b.isEmpty()
+
+
+def test_a_batch_writes_few_files_however_many_tasks_it_has(spark, tmp_path):
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": str(1 << 30)}
+    before = {k: spark.conf.get(k) for k in names}
+    docs = spark.range(1000).select("id", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.concat(F.lit("word x"), "id").alias("text"))
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        postings.apply(docs, 0, str(tmp_path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for part in ("forward", "postings"):
+        assert len(list(tmp_path.glob(f"{part}/batch=0/*/*.parquet"))) <= postings.BUCKETS
+    assert postings.live(spark, str(tmp_path), ["word"]).count() == 1000
