@@ -36,9 +36,9 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
             shuffle_key(seed, F.col("text")).alias("key"),
             shuffle_key(seed, F.col("doc_id")).alias("own"),
             F.lit(1).alias("one"),
-        ).withColumn("coarse", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+        ).withColumn("coarse", F.conv(F.substring("key", 1, 3), 16, 10).cast("long"))
     )
-    # Coarse buckets follow the texts; one that holds more than its share, as that of a very frequent text, is dealt by doc_id.
+    # Coarse buckets follow the texts, long so that their products with the rows are; one that holds more than its share, as that of a very frequent text, is dealt by doc_id.
     n = rows.count()
     counts = rows.groupBy("coarse").agg(F.greatest(F.lit(1), F.floor(F.count("*") * BUCKETS / max(n, 1))).alias("parts"))
     part = F.pmod(F.conv(F.substring("own", 1, 8), 16, 10).cast("long"), F.col("parts"))

@@ -231,6 +231,14 @@ def test_shards_with_their_columns(spark):
     assert sharding.shard_whole(docs.where("false")).count() == 0
 
 
+def test_sharding_more_rows_than_buckets_of_an_int_can_number(spark):
+    # 4,095, the last coarse bucket, times the rows is over 2^31.
+    n = 530_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    found = sharding.shard(docs, 40).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert {r.shard for r in found} == set(range(40)) and all(r.n == r.slots == r["last"] + 1 == n // 40 for r in found)
+
+
 def test_sharding_few_rows_and_none(spark):
     assert sharding.shard(docs_of(spark, []), 40).count() == 0
     found = sharding.shard(docs_of(spark, [(k, "t") for k in range(3)]), 40).collect()
