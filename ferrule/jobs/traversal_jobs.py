@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.jobs.registry import query
 from ferrule.operators import codemodel, graph
-from ferrule.sources.tables import table
+from ferrule.sources.tables import table, written
 
 _TRADE = """v AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM v),
@@ -112,8 +112,8 @@ b AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM g WHERE src % 2
 SELECT start, node, min(depth)::INTEGER AS depth FROM b WHERE node <> start GROUP BY 1, 2""")
 def supplier_reach(spark: SparkSession, folder: str) -> DataFrame:
     """Whom every twentieth supplier reaches in three steps, where a step is an order from which both had lines returned. No edge is left out."""
-    sold = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey").distinct()
+    sold = table(spark, folder, "lineitem").where("l_returnflag = 'R'")
     # An order has few suppliers: its pairs come from one small array, not from a join of the lines with themselves.
-    sets = sold.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
-    edges = sets.select(F.explode("s").alias("src"), "s").select("src", F.explode("s").alias("dst")).where("src <> dst").distinct()
+    sets = sold.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s")).where("size(s) > 1")
+    edges = written(sets.select(F.explode("s").alias("src"), "s").select("src", F.explode("s").alias("dst")).where("src <> dst"))
     return graph.reach(edges, edges.where("src % 20 = 0").select(F.col("src").alias("start")).distinct(), 3)

@@ -5,36 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.sources.tables import durable
+from ferrule.sources.tables import durable, written
 
 #: About the most neighbours of a node that travel as one list.
 NEIGHBOURS = 1000
-#: Tasks that what a start reaches in a step is dealt over.
-BUCKETS = 8
+#: Starts that are followed together, one to a bit of a long.
+STARTS = 64
+#: Blocks of starts that one task numbers, and up to which their lists are broadcast.
+BLOCKS = 4000
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps of each start: (start, node, depth), each once at its least depth, the start itself left out.
 
-    ``edges`` (src, dst) and ``starts`` (start). One join per level; visited nodes are anti-joined away, so cycles end. In a
-    dense graph most steps lead to nodes that other steps reach, too, so what moves between machines are lists of neighbours,
-    at most ``NEIGHBOURS`` long: they are unfolded, and their nodes made distinct, only where all of a start's in a bucket are.
+    ``edges`` (src, dst) and ``starts`` (start). One join per level; visited nodes are struck off, so cycles end. Starts are
+    numbered in their order, and those of a block of ``STARTS`` are bits of one long: what is joined, dealt and written is a row
+    for each node and block, whose bits say which starts reach it. In a dense graph most steps lead to nodes that other steps
+    reach, too; their bits are put together before they are dealt. Only the result has a row for each start and node.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     part = F.pmod(F.xxhash64(F.lit(1), "dst"), F.ceil(F.count("*").over(Window.partitionBy("src")) / NEIGHBOURS)).alias("part")
-    bucket = F.pmod(F.xxhash64("dst"), F.lit(BUCKETS)).alias("bucket")
-    lists = durable(edges.select("src", "dst", part, bucket).groupBy("src", "part", "bucket").agg(F.collect_list("dst").alias("dsts")).select("src", "bucket", "dsts"))
-    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    lists = written(edges.select("src", "dst", part).groupBy("src", "part").agg(F.collect_list("dst").alias("dsts")).select("src", "dsts"))
+    starts = written(starts.where("start is not null").select("start").distinct())
+    dealt = starts.repartitionByRange(1 + starts.count() // (STARTS * BLOCKS), "start").sortWithinPartitions("start")
+    starts = written(dealt.select("start", F.monotonically_increasing_id().alias("n")))
+    starts = starts.select("start", F.floor(F.col("n") / STARTS).alias("block"), F.pmod("n", F.lit(STARTS)).cast("int").alias("bit"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    frontier = starts.select(F.col("start").alias("node"), "block", bit.alias("bits"))
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
-        step = frontier.join(lists, frontier.node == lists.src).select("start", "bucket", "dsts")
-        # A node has one bucket, so dealing by start and bucket is all that the distinct asks for: single steps are not dealt again.
-        step = step.repartition("start", "bucket").select("start", "bucket", F.explode("dsts").alias("node")).distinct().drop("bucket")
-        frontier = durable(step.join(seen, ["start", "node"], "left_anti"))
+        step = frontier.join(lists, frontier.node == lists.src).select(F.explode("dsts").alias("node"), "block", "bits", F.lit(0).cast("long").alias("old"))
+        step = step.unionByName(seen.select("node", "block", "bits", F.col("bits").alias("old")))
+        step = step.groupBy("node", "block").agg(F.bit_or("bits").bitwiseAND(F.bitwise_not(F.bit_or("old"))).alias("bits"))
+        frontier = written(step.where("bits <> 0"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
-    return seen.where("depth > 0")
+    blocks = written(starts.groupBy("block").agg(F.collect_list(F.struct("bit", "start")).alias("starts")))
+    found = seen.where("depth > 0").join(F.broadcast(blocks) if blocks.count() <= BLOCKS else blocks, "block")
+    one = F.filter("starts", lambda s: F.call_function("shiftrightunsigned", F.col("bits"), s["bit"]).bitwiseAND(1) != 0)
+    return found.select(F.explode(one).alias("s"), "node", "depth").select("s.start", "node", "depth")
 
 
 def _peeled(edges: DataFrame) -> DataFrame:

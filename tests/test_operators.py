@@ -246,3 +246,21 @@ def test_reach_moves_lists_of_neighbours_not_steps(spark):
     assert sorted(map(tuple, found.collect())) == sorted((a, b, 1) for a in range(60) for b in range(60) if a != b)
     long = graph.reach(edges.limit(0).unionByName(spark.range(1, 2501).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))), spark.createDataFrame([(0,)], "start long"), 1)
     assert long.count() == long.select("node").distinct().count() == 2500
+
+
+def test_reach_holds_a_row_for_each_node_and_block_of_starts(spark, monkeypatch):
+    rows = []
+    for name in ("durable", "written"):
+        if hasattr(graph, name):
+            whole = getattr(graph, name)
+            monkeypatch.setattr(graph, name, lambda df, whole=whole: rows.append((kept := whole(df)).count()) or kept)
+    nodes = spark.range(60)
+    edges = nodes.select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst")))
+    assert graph.reach(edges, nodes.select(F.col("id").alias("start")), 2).count() == 60 * 59
+    assert max(rows) <= 60
+    # Starts of several blocks, all bits of a long, nodes that are structs, and starts that are null or no nodes.
+    node = lambda k: F.struct((F.pmod(k, F.lit(150))).alias("a"), F.lit("x").alias("b"))
+    ring = spark.range(150).select(node(F.col("id")).alias("src"), node(F.col("id") + 1).alias("dst"))
+    starts = spark.range(200).select(F.when(F.col("id") < 150, node(F.col("id"))).when(F.col("id") < 190, F.struct(F.col("id").alias("a"), F.lit("y").alias("b"))).alias("start"))
+    got = {(r.start.a, r.node.a, r.depth) for r in graph.reach(ring, starts, 3).collect()}
+    assert got == {(k, (k + d) % 150, d) for k in range(150) for d in (1, 2, 3)}
