@@ -16,15 +16,24 @@ from ferrule.sources.tables import written
 
 #: Folders that terms, and documents, are dealt over. A search reads those of its terms, a batch those of its documents.
 BUCKETS = 64
-_FORWARD = "id long, ts timestamp, mark string, len long, terms array<struct<term:string,tf:long>>, batch long, slot int"
+#: About the most versions, and postings, of a folder that one task of a batch holds.
+VERSIONS, POSTINGS = 50_000, 2_000_000
+_FORWARD = "id long, ts timestamp, mark string, len long, terms array<struct<term:string,tf:long>>, replaced long, batch long, slot int"
 _POSTINGS = "term string, id long, tf long, len long, batch long, bucket int"
 _SIZES = "n long, len long, batch long"
+#: What stands between the terms of a document while it is dealt; no term has it.
+_BETWEEN = "\x01"
 
 
 def _bucket(c: Column | str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def _part(c: str, rows: int, most: int) -> Column:
+    """A part of a folder of about ``rows`` rows, so that each has about ``most``."""
+    return F.pmod(F.xxhash64(F.lit(1), c), F.lit(1 + rows // most)).cast("int")
+
+
 def _read(spark: SparkSession, root: str, part: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(f"{root}/{part}")
@@ -41,29 +50,44 @@ def apply(versions: DataFrame, number: int, root: str) -> None:
     length of documents, so nothing that is written is ever rewritten, and any batches that end in the same documents have the
     same sums. Only the folders of this batch's documents are read. Tried again, a batch reads the state before it and
     overwrites its own folders.
+
+    Texts are counted where they are. What is dealt is the terms of a document, once, with the short heads of those that the
+    index has, and its postings, once; nothing but the index and the list of replaced versions is written.
     """
     spark = versions.sparkSession
-    mark = F.coalesce(F.md5("text"), F.lit(""))
-    order = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("mark"))
-    new = versions.where("id is not null and ts is not null").select("id", "ts", "text", mark.alias("mark")).withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    new = written(new.select("id", "ts", "text", "mark", _bucket("id").alias("slot")))
-    slots = [r.slot for r in new.select("slot").distinct().collect()]  # BUCKETS at most
-    before = _read(spark, root, "forward", _FORWARD).where(F.col("slot").isin(slots) & (F.col("batch") < number)).join(new.select("id"), "id", "left_semi")
-    now = F.struct("ts", "mark")
-    before = before.groupBy("id").agg(F.max_by(F.struct("ts", "mark", "len", "terms"), now).alias("old"))
-    due = new.join(before, "id", "left").where("old is null or struct(ts, mark) > struct(old.ts, old.mark)")
-    # Dealt by folder, so that a folder takes few files, however many tasks there are.
-    due = written(counted(due, "id", "ts", "mark", "slot", "old").repartition("slot"))
-    due.select("id", "ts", "mark", "len", "terms", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{root}/forward/batch={number}")
-    gains = due.where("len is not null").select("id", F.explode("terms").alias("t"), "len").select("t.term", "id", "t.tf", "len")
-    losses = due.where("old.len is not null").select("id", F.explode("old.terms").alias("t"), "old.len").select("t.term", "id", (-F.col("t.tf")).alias("tf"), (-F.col("len")).alias("len"))
-    # Dealt once, by bucket: what is summed lies in one bucket, and so does what a folder takes.
-    dealt = gains.unionByName(losses).withColumn("bucket", _bucket("term")).repartition("bucket")
-    moved = dealt.groupBy("bucket", "term", "id").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).where("tf <> 0 or len <> 0")
-    moved.select("term", "id", "tf", "len", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch={number}")
-    there = lambda c: F.count(c).cast("long")
-    sizes = due.agg((there("len") - there("old.len")).alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) - F.coalesce(F.sum("old.len"), F.lit(0))).alias("len"))
-    sizes.write.mode("overwrite").parquet(f"{root}/sizes/batch={number}")
+    new = versions.where("id is not null and ts is not null").select("id", "ts", "text", F.coalesce(F.md5("text"), F.lit("")).alias("mark"), _bucket("id").alias("slot"))
+    slots = {r.slot: r["count"] for r in new.groupBy("slot").count().collect()}  # BUCKETS at most
+    older = _read(spark, root, "forward", _FORWARD).where(F.col("slot").isin(list(slots)) & (F.col("batch") < number))
+    # Terms as one string and a list of counts take less room than as structs.
+    terms = F.array_join("terms.term", _BETWEEN).alias("words"), F.col("terms.tf").alias("tfs")
+    rows = counted(new, "id", "ts", "mark", "slot").select("slot", "id", "ts", "mark", "len", *terms, F.lit(None).cast("long").alias("batch"))
+    heads = older.select("slot", "id", "ts", "mark", "batch")
+    # Dealt by folder and part of it, so that a folder takes few files, however many tasks there are, and no task holds a large folder.
+    rows = rows.unionByName(heads, allowMissingColumns=True).withColumn("part", _part("id", max(slots.values(), default=0), VERSIONS)).repartition("slot", "part")
+    order = Window.partitionBy("slot", "part", "id").orderBy(F.desc("ts"), F.desc("mark"), F.asc_nulls_last("batch"))
+    last = F.max(F.when(F.col("batch").isNotNull(), F.struct("ts", "mark", "batch"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    due = rows.withColumns({"_r": F.row_number().over(order), "replaced": last["batch"]}).where("_r = 1 and batch is null")
+    pair = lambda word, tf: F.struct(word.alias("term"), tf.alias("tf"))
+    terms = F.when(F.size("tfs") > 0, F.zip_with(F.split("words", _BETWEEN), "tfs", pair)).otherwise(F.when(F.col("tfs").isNotNull(), F.array().cast("array<struct<term:string,tf:long>>")))
+    due.select("id", "ts", "mark", "len", terms.alias("terms"), "replaced", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{root}/forward/batch={number}")
+    now = _read(spark, root, "forward", _FORWARD).where(F.col("batch") == number)
+    moves = now.where("len is not null").select("id", "terms", "len", F.lit(1).alias("sign"))
+    replaced = written(now.where("replaced is not null").select("id", F.col("replaced").alias("batch")))
+    if again := not replaced.isEmpty():
+        lost = older.where("len is not null").join(replaced, ["id", "batch"]).select("id", "terms", "len", F.lit(-1).alias("sign"))
+        moves = moves.unionByName(lost)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sizes = moves.agg(total("sign").alias("n"), total(F.col("len") * F.col("sign")).alias("len"), total(F.size("terms")).alias("postings")).first()
+    # Dealt once, by bucket and part: what is summed lies in one of them, and so does what a file takes.
+    rows = moves.select("id", F.explode("terms").alias("t"), "sign", "len").select("t.term", "id", (F.col("t.tf") * F.col("sign")).alias("tf"), (F.col("len") * F.col("sign")).alias("len"))
+    bucket, part = _bucket("term"), _part("id", sizes.postings // BUCKETS, POSTINGS)
+    if not again:  # no two rows have the same term and document
+        rows = rows.repartition(bucket, part).withColumn("bucket", bucket)
+    else:
+        rows = rows.withColumns({"bucket": bucket, "part": part}).repartition("bucket", "part")
+        rows = rows.groupBy("bucket", "part", "term", "id").agg(F.sum("tf").alias("tf"), F.sum("len").alias("len")).where("tf <> 0 or len <> 0")
+    rows.select("term", "id", "tf", "len", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch={number}")
+    spark.createDataFrame([(sizes.n, sizes.len)], "n long, len long").write.mode("overwrite").parquet(f"{root}/sizes/batch={number}")
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, root: str, checkpoint: str) -> StreamingQuery:

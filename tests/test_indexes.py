@@ -140,3 +140,18 @@ def test_a_stream_feeds_the_index(spark, tmp_path):
     assert [r.id for r in allowed] == [3]
     assert P.search(spark, str(tmp_path / "none"), "alpha").isEmpty()
     assert P.live(spark, root, ["alpha"]).select(F.max("tf")).first()[0] == 1
+
+
+def test_a_batch_writes_no_copies_of_texts_and_deals_large_folders_in_parts(spark, tmp_path, monkeypatch):
+    aside, whole = [], P.written
+    monkeypatch.setattr(P, "written", lambda df: aside.append(df.columns) or whole(df))
+    monkeypatch.setattr(P, "VERSIONS", 2, raising=False)
+    monkeypatch.setattr(P, "POSTINGS", 3, raising=False)
+    rng = random.Random(11)
+    first, second = ([(rng.randrange(400), at(rng.randrange(40)), rng.choice([None, "", *[" ".join(rng.choices(WORDS, k=rng.randrange(1, 9))) for _ in range(6)]])) for _ in range(300)] for _ in range(2))
+    removed = [(k, at(50), None) for k in range(0, 400, 3)]
+    for number, batch in enumerate((first, second, [], removed)):
+        P.apply(spark.createDataFrame(batch, VERSIONS), number, str(tmp_path))
+    assert all(set(columns) <= {"id", "batch"} for columns in aside)
+    monkeypatch.setattr(P, "written", whole)
+    same_index(spark, str(tmp_path), first + second + removed)
