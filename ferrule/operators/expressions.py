@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ TYPE = f"struct<{','.join(f'{k}:{v}' for k, v in _TYPE.items())}>"
 _OUTCOME = {"kind": "string", "status": "string", "origin": "string", "owner": "string", "symbol": "string", "reason": "string", "candidates": "array<string>", "type": TYPE}
 OUTCOME = f"struct<{','.join(f'{k}:{v}' for k, v in _OUTCOME.items())}>"
 _RESULT = ["expr", "outcome", "name", "chain"]
+#: Rows up to which answers are broadcast.
+FEW = 20_000
 
 
 def _packed(schema: dict[str, str], **parts: Column | str | None) -> Column:
@@ -150,10 +153,52 @@ def bindings(uses: DataFrame, variables: DataFrame, model: Model) -> DataFrame:
     return ladder([local, *others], "expr").select("expr", "outcome", "init")
 
 
-def _with_receivers(ready: DataFrame, results: DataFrame, model: Model) -> DataFrame:
-    """Add what receivers are: ``on``, the type that a member is looked up in, ``typed`` (on is a type's name), ``why``, and the receiver's ``base`` and ``links`` if it may be a package."""
-    base = results.select(F.col("expr").alias("receiver"), F.col("outcome").alias("r"), F.col("name").alias("base"), F.col("chain").alias("links"))
-    joined = model.means(ready, "cls", "type").join(base, "receiver", "left")
+class Found:
+    """What has been found out: results that each have their outcome, and those that share ``answers``, which many of them have."""
+
+    def __init__(self) -> None:
+        self.own: list[DataFrame] = []
+        self.shared: list[tuple[DataFrame, DataFrame]] = []
+
+    def results(self, like: DataFrame) -> DataFrame:
+        """Every result with its outcome: expr, outcome, name, chain; ``like`` has an expr and a name."""
+        each = [shared.join(_few(answers), "answer").select("expr", "outcome", "name", _none().alias("chain")) for shared, answers in self.shared]
+        empty = like.where("false").select("expr", F.lit(None).cast(OUTCOME).alias("outcome"), "name", _none().alias("chain"))
+        return reduce(DataFrame.unionByName, [*self.own, *each] or [empty])
+
+    def receivers(self, like: DataFrame) -> DataFrame:
+        """What expressions on a receiver need of it: receiver, r or answer, base, links."""
+        r = F.struct(*[F.col(f"outcome.{k}").alias(k) for k in ("kind", "reason", "type")])
+        no = F.lit(None).cast("string")
+        own = [df.select(F.col("expr").alias("receiver"), r.alias("r"), no.alias("answer"), F.col("name").alias("base"), F.col("chain").alias("links")) for df in self.own or [Found().results(like)]]
+        none = F.lit(None).cast(f"struct<kind:string,reason:string,type:{TYPE}>")
+        return reduce(DataFrame.unionByName, [*own, *[df.select(F.col("expr").alias("receiver"), none.alias("r"), "answer", F.col("name").alias("base"), _none().alias("links")) for df, _ in self.shared]])
+
+    def answered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``r`` filled from ``answer``."""
+        if not self.shared:
+            return rows
+        all_ = reduce(DataFrame.unionByName, [answers.select("answer", F.struct("outcome.kind", "outcome.reason", "outcome.type").alias("_r")) for _, answers in self.shared])
+        return rows.join(all_, "answer", "left").withColumn("r", F.coalesce("r", "_r")).drop("_r")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _with_receivers(ready: DataFrame, found: Found, model: Model) -> DataFrame:
+    """Add what is needed of receivers: ``r`` or ``answer``, ``base``, ``links``, and ``meant``, the type of a cast."""
+    casts = ready.where("receiver_kind = 'cast'")
+    meant = F.lit(None).cast(TYPE)
+    ready = ready.withColumn("meant", meant) if casts.isEmpty() else model.means(ready, "cls", "type")
+    held = ready.where("receiver_kind = 'expr'").join(found.receivers(ready), "receiver", "left")
+    return ready.where("receiver_kind <> 'expr'").unionByName(held, allowMissingColumns=True)
+
+
+def _judged(joined: DataFrame, found: Found) -> DataFrame:
+    """Add what receivers are: ``on``, the type that a member is looked up in, ``typed`` (on is a type's name), ``package``, and ``why``."""
+    joined = found.answered(joined)
     by = F.col("receiver_kind")
     on = F.when(by.isin("this", "super"), _known(F.col("cls"), "project")).when(by == "literal", _literal(F.col("type"))).when(by == "cast", F.col("meant")).when(by == "expr", F.col("r.type"))
     package = (by == "expr") & F.col("r.kind").isin("package", "package_candidate")
@@ -163,14 +208,32 @@ def _with_receivers(ready: DataFrame, results: DataFrame, model: Model) -> DataF
     return joined.drop("r", "meant")
 
 
+def _question(*more: Column | str) -> Column:
+    """All that the outcome of an expression on a receiver hangs on; what the receiver does not ask for is null."""
+    by = F.col("receiver_kind")
+    cls = F.when(by.isin("this", "super", "none"), F.col("cls")).alias("cls")
+    return F.struct("name", "receiver_kind", cls, F.when(by == "literal", F.col("type")).alias("type"), F.when(by == "cast", F.col("meant")).alias("meant"), "r", "answer", *more)
+
+
+def _literal_text(name: Column) -> Column:
+    """The type of a literal, or of a class literal, as overloads compare it."""
+    return F.when(name.isin("null", *codemodel.PRIMITIVES), name).when(name.isNotNull(), F.concat(F.lit("java.lang."), name))
+
+
+def _plain(args: Column) -> Column:
+    """The types of arguments that are literals or ``this``, as texts: nothing is joined for them."""
+    return F.transform(args, lambda a: F.when(a["kind"] == "literal", _literal_text(a["value"])).when(a["kind"] == "this", F.col("cls")))
+
+
 def _arguments(calls: DataFrame, results: DataFrame, model: Model) -> DataFrame:
     """(expr, given): the types of a call's arguments as texts, null where unknown."""
     places = calls.select("expr", "cls", F.posexplode("args").alias("pos", "arg")).select("expr", "cls", "pos", "arg.kind", F.col("arg.value").alias("value"), F.when(F.col("arg.kind") == "type", F.col("arg.value")).alias("_made"))
-    found = results.select(F.col("expr").alias("value"), F.col("outcome.type").alias("r"), F.lit("expr").alias("kind"))
-    places = model.means(places, "cls", "_made").join(found, ["kind", "value"], "left")
+    asked = written(places.where("kind = 'expr'").select(F.col("value").alias("_value")).distinct())
+    found = written(results.select(F.col("expr").alias("_value"), F.col("outcome.type").alias("r")).join(_few(asked), "_value", "left_semi"))
+    places = model.means(places, "cls", "_made").join(_few(found), (F.col("value") == F.col("_value")) & (F.col("kind") == "expr"), "left")
     kind = F.col("kind")
-    t = F.when(kind == "literal", F.when(F.col("value") == "Class", _known(F.lit("java.lang.Class"), "external")).otherwise(_literal(F.col("value")))).when(kind == "type", F.col("meant")).when(kind == "this", _known(F.col("cls"), "project")).when(kind == "expr", F.col("r"))
-    return places.withColumn("t", _text(t)).groupBy("expr").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("given"))
+    t = F.when(kind == "literal", _literal_text(F.col("value"))).when(kind == "type", _text(F.col("meant"))).when(kind == "this", F.col("cls")).when(kind == "expr", _text(F.col("r")))
+    return places.withColumn("t", t).groupBy("expr").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("given"))
 
 
 def _chosen(calls: DataFrame, candidates: DataFrame, model: Model) -> DataFrame:
@@ -225,6 +288,20 @@ def _result(df: DataFrame, outcome: Column, name: Column | None = None, chain: C
     return df.select("expr", outcome.alias("outcome"), (F.col("name") if name is None else name).alias("name"), (empty if chain is None else chain).alias("chain"))
 
 
+def _once(rows: DataFrame, question: Column, ask: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What ``ask`` finds out for ``rows``, whose outcome hangs on the fields of ``question`` alone: (expr, name, answer), and (answer, outcome).
+
+    Each question is asked for one of its rows, and all take the answer. Of a project's many expressions most ask the same as others.
+    """
+    rows = written(rows.select("expr", "name", question.alias("question")))
+    asked = written(rows.groupBy("question").agg(F.min("expr").alias("expr")))
+    found = written(ask(asked.select("expr", "question.*")).select("expr", "outcome"))
+    number = F.concat(F.lit(f"{uuid.uuid4().hex[:8]}."), F.monotonically_increasing_id().cast("string"))
+    answers = written(found.select("outcome").distinct().select("outcome", number.alias("answer")))
+    taken = written(asked.join(found, "expr").join(_few(answers), "outcome").select("question", "answer"))
+    return written(rows.join(_few(taken), "question").select("expr", "name", "answer")), answers
+
+
 def _names(ready: DataFrame, bound: DataFrame, results: DataFrame, model: Model, prefixes: DataFrame) -> DataFrame:
     """Names: variables, then types, then what a longer name may start with."""
     inits = results.select(F.col("expr").alias("init"), F.col("outcome.type").alias("inferred"))
@@ -239,18 +316,20 @@ def _names(ready: DataFrame, bound: DataFrame, results: DataFrame, model: Model,
     return _result(rows, outcome, chain=F.array("expr"))
 
 
-def _accesses(ready: DataFrame, model: Model) -> DataFrame:
-    """Fields, member types, and segments of qualified names."""
+def _segments(ready: DataFrame, model: Model) -> DataFrame:
+    """Segments of qualified names: accesses of what may be a package."""
     dotted = F.concat_ws(".", "base", "name")
     whole = model.types.select(F.col("cls").alias("dotted"), F.lit(True).alias("ours"))
-    ready = written(ready)
-    segment = ready.where("package").withColumn("dotted", dotted).join(whole, "dotted", "left").join(model.packages.select(F.col("package").alias("dotted"), F.lit(True).alias("prefix")), "dotted", "left")
+    segment = ready.withColumn("dotted", dotted).join(whole, "dotted", "left").join(model.packages.select(F.col("package").alias("dotted"), F.lit(True).alias("prefix")), "dotted", "left")
     t = F.when(F.col("ours"), _known(F.col("dotted"), "project")).when(F.col("name").rlike(r"^\p{Lu}"), _known(F.col("dotted"), "external"))
     step = F.when(F.col("prefix"), _outcome("package", "resolved", origin="project")).otherwise(_outcome("package_candidate", "unresolved", reason="possible_package_prefix"))
     outcome = F.when(t.isNotNull(), _outcome("type", "resolved", origin=t["origin"], owner=t["fqn"], type=t)).otherwise(step)
-    segments = _result(segment, outcome, name=F.col("dotted"), chain=F.concat("links", F.array("expr")))
+    return _result(segment, outcome, name=F.col("dotted"), chain=F.concat("links", F.array("expr")))
+
 
-    rows = ready.where("not package").withColumn("outcome", _verdict("field", True))
+def _fields(ready: DataFrame, model: Model) -> DataFrame:
+    """Fields and member types of what receivers are."""
+    rows = ready.withColumn("outcome", _verdict("field", True))
     asked = rows.where("outcome is null").drop("outcome").withColumn("at", F.col("on.fqn"))
     facts = model.inherited.select(F.col("cls").alias("at"), "name", "ord", F.struct("kind", "owner", "field_id", "declared").alias("v"))
     found = asked.select("expr", "name", "at", "receiver_kind").join(facts, ["at", "name"]).where("receiver_kind <> 'super' or ord > 0")
@@ -265,7 +344,7 @@ def _accesses(ready: DataFrame, model: Model) -> DataFrame:
         .when(F.col("generated").isNull(), _outcome("field", "unresolved", reason="receiver_class_unavailable"))
         .otherwise(_fallback("field", F.col("generated"), F.col("outside"), "field"))
     )
-    return segments.unionByName(_result(rows.where("outcome is not null"), F.col("outcome"))).unionByName(_result(asked, outcome))
+    return _result(rows.where("outcome is not null"), F.col("outcome")).unionByName(_result(asked, outcome))
 
 
 def _calls(ready: DataFrame, model: Model) -> DataFrame:
@@ -359,27 +438,40 @@ def _references(ready: DataFrame, bound: DataFrame, results: DataFrame, model: M
     return _result(rows, outcome)
 
 
-def _layer(ready: DataFrame, results: DataFrame, bound: DataFrame, prefixes: DataFrame, model: Model) -> DataFrame:
-    """The outcomes of expressions whose receivers and arguments are in ``results``; kinds that no expression has cost nothing."""
+def _layer(ready: DataFrame, found: Found, bound: DataFrame, prefixes: DataFrame, model: Model) -> None:
+    """Add to ``found`` the outcomes of expressions whose receivers and arguments are in it; kinds that no expression has cost nothing."""
     kinds = {r.kind for r in ready.select("kind").distinct().collect()}  # five at most
     of = lambda kind: ready.where(F.col("kind") == kind)
+    results = lambda: found.results(ready)
+    own, shared = [], []
 
     def argued(calls: DataFrame) -> DataFrame:
-        return written(calls.join(_arguments(calls, results, model), "expr", "left").withColumn("given", F.coalesce("given", _none())))
+        joined = F.coalesce(F.arrays_overlap("args.kind", F.array(F.lit("type"), F.lit("expr"))), F.lit(False))
+        plain, rest = calls.where(~joined).withColumn("given", F.coalesce(_plain(F.col("args")), _none())), calls.where(joined)
+        if rest.isEmpty():
+            return plain
+        return plain.unionByName(rest.join(_arguments(rest, results(), model), "expr", "left").withColumn("given", F.coalesce("given", _none())))
 
-    parts = []
     if "name_ref" in kinds:
-        parts.append(_names(of("name_ref"), bound, results, model, prefixes))
+        own.append(_names(of("name_ref"), bound, results(), model, prefixes))
     if "method_ref" in kinds:
-        parts.append(_references(of("method_ref"), bound, results, model))
+        own.append(_references(of("method_ref"), bound, results(), model))
     if "object_creation" in kinds:
-        parts.append(_creations(argued(of("object_creation")), model))
+        # What the next steps ask again and again is written down first.
+        own.append(_creations(written(argued(of("object_creation"))), model))
     if "field_access" in kinds:
-        parts.append(_accesses(_with_receivers(of("field_access"), results, model), model))
+        rows = _with_receivers(of("field_access"), found, model)
+        package = F.coalesce((F.col("receiver_kind") == "expr") & F.col("r.kind").isin("package", "package_candidate"), F.lit(False))
+        if found.own and not (segments := written(rows.where(package))).isEmpty():
+            own.append(_segments(segments, model))
+        shared.append(_once(rows.where(~package), _question(), lambda asked: _fields(written(_judged(asked, found)), model)))
     if "method_call" in kinds:
-        # What the next steps ask again and again is written down first.
-        parts.append(_calls(argued(_with_receivers(of("method_call"), results, model)), model))
-    return reduce(DataFrame.unionByName, parts)
+        rows = _with_receivers(argued(of("method_call")), found, model)
+        around = ((F.col("receiver_kind") == "none") & F.col("in_local")).alias("in_local")
+        shared.append(_once(rows, _question("given", around), lambda asked: _calls(written(_judged(asked, found)), model)))
+    if own:
+        found.own.append(written(reduce(DataFrame.unionByName, own).select(*_RESULT)))
+    found.shared += shared
 
 
 def resolve_expressions(exprs: DataFrame, variables: DataFrame, types: DataFrame, fields: DataFrame, methods: DataFrame, names: DataFrame, imports: DataFrame) -> DataFrame:
@@ -418,20 +510,26 @@ def _resolved(exprs: DataFrame, variables: DataFrame, types: DataFrame, fields:
         bound.where("init is not null").select("expr", F.col("init").alias("on")),
     ]
     waits = written(reduce(DataFrame.unionByName, needs).join(exprs.select(F.col("expr").alias("on")), "on", "left_semi").select("expr", "on").distinct())
-    left, results, layers = exprs, None, []
+    # Which layer an expression is of is found out by keys alone; the expressions are dealt by it once.
+    left, layers = exprs.select("expr").distinct(), []
     while not left.isEmpty():
-        ready = left.join(waits.select("expr").distinct(), "expr", "left_anti")
+        split = written(left.join(waits.select("expr").distinct().withColumn("_waits", F.lit(True)), "expr", "left"))
+        ready, left = split.where("_waits is null").select("expr"), split.where("_waits").select("expr")
         if ready.isEmpty():
-            ready, waits = left, waits.where("false")
-        ready = written(ready)
-        empty = ready.where("false").select("expr", F.lit(None).cast(OUTCOME).alias("outcome"), "name", F.lit(None).cast("array<string>").alias("chain"))
-        layers.append(written(_layer(ready, empty if results is None else results, bound, prefixes, model).select(*_RESULT)))
-        results = reduce(DataFrame.unionByName, layers)
-        left = written(left.join(ready.select("expr"), "expr", "left_anti"))
+            ready, left, waits = left, ready, waits.where("false")
+        layers.append(ready.withColumn("layer", F.lit(len(layers))))
         waits = written(waits.join(ready.select(F.col("expr").alias("on")), "on", "left_anti").select("expr", "on"))
-    if results is None:
-        results = exprs.select("expr", F.lit(None).cast(OUTCOME).alias("outcome"), "name", F.lit(None).cast("array<string>").alias("chain"))
-    whole = results.where("outcome.kind = 'type' and size(chain) > 1").select(F.explode("chain").alias("expr")).distinct().withColumn("upgraded", F.lit(True))
+    found = Found()
+    if layers:
+        dealt = written(exprs.join(reduce(DataFrame.unionByName, layers), "expr").sortWithinPartitions("layer"))
+    for k in range(len(layers)):
+        _layer(dealt.where(F.col("layer") == k).drop("layer"), found, bound, prefixes, model)
+    results = found.results(exprs)
+    # Chains are of names and segments, which have their own outcomes.
+    chains = reduce(DataFrame.unionByName, found.own) if found.own else results.where("false")
+    whole = written(chains.where("outcome.kind = 'type' and size(chain) > 1").select(F.explode("chain").alias("expr")).distinct().withColumn("upgraded", F.lit(True)))
+    if whole.isEmpty():
+        return results.select("expr", F.col("outcome").alias("o")).select("expr", "o.*")
     inner = results.where("outcome.kind in ('package', 'package_candidate')").join(whole, "expr").join(model.packages.select(F.col("package").alias("name"), F.lit(True).alias("ours")), "name", "left")
     package = _outcome("package", "resolved", origin=F.when(F.col("ours"), "project").otherwise("external"))
     mended = results.join(inner.select("expr", package.alias("package")), "expr", "left")

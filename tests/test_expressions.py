@@ -128,3 +128,12 @@ def test_no_expressions_and_call_targets(spark):
     found = E.resolve_expressions(table, spark.createDataFrame([], VARIABLES), types, fields, methods, names, imports)
     got = {r.edge: (r.caller, r.status, r.targets) for r in E.call_targets(found, table).collect()}
     assert got == {"a": ("m", "resolved", ["Shop.only()"]), "b": ("m", "ambiguous", ["Shop.item(String)", "Shop.item(int)"]), "c": ("m", "external", []), "d": ("m", "unresolved", [])}
+
+
+def test_what_many_expressions_ask_is_asked_once(spark, monkeypatch):
+    asked, calls = [], E._calls
+    monkeypatch.setattr(E, "_calls", lambda rows, model: asked.append(rows.count()) or calls(rows, model))
+    exprs = [{"expr": f"c{k}", "kind": "method_call", "name": "item", "by": "this"} for k in range(30)] + [{"expr": f"g{k}", "kind": "method_call", "name": "gone", "line": k} for k in range(30)]
+    got = resolve(spark, exprs)
+    assert len(got) == 60 and len({(r.status, r.symbol, r.reason) for k, r in got.items() if k[0] == "c"}) == 1
+    assert asked == [2]
